@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, quality, sharding, simhash
+from . import bpe, langid, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -30,6 +30,10 @@ def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op9_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -37,6 +41,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_histogram_shards": op3_histogram_shards,
         "op5_simhash_pivots": op5_simhash_pivots,
         "op6_fertility_rules": op6_fertility_rules,
+        "op9_flow_mixture": op9_flow_mixture,
     }
 
 

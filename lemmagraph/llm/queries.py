@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, mixing, quality, sharding, simhash
+from . import bpe, embeddings, htmltext, langid, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents")).select("doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard")
 
 
+def op4_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return htmltext.extract(table(spark, sf_dir, "pages"))
+
+
 def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(table(spark, sf_dir, "documents"))
 
@@ -30,6 +34,10 @@ def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.measure(table(spark, sf_dir, "documents"))
 
 
+def op8_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embeddings.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
 def op9_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
@@ -39,8 +47,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op1_rank_order_language": op1_rank_order_language,
         "op2_bpe_roundtrip": op2_bpe_roundtrip,
         "op3_histogram_shards": op3_histogram_shards,
+        "op4_main_text": op4_main_text,
         "op5_simhash_pivots": op5_simhash_pivots,
         "op6_fertility_rules": op6_fertility_rules,
+        "op8_subspace_pigeonhole": op8_subspace_pigeonhole,
         "op9_flow_mixture": op9_flow_mixture,
     }
 

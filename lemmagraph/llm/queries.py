@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, htmltext, langid, mixing, quality, sharding, simhash
+from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, sharding, simhash
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op9_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.score_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -52,6 +56,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op6_fertility_rules": op6_fertility_rules,
         "op8_subspace_pigeonhole": op8_subspace_pigeonhole,
         "op9_flow_mixture": op9_flow_mixture,
+        "op10_elias_fano_lm": op10_elias_fano_lm,
     }
 
 

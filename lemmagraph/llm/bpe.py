@@ -18,16 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from collections.abc import Iterator
 from functools import lru_cache
 from heapq import heapify, heappop, heappush
-from typing import Any
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations
+from .common import TwoGenerations, append_columns
 
 #: Pre-tokens longer than this are encoded without being remembered.
 MEMO_CHARS = 64
@@ -196,18 +194,25 @@ def default_vocabulary() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
-def encode_documents(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, ids array<int>: the token ids of every whole text."""
-    return _mapped(docs, vocabulary, id_col, text_col, "ids array<int>", lambda bpe, texts: [pa.array([bpe.encode(t) for t in texts], pa.list_(pa.int32()))])
+def _start(vocabulary: str | None, work):
+    path = vocabulary or default_vocabulary()
+    return lambda: lambda values: work(loaded(path), values)
+
+
+def encode_documents(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the kept columns) with ids array<int>: the token ids of every whole text."""
+    work = lambda bpe, texts: [pa.array([bpe.encode(t or "") for t in texts], pa.list_(pa.int32()))]
+    return append_columns(docs, [text_col], "ids array<int>", _start(vocabulary, work), keep)
 
 
-def decode_documents(encoded: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
-    """Columns id, text: the text of every row of ids (null: null)."""
-    return _mapped(encoded, vocabulary, id_col, ids_col, "text string", lambda bpe, rows: [pa.array([None if r is None else bpe.decode(r) for r in rows], pa.string())])
+def decode_documents(encoded: DataFrame, vocabulary: str | None = None, ids_col: str = "ids", keep: list[str] | None = None) -> DataFrame:
+    """encoded (or the kept columns) with text: the text of every row of ids (null: null)."""
+    work = lambda bpe, rows: [pa.array([None if r is None else bpe.decode(r) for r in rows], pa.string())]
+    return append_columns(encoded, [ids_col], "text string", _start(vocabulary, work), keep)
 
 
-def _digests(bpe: ByteLevelBPE, texts: list[str | None]) -> list[pa.Array]:
-    counts, of_ids, of_text = [], [], []
+def _digests(bpe: ByteLevelBPE, texts: list[str | None], with_ids: bool = False) -> list[pa.Array]:
+    counts, of_ids, of_text, kept = [], [], [], []
     for text in texts:
         ids = bpe.encode(text or "")
         counts.append(len(ids))
@@ -218,25 +223,13 @@ def _digests(bpe: ByteLevelBPE, texts: list[str | None]) -> list[pa.Array]:
         except UnicodeDecodeError:
             back = back.decode("utf-8", errors="replace").encode()
         of_text.append(hashlib.sha256(back).hexdigest())
-    return [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+        if with_ids:
+            kept.append(ids)
+    out = [pa.array(counts, pa.int64()), pa.array(of_ids, pa.string()), pa.array(of_text, pa.string())]
+    return out + [pa.array(kept, pa.list_(pa.int32()))] * with_ids
 
 
-def roundtrip_digests(docs: DataFrame, vocabulary: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Encode every whole text, decode the ids again, and keep length and digests of both."""
-    return _mapped(docs, vocabulary, id_col, text_col, "n_tokens bigint, ids_sha256 string, decoded_sha256 string", _digests)
-
-
-def _mapped(df: DataFrame, vocabulary: str | None, id_col: str, value_col: str, schema: str, work: Any) -> DataFrame:
-    path = vocabulary or default_vocabulary()
-    narrow = df.select(id_col, value_col)
-    id_field = narrow.schema[id_col]
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = loaded(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
-                yield pa.RecordBatch.from_arrays([part.column(0), *work(bpe, part.column(1).to_pylist())], names=names)
-
-    names = [id_col, *(f.split(" ")[0] for f in schema.split(", "))]
-    return narrow.mapInArrow(run, f"`{id_col}` {id_field.dataType.simpleString()}, {schema}")
+def roundtrip_digests(docs: DataFrame, vocabulary: str | None = None, text_col: str = "text", keep: list[str] | None = None, with_ids: bool = False) -> DataFrame:
+    """docs (or the kept columns): every whole text encoded and its ids decoded again; length, digests of both, ids if wanted."""
+    schema = "n_tokens bigint, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    return append_columns(docs, [text_col], schema, _start(vocabulary, lambda bpe, texts: _digests(bpe, texts, with_ids)), keep)

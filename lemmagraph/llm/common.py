@@ -78,3 +78,31 @@ class TwoGenerations:
                 self.old, self.young = self.young, {}
             self.young[key] = found
         return found
+
+
+def append_columns(df: DataFrame, inputs: list[str], schema: str, start: Callable[[], Callable[..., list]], keep: list[str] | None = None, chunk: int = 512) -> DataFrame:
+    """The kept columns of df (all by default) and, row by row, those of schema ("name type, ...").
+
+    start() is called once a task and returns a function from the lists of the inputs' values to one Arrow array
+    a new column. A column of df with the name of a new one gives way to it. Only kept columns and inputs are read.
+    """
+    import pyarrow as pa
+    from pyspark.sql.types import StructType
+
+    new = [f.strip().split(" ")[0] for f in schema.split(", ")]
+    kept = [c for c in (df.columns if keep is None else keep) if c not in new]
+    beside = [c for c in inputs if c not in kept]
+    narrow = df.select(*[F.col(f"`{c}`") for c in kept + beside])
+    at = [narrow.columns.index(c) for c in inputs]
+    out = StructType([narrow.schema[c] for c in kept])
+    n = len(kept)
+
+    def run(batches):
+        work = start()
+        for batch in batches:
+            for i in range(0, batch.num_rows, chunk):
+                part = batch.slice(i, chunk)
+                made = work(*[part.column(k).to_pylist() for k in at])
+                yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=kept + new)
+
+    return narrow.mapInArrow(run, StructType([*out.fields, *StructType.fromDDL(schema).fields]))

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, in_remainder
+from .common import TwoGenerations, append_columns, in_remainder
 
 MAX_N = 3
 PROFILE = 300
@@ -129,19 +129,19 @@ class Ranker:
         return self.langs[best], float(1 - off[best] / (PROFILE * len(ordered)))
 
 
-def predict(docs: DataFrame, learned: dict[str, list[str]], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, lang_pred, score: 1 less the out-of-place distance as a share of the largest possible."""
-    narrow = docs.select(id_col, text_col)
+def predict(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "text", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the kept columns) with lang_pred and score: 1 less the out-of-place distance as a share of the largest."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         ranker = Ranker(learned)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                found = [ranker.predict(t) for t in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], names=[id_col, "lang_pred", "score"])
 
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.schema[id_col].dataType.simpleString()}, lang_pred string, score double")
+        def work(texts: list) -> list:
+            found = [ranker.predict(t) for t in texts]
+            return [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
+
+        return work
+
+    return append_columns(docs, [text_col], "lang_pred string, score double", start, keep)
 
 
 def held_out() -> Column:
@@ -151,4 +151,4 @@ def held_out() -> Column:
 def identify(docs: DataFrame) -> DataFrame:
     """Learn from the documents that are not held out, predict all of them."""
     learned = profiles(docs.where(~held_out()))
-    return predict(docs, learned).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return predict(docs, learned, keep=["doc_id"]).select("doc_id", held_out().alias("held_out"), "lang_pred", "score")

@@ -14,7 +14,6 @@ words). Repeated rows give repeated rows, an empty table an empty one, other col
 from __future__ import annotations
 
 from collections import Counter
-from collections.abc import Iterator
 from functools import lru_cache
 from typing import Any, NamedTuple
 
@@ -22,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations
+from .common import TwoGenerations, append_columns
 
 MIN_WORDS = 50
 REPEATED_PERCENT = 50
@@ -147,21 +146,19 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def measure(docs: DataFrame, model: str | None = None, bands: dict[str, Band] = BANDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """Base counts, fertility and verdict of every whole text."""
+def measure(docs: DataFrame, model: str | None = None, bands: dict[str, Band] = BANDS, text_col: str = "text", lang_col: str = "lang", keep: list[str] | None = None) -> DataFrame:
+    """docs (or the kept columns) with base counts, verdict and fertility of every whole text."""
     path = model or default_model()
-    narrow = docs.select(id_col, text_col, lang_col)
-    names = [id_col, *(f.split(" ")[0] for f in SCHEMA.split(", "))]
     kinds = {"bigint": pa.int64(), "boolean": pa.bool_(), "double": pa.float64()}
     types = [kinds[f.split(" ")[1]] for f in SCHEMA.split(", ")]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def start():
         m = measurer(path)
-        for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                rows = [assess(t, lang, m, bands) for t, lang in zip(part.column(1).to_pylist(), part.column(2).to_pylist())]
-                columns = zip(*rows) if rows else [[] for _ in types]
-                yield pa.RecordBatch.from_arrays([part.column(0), *(pa.array(c, t) for c, t in zip(columns, types))], names=names)
-
-    return narrow.mapInArrow(run, f"`{id_col}` {narrow.schema[id_col].dataType.simpleString()}, {SCHEMA}")
+
+        def work(texts: list, langs: list) -> list:
+            rows = [assess(t, lang, m, bands) for t, lang in zip(texts, langs)]
+            return [pa.array(c, t) for c, t in zip(zip(*rows), types)]
+
+        return work
+
+    return append_columns(docs, [text_col, lang_col], SCHEMA, start, keep)

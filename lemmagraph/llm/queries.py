@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, sharding, simhash
+from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, repair, sharding, simhash
 from .common import table
 
 
@@ -15,7 +15,7 @@ def op1_rank_order_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_bpe_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return bpe.roundtrip_digests(table(spark, sf_dir, "documents"))
+    return bpe.roundtrip_digests(table(spark, sf_dir, "documents"), keep=["doc_id"])
 
 
 def op3_histogram_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +31,11 @@ def op5_simhash_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_fertility_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return quality.measure(table(spark, sf_dir, "documents"))
+    return quality.measure(table(spark, sf_dir, "documents"), keep=["doc_id"])
+
+
+def op7_repair_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair.roundtrip_digests(table(spark, sf_dir, "documents"))
 
 
 def op8_subspace_pigeonhole(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -54,6 +58,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op4_main_text": op4_main_text,
         "op5_simhash_pivots": op5_simhash_pivots,
         "op6_fertility_rules": op6_fertility_rules,
+        "op7_repair_token_ids": op7_repair_token_ids,
         "op8_subspace_pigeonhole": op8_subspace_pigeonhole,
         "op9_flow_mixture": op9_flow_mixture,
         "op10_elias_fano_lm": op10_elias_fano_lm,

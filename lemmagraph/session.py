@@ -6,7 +6,7 @@ import tempfile
 import zipfile
 from pathlib import Path
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: dict[str, str] = {}
 
@@ -23,3 +23,21 @@ def ship(spark: SparkSession) -> SparkSession:
         sc.addPyFile(str(target))
         _shipped[sc.applicationId] = str(target)
     return spark
+
+
+def shared_dir(spark: SparkSession) -> str:
+    """The folder every executor sees: spark.checkpoint.dir of the session, a folder of our own only where it is unset."""
+    sc = spark.sparkContext
+    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
+    held = sc._jsc.sc().getCheckpointDir()
+    if named is None and not held.isDefined():
+        named = f"file://{tempfile.mkdtemp(prefix='lemmagraph-checkpoints-')}"
+    if not held.isDefined():
+        sc.setCheckpointDir(named)
+    return named or held.get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise in the shared folder and forget the lineage; lost executors lose nothing."""
+    shared_dir(df.sparkSession)
+    return df.checkpoint(eager=True)

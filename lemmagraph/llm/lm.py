@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from .common import cut, in_remainder
 from .eliasfano import Trie, build_trie
 
-BLOCK_TOKENS = 1 << 20
+BLOCK_TOKENS = 1 << 21
 STEP = 4096
 PRIOR, PRIOR_POWER = 2.0, 0.85
 END = b""
@@ -101,9 +101,16 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
         def flush() -> pa.RecordBatch:
             stream = np.concatenate(tokens)
             sizes = np.array(lengths, np.int64)
+            often = np.bincount(stream)
+            often[0] = len(stream)  # the end token stays 0; frequent words get small numbers, which pack well
+            order = np.argsort(-often, kind="stable")
+            renamed = np.empty_like(order)
+            renamed[order] = np.arange(len(order))
+            stream = renamed[stream]
             train = np.repeat(~np.array(outs, bool), sizes)
             times = np.bincount(stream[train], minlength=len(number))
             words = list(number)
+            words = [words[i] for i in order]
             part = np.fromiter((xxhash.xxh3_64_intdigest(w) % shards for w in words), np.int64, len(words))
             order = np.argsort(part, kind="stable")
             cuts = np.searchsorted(part[order], np.arange(shards + 1))
@@ -112,7 +119,7 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
             for s in range(shards):
                 own = order[cuts[s] : cuts[s + 1]]
                 if len(own):
-                    rows.append((s, None, None, pack(b" ".join([words[i] for i in own])), squeeze(np.concatenate([times[own], own]))))
+                    rows.append((s, None, None, pack(b" ".join([words[i] for i in own])), squeeze(np.concatenate([times[own], np.diff(own, prepend=0)]))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(kind)), pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
                 names=["block", "shard", "ids", "held", "a", "b"],
@@ -168,7 +175,7 @@ def _pairs(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n: int, v: int, shards: int) -> pd.DataFrame:
-    """Rows (block, shard, ids, held, a, b): shard -1 the base results of the documents, the others the pairs asked."""
+    """Rows (block, shard, base, a, b): the pairs asked of each shard, and in one row of any shard the base results."""
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
     block = int(row["block"])
@@ -176,6 +183,7 @@ def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n:
     gid, c = np.zeros(size, np.uint32), np.zeros(size, np.int64)
     for shard, a in zip(words["shard"], words["a"]):
         rank, times, place = unsqueeze(a).reshape(3, -1)
+        place = np.cumsum(place.astype(np.int64))
         gid[place], c[place] = rank + np.uint32(offsets[shard]), times
     p1 = base_log10(c, n, v)
     base = np.add.reduceat(p1[stream], starts)
@@ -190,18 +198,25 @@ def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n:
     order = np.argsort(shard_of, kind="stable")
     edges = np.searchsorted(shard_of[order], np.arange(shards + 1))
     code = _code(p1)
-    rows = [(block, -1, base.tobytes(), known.astype("<i8").tobytes())]
+    rows = [(block, block % shards, True, base.tobytes(), known.astype("<i8").tobytes())]
     for s in range(shards):
         own = order[edges[s] : edges[s + 1]]
         if len(own):
             x, w = context[own], word[own]
             place = np.diff(own, prepend=0)
-            rows.append((block, s, squeeze(np.concatenate([place, gid[x], gid[w], times[own], code[w]])), squeeze(np.minimum(c[x], 0xFFFFFFFF))))
-    return pd.DataFrame(rows, columns=["block", "shard", "a", "b"])
+            rows.append((block, s, False, squeeze(np.concatenate([place, gid[x], gid[w], times[own], code[w]])), squeeze(np.minimum(c[x], 0xFFFFFFFF))))
+    return pd.DataFrame(rows, columns=["block", "shard", "base", "a", "b"])
 
 
 def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
-    """One shard of contexts: build the trie from the training counts of all blocks, then search it for each."""
+    """One shard of contexts: build the trie from the training counts of all blocks, then search it for each.
+
+    Base results pass through.
+    """
+    through = pdf[pdf["base"]]
+    pdf = pdf[~pdf["base"]]
+    if pdf.empty:
+        return through
     asked = []
     for block, a, b in sorted(zip(pdf["block"], pdf["a"], pdf["b"])):
         place, context, word, times, code = unsqueeze(a).reshape(5, -1)
@@ -226,9 +241,9 @@ def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
                 found = trie.find(context, word)
                 m = prior(c.astype(np.float64))
                 back_off = _code(_log10(code.astype(np.float64)) + np.log10(m / (np.where(c > 0, c, 0) + m)))
-                rows.append((block, int(pdf["shard"].iat[0]), squeeze(np.concatenate([place, np.where(found >= 0, found, back_off)])), b""))
+                rows.append((block, int(pdf["shard"].iat[0]), False, squeeze(np.concatenate([place, np.where(found >= 0, found, back_off)])), b""))
             del trie
-    return pd.DataFrame(rows, columns=["block", "shard", "a", "b"])
+    return pd.concat([through, pd.DataFrame(rows, columns=["block", "shard", "base", "a", "b"])])
 
 
 def sum_scores(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
@@ -237,8 +252,8 @@ def sum_scores(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
     keys, inverse = _pairs(stream)
     value = np.zeros(len(keys))
     base = known = None
-    for shard, a, b in zip(answers["shard"], answers["a"], answers["b"]):
-        if shard < 0:
+    for is_base, a, b in zip(answers["base"], answers["a"], answers["b"]):
+        if is_base:
             base, known = np.frombuffer(a, np.float64), np.frombuffer(b, "<i8")
         else:
             place, code = unsqueeze(a).reshape(2, -1)
@@ -261,9 +276,9 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     offsets = np.cumsum(sizes)[:-1]
     n, v = sum(r.tokens for r in totals), sum(r.known for r in totals)
     of_blocks = words.where("block >= 0").select("block", "shard", "a")
-    asked = cut(tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), "block bigint, shard int, a binary, b binary"))
-    answers = asked.where("shard >= 0").groupBy("shard").applyInPandas(answer_pairs, "block bigint, shard int, a binary, b binary")
-    both = answers.unionByName(asked.where("shard < 0"))
+    schema = "block bigint, shard int, base boolean, a binary, b binary"
+    asked = tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), schema)
+    answers = asked.groupBy("shard").applyInPandas(answer_pairs, schema)
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = tokens.groupBy("block").cogroup(both.groupBy("block")).applyInPandas(sum_scores, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sum_scores, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

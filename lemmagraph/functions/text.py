@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 
 def terms(text: Column) -> Column:
@@ -21,7 +22,7 @@ def fold_text(text: str) -> str:
     return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def fold(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")
 
@@ -69,7 +70,7 @@ def synthetic(surnames: Column, title: Column, year: Column) -> Column:
     return F.concat(F.lit("work:"), F.sha2(_squash(raw), 256).substr(1, 8))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def _squash(raw: pd.Series) -> pd.Series:
     def one(text: str) -> str:
         marks = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))

@@ -593,3 +593,65 @@ def surnames(spark, d):
 @query("select conv_id, turn, trim(regexp_replace(text, '\\s+', ' ', 'g')) as label from conversations")
 def normal_labels(spark, d):
     return base(spark, d, "conversations").select("conv_id", "turn", T.norm_label(F.col("text")).alias("label"))
+
+
+# --- event windows -----------------------------------------------------------------------------------------------
+@query("select time_bucket(interval 1 hour, ts) as start, event_type, cast(count(*) as bigint) as n, round(sum(value), 4) as total from events group by all")
+def event_windows(spark, d):
+    from ..streaming import tumbling
+
+    return tumbling(base(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query(
+    """with g as (select user_id, ts, case when ts - lag(ts) over (partition by user_id order by ts) < interval 30 minute then 0 else 1 end as fresh from events), s as (select *, sum(fresh) over (partition by user_id order by ts, fresh desc rows unbounded preceding) as k from g)
+select user_id, min(ts) as start, max(ts) + interval 30 minute as "end", cast(count(*) as bigint) as n from s group by user_id, k"""
+)
+def event_sessions(spark, d):
+    from ..streaming import sessions
+
+    return sessions(base(spark, d, "events"))
+
+
+# --- record linkage ----------------------------------------------------------------------------------------------
+def _candidates(spark, d):
+    docs = base(spark, d, "documents")
+    title = F.split_part("text", F.lit("\n"), F.lit(1))
+    asked = docs.select((F.col("doc_id") % 97).alias("query_id"), F.substring(title, 1, 60).alias("qt"), "doc_id", title.alias("title"), "source")
+    return asked.where("length(title) > 20")
+
+
+@query()
+def candidate_scores(spark, d):
+    """Likelihood of each candidate: a sequence-matching ratio SQL has no equivalent of."""
+    from ..functions.similarity import score, strength
+
+    c = _candidates(spark, d)
+    s = score(F.col("qt"), F.array("source"), F.lit("1990"), F.lit(""), F.col("title"), F.array(F.concat("source", F.lit(", X"))), (1985 + F.col("doc_id") % 10).cast("string"))
+    return c.select("query_id", "doc_id", s.alias("score")).withColumn("strength", strength(F.col("score")))
+
+
+@query()
+def candidate_works(spark, d):
+    """Candidates pooled greedily, one a work: depends on the order of the candidates of a query."""
+    from ..functions.similarity import merge_candidates
+
+    c = _candidates(spark, d).select("query_id", F.concat(F.lit("doi:10.1/"), F.col("doc_id") % 300).alias("id"), F.array(F.concat(F.lit("zbl:"), F.col("doc_id") % 250)).alias("also"), "source", (1 - (F.col("doc_id") % 10) / 20.0).cast("double").alias("confidence"), "title", F.lit("1990").alias("year"))
+    return merge_candidates(c)
+
+
+@query("select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) as folded from documents where lang in ('en', 'es')")
+def folded_titles(spark, d):
+    return base(spark, d, "documents").where("lang in ('en', 'es')").select("doc_id", T.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
+
+
+@query()
+def extracted_statements(spark, d):
+    """Statements of LaTeX papers made from conversations, one paper a conversation, through the extractor."""
+    from ..sources.latex import extract_corpus
+
+    turn = F.concat(F.lit("\\begin{"), F.when(F.col("turn") % 2 == 0, "theorem").otherwise("lemma"), F.lit("}\\label{t:"), "turn", F.lit("} "), F.regexp_replace("text", r"[\\{}%$]", " "), F.lit("\\end{"), F.when(F.col("turn") % 2 == 0, "theorem").otherwise("lemma"), F.lit("}\n\\begin{proof} By \\ref{t:0}. \\end{proof}\n"))
+    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", turn.alias("x")))), lambda s: s["x"]), "\n")
+    head = "\\documentclass{article}\\newtheorem{theorem}{Theorem}[section]\\newtheorem{lemma}[theorem]{Lemma}\\begin{document}\\section{A}\n"
+    papers = base(spark, d, "conversations").groupBy(F.concat(F.lit("c"), "conv_id").alias("version")).agg(F.concat(F.lit(head), body, F.lit("\\end{document}")).cast("binary").alias("content"))
+    return extract_corpus(papers.select("version", F.lit("main.tex").alias("path"), "content")).select("version", "status", "local", "number", F.size("aliases").alias("n_aliases"), F.array_join("uses", " ").alias("uses"))

@@ -1 +1,22 @@
-"""Part of lemmagraph; see the README for the layout."""
+"""Windowed counts over an event stream, the same expressions for a bounded and an unbounded table."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+
+def tumbling(events: DataFrame, every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """Events and values a window and type; late rows count while the watermark allows."""
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    return timed.groupBy(F.window("ts", every).alias("w"), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("w.start").alias("start"), "event_type", "n", "total")
+
+
+def sliding(events: DataFrame, length: str = "2 hours", every: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    return timed.groupBy(F.window("ts", length, every).alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+
+
+def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    timed = events.withWatermark("ts", late) if events.isStreaming else events
+    return timed.groupBy("user_id", F.session_window("ts", gap).alias("s")).agg(F.count("*").alias("n")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n")

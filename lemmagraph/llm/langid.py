@@ -113,9 +113,9 @@ class Ranker:
             self._forget()  # only memory: numbers never show in a result
         words = Counter(text.lower().split())
         each = [self.words(w) for w in words]
-        flat = np.concatenate(each)
-        if not len(flat):
+        if not any(map(len, each)):
             return UNKNOWN, 0.0
+        flat = np.concatenate(each)
         counts = np.bincount(flat, np.repeat(np.fromiter(words.values(), np.float64, len(words)), [len(x) for x in each]))
         present = np.flatnonzero(counts)
         if len(present) > PROFILE:

@@ -5,9 +5,8 @@ pattern leave the executors: the driver routes the words of each pattern to the
 min-cost flow, where the first copy of a word is free and every further copy costs more than all before it
 (convex repetition costs), so nothing is repeated while something fresh is left. A pattern whose flow is k times
 its words and a rest takes every document k times and, once more, the documents that come first in a seeded
-order while they fit into the rest, and a few later documents, each the nearest in size to what then is open (at most
-FILLERS, until the rest is met to NEAR). The cut of
-that order is found by rounds of exact histograms, one bounded aggregation each.
+order up to the rest, but that some WINDOW documents on each side of that cut are chosen so that the sum is
+nearest to the rest. The cut is found by rounds of exact histograms, one bounded aggregation each.
 
 Targets: sources by code point (null last) weigh `weights` in turn and share `budget` times all words; a
 target stops at `most` times its source's words and the excess is shared again by weight.
@@ -34,8 +33,9 @@ MOST = 2
 SEED = 20_240_229
 KEY_BITS = 62
 PROBE_BITS = 8
-FILLERS = 6
-NEAR = 0.001
+#: Documents expected on each side of the cut among which the last choice is made.
+WINDOW = 24
+SUM_PARTS = 1 << 20
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: float) -> list[float]:
@@ -155,21 +155,41 @@ def _cuts(keys: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, list[in
                 del state[p]
             else:
                 state[p] = (b, bits, below)
-    besides: dict[str, list[int]] = {p: [] for p in rest}
-    gaps = {p: rest[p] - below for p, (_, below) in out.items() if rest[p] > below}
-    for _ in range(FILLERS):
-        gaps = {p: g for p, g in gaps.items() if abs(g) > NEAR * rest[p]}
-        if not gaps:
-            break
-        open_ = spark.createDataFrame([(p, out[p][0], g, besides[p]) for p, g in gaps.items()], "__pattern string, __cut bigint, __gap bigint, __held array<bigint>")
-        off = F.abs(F.col("size") - F.col("__gap"))
-        later = keys.join(open_, "__pattern").where((F.col("__key") >= F.col("__cut")) & (off < F.col("__gap")) & ~F.array_contains("__held", F.col("__key")))
-        best = later.groupBy("__pattern").agg(F.min(F.struct(off.alias("off"), "__key", "size")).alias("x")).select("__pattern", "x.*").collect()
-        for r in best:
-            besides[r[0]].append(r["__key"])
-        gaps = {r[0]: gaps[r[0]] - r["size"] for r in best}
-        gaps = {p: g for p, g in gaps.items() if g > 0}
-    return {p: (out.get(p, (0, 0))[0], besides[p]) for p in rest}
+    # documents next to the cut, on both sides, can be taken or left: the choice whose sum is nearest to the rest
+    n = dict(keys.groupBy("__pattern").count().collect())
+    near = {p: (max(0, c - (w := (WINDOW << KEY_BITS) // max(n[p], 1))), min(1 << KEY_BITS, c + w)) for p, (c, _) in out.items()}
+    ranges = spark.createDataFrame([(p, *x) for p, x in near.items()], "__pattern string, __low bigint, __high bigint")
+    beside: dict[str, list] = {p: [] for p in rest}
+    inside = keys.join(ranges, "__pattern").where("__key >= __low and __key < __high and size > 0")
+    for r in inside.groupBy("__pattern", "__key").agg(F.sum("size").alias("words")).collect():
+        beside[r[0]].append((r["__key"], r["words"]))
+    found = {p: (0, []) for p in rest}
+    for p, (cut_, below) in out.items():
+        items = sorted(beside[p])
+        left = rest[p] - below + sum(s for k, s in items if k < cut_)
+        found[p] = (near[p][0], [items[i][0] for i in nearest([s for _, s in items], left)])
+    return found
+
+
+def nearest(sizes: Sequence[int], wanted: int) -> list[int]:
+    """Places of a choice of sizes whose sum is nearest to the wanted one (to one part in SUM_PARTS of all), by the
+    sums that can be reached, as bits; earlier places are preferred."""
+    unit = max(1, -(-sum(sizes) // SUM_PARTS))
+    steps = [max(1, round(s / unit)) for s in sizes]
+    reached = [1]
+    for s in reversed(steps):
+        reached.append(reached[-1] | reached[-1] << s)
+    goal, sums = max(0, round(wanted / unit)), reached[-1]
+    under = (sums & (1 << goal + 1) - 1).bit_length() - 1
+    over = sums >> goal
+    up = goal + (over & -over).bit_length() - 1 if over else under
+    at = up if up - goal < goal - under else under
+    chosen = []
+    for i, s in enumerate(steps):
+        if at >= s and reached[len(steps) - i - 1] >> (at - s) & 1:
+            chosen.append(i)
+            at -= s
+    return chosen
 
 
 def mix(docs: DataFrame, membership: Column | None = None, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -206,6 +226,8 @@ def mix(docs: DataFrame, membership: Column | None = None, weights: Sequence[int
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: a document taken twice comes twice."""
-    mixed = mix(docs, **how)
+    aside = {c: f"__own_{c}" for c in ("size", "repeats", "taken", "source_size", "target") if c in docs.columns}
+    mixed = mix(docs.withColumnsRenamed(aside), **how)
     copies = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
-    return mixed.where("repeats > 0").select(*docs.columns, copies.alias("__copy")).drop("__copy")
+    columns = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
+    return mixed.where("repeats > 0").select(*columns, copies.alias("__copy")).drop("__copy")

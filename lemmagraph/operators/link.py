@@ -101,3 +101,9 @@ def report(linked: dict[str, DataFrame]) -> DataFrame:
 
 def ranked_by(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
+
+
+def ambiguity_log(ambiguous: DataFrame, when: str) -> DataFrame:
+    """(row): lines of the log decisions are later taken from."""
+    cells = [F.lit(when), F.col("src"), F.col("cited"), F.col("postnote"), L.normalize(F.col("postnote")), F.array_join("matched", ", "), F.col("kind")]
+    return ambiguous.select(F.concat(F.lit("| "), F.concat_ws(" | ", *cells), F.lit(" |")).alias("row"))

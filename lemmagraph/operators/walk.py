@@ -125,3 +125,120 @@ def first_successes(attempts: DataFrame, partition: list[str], at: list, ok: str
     """Attempts a capped, resumable fetch makes: those before the cap of successes is reached; failures take no slot."""
     before = F.coalesce(F.sum(F.col(ok).cast("int")).over(Window.partitionBy(*partition).orderBy(*at).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     return attempts.withColumn("successes_before", before).where(F.col("successes_before") < cap)
+
+
+def fill(works: DataFrame, answers: DataFrame, key: str = "key") -> DataFrame:
+    """Works with what an answer adds: title and year where they are empty, authors where there are none, codes at the end.
+
+    Both have title, year, authors, msc; answers has at most one row a key.
+    """
+    a = answers.select(key, *[F.col(c).alias(f"__{c}") for c in ("title", "year", "authors", "msc")])
+    j = works.join(a, key, "left")
+    text = {c: F.when(F.col(c) != "", F.col(c)).otherwise(F.coalesce(f"__{c}", F.lit(""))) for c in ("title", "year")}
+    none = F.array().cast("array<string>")
+    j = j.withColumns({**text, "authors": F.when(F.size("authors") > 0, F.col("authors")).otherwise(F.coalesce("__authors", none)), "msc": F.array_union("msc", F.coalesce("__msc", none))})
+    return j.select(*works.columns)
+
+
+def classify(works: DataFrame, sources: list[DataFrame], key: str = "key") -> DataFrame:
+    """msc and category of works that have neither, from the first source that knows the work.
+
+    sources: key, msc, category, at most one row a key, in order of authority.
+    """
+    out = works
+    for i, s in enumerate(sources):
+        out = out.join(s.select(key, F.col("msc").alias(f"__m{i}"), F.col("category").alias(f"__c{i}")), key, "left")
+    told = lambda i: (F.size(F.coalesce(f"__m{i}", F.array().cast("array<string>"))) > 0) | (F.coalesce(f"__c{i}", F.lit("")) != "")
+    msc, category = F.col("msc"), F.col("category")
+    unknown = (F.size("msc") == 0) & (F.col("category") == "")
+    for i in reversed(range(len(sources))):
+        msc = F.when(unknown & told(i), F.coalesce(f"__m{i}", F.array().cast("array<string>"))).otherwise(msc)
+        category = F.when(unknown & told(i), F.coalesce(f"__c{i}", F.lit(""))).otherwise(category)
+    return out.withColumns({"__msc": msc, "__category": category}).select(*[F.col(f"__{c}").alias(c) if c in ("msc", "category") else F.col(c) for c in works.columns])
+
+
+def bind(candidates: DataFrame, strong: float = 0.9) -> DataFrame:
+    """(query_id, id, confidence, why): the best candidate where it is strong, else why the query stays unidentified.
+
+    candidates: query_id, id (null: the service had nothing), confidence; ties by id.
+    """
+    best = candidates.groupBy("query_id").agg(F.min_by(F.struct("id", "confidence"), F.struct(-F.coalesce("confidence", F.lit(-1.0)), "id")).alias("b"))
+    good = F.col("b.confidence") >= strong
+    why = F.when(good, "").when(F.col("b.id").isNull(), "no match").otherwise("no strong match")
+    return best.select("query_id", F.when(good, F.col("b.id")).alias("id"), "b.confidence", why.alias("why"))
+
+
+def remap_citing(works: DataFrame, aliases: DataFrame) -> DataFrame:
+    """(key, reached_from): citing keys as they are called now, distinct in order, without the work itself.
+
+    works: key, reached_from; aliases: id (normal form), key.
+    """
+    from ..functions.identifiers import norm
+
+    each = works.select("key", F.posexplode("reached_from").alias("pos", "citing"))
+    now = each.join(aliases.select(F.col("id"), F.col("key").alias("__now")), norm(F.col("citing")) == F.col("id"), "left").withColumn("citing", F.coalesce("__now", "citing"))
+    first = now.where(F.col("citing") != F.col("key")).groupBy("key", "citing").agg(F.min("pos").alias("pos"))
+    listed = first.groupBy("key").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "citing"))), lambda x: x["citing"]).alias("reached_from"))
+    return works.select("key").join(listed, "key", "left").select("key", F.coalesce("reached_from", F.array().cast("array<string>")).alias("reached_from"))
+
+
+def until_refused(attempts: DataFrame, partition: list[str], at: list, most: int = 3) -> DataFrame:
+    """Attempts made before a service has refused `most` times in a row.
+
+    attempts: kind ('source' attempts count, others neither count nor reset), ok. A run is the source attempts since the
+    last success.
+    """
+    order = Window.partitionBy(*partition).orderBy(*at)
+    source = F.col("kind") == "source"
+    run = F.sum(F.when(source & F.col("ok"), 1).otherwise(0)).over(order)
+    failed = attempts.withColumn("__run", run).withColumn("__bad", F.when(source & ~F.col("ok"), 1).otherwise(0))
+    in_row = F.sum("__bad").over(Window.partitionBy(*partition, "__run").orderBy(*at))
+    stops = failed.withColumn("__stop", F.when(in_row >= most, 1).otherwise(0))
+    before = F.coalesce(F.max("__stop").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return stops.withColumn("__before", before).where("__before = 0").select(*attempts.columns)
+
+
+def holding_any(works: DataFrame, idents: list[str]) -> DataFrame:
+    """Works that carry any of the identifiers, in any spelling; all works if none is asked."""
+    from ..functions.identifiers import norm
+
+    if not idents:
+        return works
+    wanted = F.array(*[norm(F.lit(i)) for i in idents])
+    return works.where(F.arrays_overlap(F.transform("ids", norm), wanted))
+
+
+def extraction_report(extracted: DataFrame) -> DataFrame:
+    """(status, versions, results, proofs) of an extraction."""
+    return extracted.groupBy("status").agg(F.count_distinct("version").alias("versions"), F.count("local").alias("results"), F.count_if(F.coalesce("proof", F.lit("")) != "").alias("proofs"))
+
+
+def save_plan(path: str, selected: DataFrame, walked: DataFrame, fingerprint: str) -> dict:
+    """Write the plan of a walk as one document; it is the size of the selection."""
+    import json
+
+    doc = {
+        "plan": 1, "fingerprint": fingerprint,
+        "order": [r.key for r in selected.orderBy(*order(selected)).select("key").collect()],
+        "selected": [r.key for r in selected.where("selected").orderBy(*order(selected)).select("key").collect()],
+        "excluded": [r.asDict() for r in walked.where("not kept").orderBy("depth", F.desc("cited_by"), "key").select("key", "depth", "why", "cited_by").collect()],
+    }
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(doc, f, indent=2, sort_keys=True)
+    return doc
+
+
+def load_plan(path: str, fingerprint: str | None = None) -> dict | None:
+    """The plan, or None if there is none or it was made under other settings."""
+    import json
+    import os
+
+    if not os.path.isfile(path):
+        return None
+    with open(path, encoding="utf-8") as f:
+        doc = json.load(f)
+    return doc if fingerprint is None or doc.get("fingerprint") == fingerprint else None
+
+
+def rendered(counts: dict, limit: int = 12) -> str:
+    return " · ".join(f"{k} {n}" for k, n in list(counts.items())[:limit]) or "none"

@@ -655,3 +655,54 @@ def extracted_statements(spark, d):
     head = "\\documentclass{article}\\newtheorem{theorem}{Theorem}[section]\\newtheorem{lemma}[theorem]{Lemma}\\begin{document}\\section{A}\n"
     papers = base(spark, d, "conversations").groupBy(F.concat(F.lit("c"), "conv_id").alias("version")).agg(F.concat(F.lit(head), body, F.lit("\\end{document}")).cast("binary").alias("content"))
     return extract_corpus(papers.select("version", F.lit("main.tex").alias("path"), "content")).select("version", "status", "local", "number", F.size("aliases").alias("n_aliases"), F.array_join("uses", " ").alias("uses"))
+
+
+# --- more of the walk --------------------------------------------------------------------------------------------
+@query(
+    "select doc_id, case when len(msc) > 0 or category <> '' then len(msc) else case when doc_id % 3 = 0 then 1 else 0 end end as n_msc, case when len(msc) > 0 or category <> '' then category else case when doc_id % 3 = 0 then '' when doc_id % 2 = 0 then 'math.AG' else '' end end as category from b_works",
+    "b_works",
+)
+def classified_works(spark, d):
+    w = view(spark, d, "b_works").select("doc_id", "key", "msc", "category")
+    one = w.where("doc_id % 3 = 0").select("key", F.array(F.lit("14N35")).alias("msc"), F.lit("").alias("category"))
+    two = w.where("doc_id % 2 = 0").select("key", F.array().cast("array<string>").alias("msc"), F.lit("math.AG").alias("category"))
+    return walk.classify(w, [one, two]).select("doc_id", F.size("msc").alias("n_msc"), "category")
+
+
+@query(
+    """with c as (select doc_id % 211 as query_id, case when doc_id % 13 = 5 then null else 'doi:10.1/' || doc_id end as id, case when doc_id % 13 = 5 then null else (doc_id % 40) / 40.0::double end as confidence from documents),
+b as (select query_id, id, confidence, row_number() over (partition by query_id order by coalesce(confidence, -1) desc, id) as k from c)
+select query_id, case when confidence >= 0.9 then id end as id, confidence, case when confidence >= 0.9 then '' when id is null then 'no match' else 'no strong match' end as why from b where k = 1"""
+)
+def bound_queries(spark, d):
+    gone = F.col("doc_id") % 13 == 5
+    c = base(spark, d, "documents").select((F.col("doc_id") % 211).alias("query_id"), F.when(~gone, F.concat(F.lit("doi:10.1/"), "doc_id")).alias("id"), F.when(~gone, (F.col("doc_id") % 40) / 40).alias("confidence"))
+    return walk.bind(c)
+
+
+@query(
+    f"""with a as (select {duck_norm('id')} as id, min(key) as key from (select key, ids[1] as id from b_works) x group by 1), r as (select key, ids[1:2] as f from b_works),
+e as (select r.key, unnest(f) as citing, generate_subscripts(f, 1) as pos from r), n as (select e.key, e.pos, coalesce(a.key, e.citing) as citing from e left join a on a.id = {duck_norm('e.citing')}),
+g as (select key, citing, min(pos) as pos from n where citing <> key group by all) select r.key, coalesce((select string_agg(citing, ' ' order by pos) from g where g.key = r.key), '') as reached_from from r""",
+    "b_works",
+)
+def citing_works_renamed(spark, d):
+    w = view(spark, d, "b_works")
+    aliases = w.select(I.norm(F.element_at("ids", 1)).alias("id"), "key").groupBy("id").agg(F.min("key").alias("key"))
+    return walk.remap_citing(w.select("key", F.slice("ids", 1, 2).alias("reached_from")), aliases).withColumn("reached_from", F.array_join("reached_from", " "))
+
+
+@query(
+    """with x as (select *, case when kind = 'source' and error = '' then 1 else 0 end as good from b_downloads), r as (select *, sum(good) over (partition by o_custkey % 50 order by o_orderkey) as run from x),
+b as (select *, sum(case when kind = 'source' and error <> '' then 1 else 0 end) over (partition by o_custkey % 50, run order by o_orderkey) as row_ from r),
+s as (select *, coalesce(max(case when row_ >= 2 then 1 else 0 end) over (partition by o_custkey % 50 order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as stopped from b) select o_custkey % 50 as service, o_orderkey from s where stopped = 0""",
+    "b_downloads",
+)
+def attempts_before_refusal(spark, d):
+    x = view(spark, d, "b_downloads").select((F.col("o_custkey") % 50).alias("service"), "o_orderkey", "kind", (F.col("error") == "").alias("ok"))
+    return walk.until_refused(x, ["service"], ["o_orderkey"], 2).select("service", "o_orderkey")
+
+
+@query(f"select key from b_works where list_contains(list_transform(ids, lambda i: {duck_norm('i')}), 'doi:10.1/x5') or list_contains(list_transform(ids, lambda i: {duck_norm('i')}), 'arxiv:2401.00007')", "b_works")
+def works_holding(spark, d):
+    return walk.holding_any(view(spark, d, "b_works"), ["DOI:10.1/X5", "doi:10.48550/arXiv.2401.00007v3"]).select("key")

@@ -115,3 +115,35 @@ class Budget:
                 self.sleep(wait)
             self.last[host] = self.clock()
             return wait
+
+
+def same_work(asked: DataFrame, records: DataFrame) -> DataFrame:
+    """Records that carry the identifier they were asked by, in any spelling. asked: id; records: id (as asked), ids."""
+    both = asked.select("id").join(records, "id")
+    return both.where(F.array_contains(F.transform("ids", I.norm), I.norm(F.col("id"))))
+
+
+def by_title(asked: DataFrame, candidates: DataFrame) -> DataFrame:
+    """The best candidate of each query by title, where it is strong: the higher of the scores of both its titles.
+
+    asked: query_id, title, surnames, year; candidates: query_id, id, title, original, authors, year.
+    """
+    from ..functions.similarity import STRONG, score
+
+    c = candidates.select("query_id", "id", F.col("title").alias("c_title"), "original", "authors", F.col("year").alias("c_year"))
+    j = asked.where((F.col("title") != "") & (F.size("surnames") > 0)).join(c, "query_id")
+    one = lambda t: score("title", "surnames", "year", F.lit(""), t, "authors", "c_year")
+    scored = j.withColumn("confidence", F.greatest(one("c_title"), one("original")))
+    return scored.groupBy("query_id").agg(F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), "id")).alias("b")).where(F.col("b.confidence") >= STRONG).select("query_id", "b.id", "b.confidence")
+
+
+def found_anywhere(first: DataFrame, second: DataFrame) -> DataFrame:
+    """Candidates of the first service, and of the second where the first has no strong one with a DOI.
+
+    Both: query_id, id, also, confidence, ...
+    """
+    from ..functions.similarity import STRONG
+
+    dois = F.exists(F.concat(F.array("id"), "also"), lambda x: F.startswith(F.lower(x), F.lit("doi:")))
+    settled = first.where((F.col("confidence") >= STRONG) & dois).select("query_id").distinct()
+    return first.unionByName(second.join(settled, "query_id", "left_anti"))

@@ -156,3 +156,37 @@ def read_sources(spark: SparkSession, root: str) -> DataFrame:
     """(home, path, content): files below the `src` folders of a library, the home being the folder that holds `src`."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
     return found.where("path like '%/src/%'").selectExpr("regexp_extract(path, '^(.*?)/src/', 1) as home", "regexp_extract(path, '/src/(.*)$', 1) as path", "content")
+
+
+def prefixes(spark: SparkSession, root: str) -> DataFrame:
+    """(home, prefix): the prefix a digest's header states, for every folder that holds one."""
+    found = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "digest.tex").text(root, wholetext=True).selectExpr("regexp_replace(_metadata.file_path, '/[^/]*$', '') as home", "value")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            yield pd.DataFrame({"home": pdf["home"], "prefix": [header(v).get("prefix", "") for v in pdf["value"]]})
+
+    return found.mapInPandas(run, "home string, prefix string").where("prefix <> ''")
+
+
+def artifacts(spark: SparkSession, root: str) -> DataFrame:
+    """(home, local, kind): what is on disk of each version: unpacked sources or a paper."""
+    listed_ = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path")
+    kind = "case when path like '%/src/%' then 'source' else 'pdf' end as kind"
+    return listed_.where("path rlike '/(src/.*|paper[.]pdf)$'").selectExpr("regexp_extract(path, '^(.*?)/([^/]+)/(src/.*|paper[.]pdf)$', 1) as home", "regexp_extract(path, '^(.*?)/([^/]+)/(src/.*|paper[.]pdf)$', 2) as local", kind).distinct()
+
+
+def seeds(spark: SparkSession, settings: Settings) -> DataFrame:
+    """(pos, label, id): identifiers first, then the entries of the bibliographies in order; id empty if none is stated."""
+    from . import bibtex
+
+    rows = []
+    for s in settings.seeds:
+        scheme, _, value = s.partition(":")
+        if not scheme or not value.strip():
+            raise BadSettings(f"not an identifier: {s}")
+        rows.append((len(rows), s, s))
+    for b in settings.bibs:
+        for key, (_, fields) in bibtex.entries((settings.root / b).read_text(encoding="utf-8")).items():
+            rows.append((len(rows), key, next(iter(bibtex.declared(fields)), "")))
+    return spark.createDataFrame(rows, "pos int, label string, id string")

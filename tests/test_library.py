@@ -202,3 +202,37 @@ def test_walk_refuses_and_streams(spark):
         walk.walk(empty, empty, empty, 2, [])
     live = spark.readStream.format("rate").load().selectExpr("timestamp as ts", "'a' as event_type", "cast(value as double) as value")
     assert tumbling(live).isStreaming
+
+
+def test_tokens_definitions_digest():
+    text = "a % c\n\n\\begin{thm}$x$ {\\bf y}\\end{thm}\\"
+    assert "".join(t for _, _, t in latex.tokens(text)) == text and {"comment", "begin", "end", "math", "open"} <= {k for k, _, _ in latex.tokens(text)}
+    defs = latex.definitions(r"\newcommand{\a}[1]{x#1}\def\b#1{y}\newenvironment{box}{\bf}{z}")
+    assert defs == {"a": r"\newcommand{\a}[1]{x#1}", "b": r"\def\b#1{y}", "env:box": r"\newenvironment{box}{\bf}{z}"}
+    paper = r"\documentclass{article}\usepackage{tikz,hyperref}\newtheorem{thm}{Theorem}\newenvironment{box}{}{}\begin{document}\begin{thm}\begin{box}x\end{box}\end{thm}\end{document}"
+    digest = latex.extract({"m.tex": paper.encode()}, "v", published_as="doi:10.1/x").digest
+    head = files.header(digest)
+    assert head["requires"] == "tikz" and head["published-as"] == "doi:10.1/x" and files.required_packages(digest) == ["tikz"]
+    assert "newenvironment{box}" in files.macro_block(digest) and files.is_digest(digest)
+
+
+def test_plan_documents_and_services(spark, tmp_path):
+    from lemmagraph.operators import walk
+
+    works = spark.createDataFrame([("a", ["14N10"], ""), ("b", ["14N10"], ""), ("c", ["35A01"], ""), ("d", [], "")], "key string, msc array<string>, category string")
+    refs = spark.createDataFrame([("a", "b"), ("a", "c"), ("a", "d"), ("b", "a")], "src string, dst string")
+    walked = walk.walk(works, refs, works.where("key = 'a'"), 2, ["14N"])
+    assert {r.key: r.why for r in walked.collect()} == {"a": "", "b": "", "c": walk.OUTSIDE, "d": walk.NEITHER}
+    chosen = walk.select(walked, spark.createDataFrame([("b", "pdf")], "key string, kind string"), 5)
+    doc = walk.save_plan(str(tmp_path / "plan.json"), chosen, walked, "f")
+    assert doc["order"] == ["a", "b"] and doc["selected"] == ["b"] and [e["key"] for e in doc["excluded"]] == ["c", "d"]
+    assert walk.load_plan(str(tmp_path / "plan.json"), "f") == doc and walk.load_plan(str(tmp_path / "plan.json"), "g") is None
+    first = spark.createDataFrame([(1, "doi:10.1/a", ["zbl:1"], 0.95), (2, "zbl:2", [], 0.95)], "query_id bigint, id string, also array<string>, confidence double")
+    second = spark.createDataFrame([(1, "doi:10.1/b", [], 0.9), (2, "doi:10.1/c", [], 0.9)], first.schema)
+    assert sorted(r.id for r in answers.found_anywhere(first, second).collect()) == ["doi:10.1/a", "doi:10.1/c", "zbl:2"]
+    asked = spark.createDataFrame([("doi:10.1/A",)], "id string")
+    held = spark.createDataFrame([("doi:10.1/A", ["doi:10.1/a"]), ("doi:10.1/A", ["doi:10.1/z"])], "id string, ids array<string>")
+    assert answers.same_work(asked, held).count() == 1
+    q = spark.createDataFrame([(1, "On Rings", ["Noether"], "1921")], "query_id bigint, title string, surnames array<string>, year string")
+    c = spark.createDataFrame([(1, "doi:10.1/a", "Ueber Ringe", "On Rings", ["Emmy Noether"], "1921"), (1, "doi:10.1/b", "Fields", "", ["X"], "1900")], "query_id bigint, id string, title string, original string, authors array<string>, year string")
+    assert [r.id for r in answers.by_title(q, c).collect()] == ["doi:10.1/a"]

@@ -19,7 +19,8 @@ from pyspark.sql import DataFrame, SparkSession
 #: Name of the settings file of a library.
 SETTINGS = "library.toml"
 HEAD_LINES = 20
-DIRECTIVE = re.compile(r"^[ \t]*%\s*!\s*(LOOM|TEX)\s+(.*?)\s*$", re.M)
+#: A directive is a comment that opens with `!` and the upper-case name of the tool it is for.
+DIRECTIVE = re.compile(r"^[ \t]*%\s*!\s*([A-Z]+)\s+(.*?)\s*$", re.M)
 
 
 class BadSettings(ValueError):
@@ -109,7 +110,7 @@ def required_packages(text: str) -> list[str]:
 
 
 def macro_block(text: str) -> str:
-    m = re.search(r"(?ms)^%\s*!LOOM begin macros\s*\n(.*?)^%\s*!LOOM end macros", text)
+    m = re.search(r"(?ms)^%\s*![A-Z]+ begin macros\s*\n(.*?)^%\s*![A-Z]+ end macros", text)
     return m[1] if m else ""
 
 

@@ -13,7 +13,7 @@ from lemmagraph.llm import bpe, langid, mixing, quality, simhash
 from lemmagraph.llm.common import scratch_path, table
 
 #: A text that is less like every profile than this is in none of the languages.
-LEAST_LIKENESS = 0.35
+LEAST_LIKENESS = 0.2
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

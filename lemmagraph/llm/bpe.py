@@ -18,14 +18,14 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-from functools import lru_cache
 from heapq import heapify, heappop, heappush
+from itertools import chain
 
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .common import TwoGenerations, append_columns
+from .common import TwoGenerations, append_columns, resident
 
 #: Pre-tokens longer than this are encoded without being remembered.
 MEMO_CHARS = 64
@@ -52,7 +52,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteLevelBPE:
     """Encoder and decoder over a vocabulary file in the JSON format of public tokenizers."""
 
-    def __init__(self, path: str, memo: int = 200_000):
+    def __init__(self, path: str, pieces: int = 100_000, pretokens: int = 180_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:
@@ -79,8 +79,8 @@ class ByteLevelBPE:
         for token, i in added.items():
             self.bytes_of[i] = bytes(alphabet[c] for c in token) if all(c in alphabet for c in token) else token.encode()
         self.decimal = [str(i) for i in range(size)]
-        self.piece = TwoGenerations(self._piece, memo)
-        self.pretoken = TwoGenerations(self._merge, memo)
+        self.spaced = TwoGenerations(lambda p: self._piece(" " + p), pieces)  # a piece after a space
+        self.pretoken = TwoGenerations(self._merge, pretokens)
 
     def _merge(self, pretoken: str) -> tuple[int, ...]:
         """Queue entries are single integers, rank above POSITION_BITS bits of position: they compare as pairs."""
@@ -148,19 +148,15 @@ class ByteLevelBPE:
             pieces = SAFE_CUT.split(text)
         else:
             pieces = text.split(" ")
-        out: list[int] = []
-        known, piece, lead = self.piece.young, self.piece, ""
-        for p in pieces:
-            p = lead + p
-            lead = " "
-            ids = known.get(p)
-            if ids is None:
-                if len(p) <= MEMO_CHARS:
-                    ids = piece(p)
-                    known = piece.young
-                else:
-                    ids = self._piece(p)
-            out += ids
+        out = list(self._piece(pieces[0]))
+        rest = pieces[1:]
+        found = list(map(self.spaced.young.get, rest))
+        if None in found:
+            for i, ids in enumerate(found):
+                if ids is None:
+                    p = rest[i]
+                    found[i] = self.spaced(p) if len(p) <= MEMO_CHARS else self._piece(" " + p)
+        out.extend(chain.from_iterable(found))
         return out
 
     def encode(self, text: str) -> list[int]:
@@ -183,9 +179,8 @@ class ByteLevelBPE:
         return self.decode_bytes(ids).decode("utf-8", errors="replace")
 
 
-@lru_cache(maxsize=2)
 def loaded(path: str) -> ByteLevelBPE:
-    return ByteLevelBPE(path)
+    return resident(("bpe", path), lambda: ByteLevelBPE(path))
 
 
 def default_vocabulary() -> str:

@@ -57,6 +57,18 @@ def in_remainder(column: str, modulus: int, remainder: int) -> Column:
     return F.coalesce(crc_of_id(column) % modulus == remainder, F.lit(False))
 
 
+_resident: dict[Hashable, Any] = {}
+
+
+def resident(key: Hashable, make: Callable[[], Any]) -> Any:
+    """A heavy helper (vocabulary, memos) that lives on in the Python worker, the last one asked for only: workers
+    serve one operator after another, and their memory is what bounds an executor."""
+    if key not in _resident:
+        _resident.clear()
+        _resident[key] = make()
+    return _resident[key]
+
+
 class TwoGenerations:
     """A memo of bounded size: when the young half is full it becomes the old half.
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import TwoGenerations, append_columns, in_remainder
+from .common import TwoGenerations, append_columns, in_remainder, resident
 
 MAX_N = 3
 PROFILE = 300
@@ -91,7 +91,7 @@ class Ranker:
         self.number: dict[str, int] = {}
         self.grams: list[str] = []
         self.rows = np.empty((1024, len(self.langs)), np.int32)
-        self.words = TwoGenerations(self._numbers)
+        self.words = TwoGenerations(self._numbers, 100_000)
 
     def _numbers(self, word: str) -> np.ndarray:
         out = []
@@ -133,7 +133,7 @@ def predict(docs: DataFrame, learned: dict[str, list[str]], text_col: str = "tex
     """docs (or the kept columns) with lang_pred and score: 1 less the out-of-place distance as a share of the largest."""
 
     def start():
-        ranker = Ranker(learned)
+        ranker = resident(("profiles", tuple((lang, *grams) for lang, grams in sorted(learned.items()))), lambda: Ranker(learned))
 
         def work(texts: list) -> list:
             found = [ranker.predict(t) for t in texts]

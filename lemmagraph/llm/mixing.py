@@ -36,6 +36,8 @@ PROBE_BITS = 8
 #: Documents expected on each side of the cut among which the last choice is made.
 WINDOW = 24
 SUM_PARTS = 1 << 20
+#: Rows of a table of patterns that may be broadcast (under 1 kB each).
+MOST_BROADCAST = 10_000
 
 
 def targets(sizes: Sequence[int], weights: Sequence[float], budget: float, most: float) -> list[float]:
@@ -117,6 +119,12 @@ def route(patterns: Sequence[tuple[frozenset[int], int]], quotas: Sequence[int],
     return [{s: flow.room[e ^ 1] for s, e in arcs.items() if flow.room[e ^ 1]} for arcs in through]
 
 
+def _beside(df: DataFrame, n: int) -> DataFrame:
+    """A table of n rows, one a pattern, for a join that must not gather a hot pattern: broadcast while n is checked to be
+    small, joined as Spark sees fit beyond."""
+    return F.broadcast(df) if n <= MOST_BROADCAST else df
+
+
 def words_in(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("bigint")
 
@@ -133,7 +141,7 @@ def _cuts(keys: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, list[in
         known = bits - PROBE_BITS if bits < KEY_BITS else (KEY_BITS - 1) // PROBE_BITS * PROBE_BITS
         open_ = spark.createDataFrame([(p, prefix) for p, (prefix, _, _) in state.items()], "__pattern string, __prefix bigint")
         found = (
-            keys.join(open_, "__pattern")
+            keys.join(_beside(open_, len(state)), "__pattern")
             .where(F.shiftrightunsigned("__key", KEY_BITS - known) == F.col("__prefix"))
             .groupBy("__pattern", F.shiftrightunsigned("__key", KEY_BITS - bits).alias("bin"))
             .agg(F.sum("size").alias("words"), F.count_distinct("__key").alias("n") if bits < KEY_BITS else F.lit(1).alias("n"))
@@ -160,7 +168,7 @@ def _cuts(keys: DataFrame, rest: dict[str, int]) -> dict[str, tuple[int, list[in
     near = {p: (max(0, c - (w := (WINDOW << KEY_BITS) // max(n[p], 1))), min(1 << KEY_BITS, c + w)) for p, (c, _) in out.items()}
     ranges = spark.createDataFrame([(p, *x) for p, x in near.items()], "__pattern string, __low bigint, __high bigint")
     beside: dict[str, list] = {p: [] for p in rest}
-    inside = keys.join(ranges, "__pattern").where("__key >= __low and __key < __high and size > 0")
+    inside = keys.join(_beside(ranges, len(near)), "__pattern").where("__key >= __low and __key < __high and size > 0")
     for r in inside.groupBy("__pattern", "__key").agg(F.sum("size").alias("words")).collect():
         beside[r[0]].append((r["__key"], r["words"]))
     found = {p: (0, []) for p in rest}
@@ -219,7 +227,7 @@ def mix(docs: DataFrame, membership: Column | None = None, weights: Sequence[int
     first = {r["__pattern"]: number[r.members[0]] if r.members else None for r in rows}
     plan = [(p, whole[p], *cuts[p], sizes[first[p]] if first[p] is not None else 0, wanted[first[p]] if first[p] is not None else 0.0) for p in flow]
     plan_df = docs.sparkSession.createDataFrame(plan, "__pattern string, __whole bigint, __cut bigint, __besides array<bigint>, source_size bigint, target double")
-    joined = keyed.join(plan_df, "__pattern")
+    joined = keyed.join(_beside(plan_df, len(plan)), "__pattern")
     again = (F.col("__key") < F.col("__cut")) | F.array_contains("__besides", F.col("__key"))
     return joined.withColumn("repeats", F.least(F.col("__whole") + again.cast("int"), F.lit(most))).select(*kept, "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
 

@@ -52,7 +52,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteLevelBPE:
     """Encoder and decoder over a vocabulary file in the JSON format of public tokenizers."""
 
-    def __init__(self, path: str, pieces: int = 100_000, pretokens: int = 180_000):
+    def __init__(self, path: str, pieces: int = 80_000, pretokens: int = 150_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

@@ -19,10 +19,11 @@ of their ids. An empty table writes no segment. Other columns are not looked at.
 
 from __future__ import annotations
 
+import re
+import string
 import struct
 import zlib
 from collections.abc import Iterator
-from functools import lru_cache
 from itertools import accumulate
 
 import numpy as np
@@ -31,14 +32,18 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import scratch_path
+from .common import resident, scratch_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 21
 ROUNDS = 6
 #: A pair is frequent in a segment of n symbols if it occurs at least max(LEAST, n / PORTION) times.
-LEAST, PORTION = 8, 1 << 17
+LEAST, PORTION = 8, 1 << 16
 TABLE_BITS = 20
+#: ASCII signs that are neither letters nor digits, the apostrophe of contractions left out.
+SIGNS = string.punctuation.replace("'", "")
+#: Characters whose lower case every Unicode version agrees on, the dotted capital I left out.
+SETTLED = re.compile("[\x00-\u012f\u0131-\u017e]*")
 HEAD = struct.Struct("<4sIIIII")
 
 
@@ -54,7 +59,7 @@ class WordEncoder:
     The vocabulary drops white space and never joins across it, so pieces can be encoded one by one.
     """
 
-    def __init__(self, path: str, memo: int = 300_000):
+    def __init__(self, path: str, memo: int = 250_000):
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -67,33 +72,92 @@ class WordEncoder:
         self.young: dict[str, bytes] = {}
         self.old: dict[str, bytes] = {}
         self.memo = memo
+        (self.between,) = self.tok.encode("!", add_special_tokens=False).ids
+        self.tails: dict[str, bytes] = {}
+        self.shown: dict[str, bytes] = {}  # frequent spellings of cores: capitals, signs at the end
+
+    def _core(self, w: str) -> tuple[str, str]:
+        """What decides the ids of a piece: the vocabulary is lower case, and a run of signs after a letter is cut off
+        before merging. Only where lower case is beyond doubt: up to Latin Extended-A."""
+        if SETTLED.fullmatch(w) and "<|" not in w:
+            w = w.lower()
+            stem = w.rstrip(SIGNS)
+            if stem[-1:].isalpha():
+                return stem, w[len(stem) :]
+        return w, ""
+
+    def _tail(self, signs: str) -> bytes:
+        found = self.tails.get(signs)
+        if found is None:
+            found = np.array(self.tok.encode(signs, add_special_tokens=False).ids, self.type).tobytes()
+            if len(signs) <= 8 and len(self.tails) < 10_000:
+                self.tails[signs] = found
+        return found
+
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words: many in one call, with a token between them that none of them holds."""
+        joined = [w for w in words if w and "!" not in w and "<|" not in w]
+        alone = [w for w in words if not w or "!" in w or "<|" in w]
+        parts = [joined[i : i + 1000] for i in range(0, len(joined), 1000)]
+        width = self.type.itemsize
+        for part, e in zip(parts, self.tok.encode_batch_fast([" ! ".join(p) for p in parts], add_special_tokens=False)):
+            ids = np.array(e.ids, self.type)
+            ends = [*np.flatnonzero(ids == self.between).tolist(), len(ids)]
+            if len(ends) != len(part):
+                alone += part
+                continue
+            packed, at = ids.tobytes(), 0
+            for w, end in zip(part, ends):
+                self.young[w] = packed[at * width : end * width]
+                at = end + 1
+        for w, e in zip(alone, self.tok.encode_batch_fast(alone, add_special_tokens=False)):
+            self.young[w] = np.array(e.ids, self.type).tobytes()
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         """The ids of each text as bytes of `type`."""
-        pieces = [(t or "").replace("\n", " ").split(" ") for t in texts]
         if len(self.young) > self.memo:
             self.old, self.young = self.young, {}
-        young, old = self.young, self.old
-        new = []
-        for w in {w for ps in pieces for w in ps}:
-            if w not in young:
-                held = old.get(w)
-                if held is None:
-                    new.append(w)
-                else:
-                    young[w] = held
-        for w, e in zip(new, self.tok.encode_batch_fast(new, add_special_tokens=False)):
-            young[w] = np.array(e.ids, self.type).tobytes()
-        out = [b"".join(map(young.__getitem__, ps)) for ps in pieces]
+        if len(self.shown) > self.memo // 4:
+            self.shown.clear()
+        young, old, shown, core_of = self.young, self.old, self.shown, self._core
+        docs, open_, new = [], [], set()
+        for text in texts:
+            pieces = (text or "").replace("\n", " ").split(" ")
+            found = list(map(young.get, pieces))
+            docs.append(found)
+            if None not in found:
+                continue
+            for i, ids in enumerate(found):
+                if ids is not None:
+                    continue
+                p = pieces[i]
+                ids = shown.get(p)
+                if ids is None:
+                    core, tail = (p, "") if p.islower() and p[-1] not in SIGNS else core_of(p)
+                    ids = young.get(core)
+                    if ids is None:
+                        ids = old.get(core)
+                        if ids is None:
+                            new.add(core)
+                            open_.append((found, i, core, tail))
+                            continue
+                        young[core] = ids
+                    if tail:
+                        ids += self._tail(tail)
+                    if len(p) <= 64 and core != p:
+                        shown[p] = ids
+                found[i] = ids
+        self._learn(sorted(new))
+        for found, i, core, tail in open_:
+            found[i] = young[core] + self._tail(tail) if tail else young[core]
         for w in new:
             if len(w) > 64:
                 del young[w]
-        return out
+        return [b"".join(found) for found in docs]
 
 
-@lru_cache(maxsize=2)
 def encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+    return resident(("words", path), lambda: WordEncoder(path))
 
 
 def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col: str) -> DataFrame:
@@ -104,8 +168,8 @@ def encode(docs: DataFrame, vocabulary: str, end_id: int, id_col: str, text_col:
         enc = encoder(vocabulary)
         end = np.array([end_id], enc.type).tobytes()
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                part = batch.slice(at, 512)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
                 ids = [x + end for x in enc.encode(part.column(1).to_pylist())]
                 yield pa.RecordBatch.from_arrays([part.column(0), pa.array([len(x) // enc.type.itemsize for x in ids], pa.int64()), pa.array(ids, pa.binary())], names=["id", "n_ids", "ids"])
 
@@ -124,17 +188,22 @@ def _unpack(blob: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel(), at + 4 + size
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the left symbols of frequent pairs, and the number of the pair at each; exact counts.
+def _frequent(seq: np.ndarray, last: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
+    """Places of the left symbols of frequent pairs, and a number for the pair at each; exact counts, no sort.
 
-    A table of hashed counts rules out most pairs first; what it lets through is counted exactly.
+    Pairs are hashed into a table of counts. Of a slot that is full enough one pair is looked at, all its places
+    are counted; a pair that shares a slot with another has its turn in a later round, hashed otherwise.
     """
-    slot = (seq[:-1] * np.uint32(0x9E3779B1) + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
-    table = np.bincount(slot, minlength=1 << TABLE_BITS)
-    at = np.flatnonzero((table >= least)[slot] & ~last[:-1])
-    keys = seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1]
-    _, which, times = np.unique(keys, return_inverse=True, return_counts=True)
-    enough = times[which] >= least
+    odd = np.uint32(0x9E3779B1 + 0x3C6EF372 * turn & 0xFFFFFFFF | 1)
+    slot = (seq[:-1] * odd + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
+    at = np.flatnonzero((np.bincount(slot, minlength=1 << TABLE_BITS) >= least)[slot] & ~last[:-1])
+    which = slot[at]
+    one = np.zeros(1 << TABLE_BITS, np.int64)
+    one[which] = at
+    its = one[which]
+    same = (seq[at] == seq[its]) & (seq[at + 1] == seq[its + 1])
+    at, which = at[same], which[same]
+    enough = np.bincount(which, minlength=1 << TABLE_BITS)[which] >= least
     return at[enough], which[enough]
 
 
@@ -145,17 +214,22 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> bytes:
     last[np.cumsum(sizes) - 1] = True
     first = int(seq.max()) + 1 if len(seq) else 1
     lefts, rights, made, following = [], [], [], first
-    for _ in range(ROUNDS):
+    for turn in range(ROUNDS):
         if len(seq) < 2:
             break
-        at, which = _frequent(seq, last, max(LEAST, len(seq) // PORTION))
+        at, which = _frequent(seq, last, max(LEAST, len(seq) // PORTION), turn)
         if not len(at):
             break
         fresh = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs, every second one from the left
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - start) % 2 == 0
         at, which = at[take], which[take]
-        names, where = np.unique(which, return_inverse=True)
+        taken = np.zeros(1 << TABLE_BITS, bool)
+        taken[which] = True
+        names = np.flatnonzero(taken)
+        number = np.zeros(1 << TABLE_BITS, np.int64)
+        number[names] = np.arange(len(names))
+        where = number[which]
         one = np.empty(len(names), np.int64)
         one[where] = at
         lefts.append(seq[one])

@@ -19,10 +19,13 @@ from typing import Any, NamedTuple
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from .common import TwoGenerations, append_columns, resident
 
 MIN_WORDS = 50
+#: Bits of entropy that longer texts are compared with.
+MOST_EVEN = 9.0
 REPEATED_PERCENT = 50
 #: ASCII symbols that count as such (fixed values of the rule).
 SYMBOLS = b"#*$%&|<>"
@@ -30,25 +33,29 @@ SPACES = " \t\n\v\f\r"
 
 
 class Band(NamedTuple):
-    """Least and most characters a token, most fallback-byte share, least bits of entropy by length.
+    """Least and most characters a token, most fallback-byte share, least and most bits of entropy by length.
 
     Entropy is compared with the entropy an even distribution over the text's tokens would have: a text of n
-    tokens can't exceed log2(n) bits, so the least is a share of that.
+    tokens can't exceed log2(n) bits, so the limits are shares of that (of 9 bits at most).
     """
 
     chars_low: float
     chars_high: float
     byte_share: float
     entropy_share: float
+    entropy_high: float = float("inf")
 
 
-#: Bands by language, then by script; parameters of the operator.
+#: Of the documents that bands are fitted on, the share beyond either end of a limit; the most fallback bytes.
+OUTSIDE, BYTE_SHARE = 0.005, 0.01
+#: Bands by language, then by script; parameters of the operator. All but `other` are fit_bands of the documents of
+#: even id labelled good at sf0.1. No table has another script: the limits of `other` are not fitted.
 BANDS = {
-    "en": Band(1.5, 6.0, 0.10, 0.69),
-    "de": Band(1.5, 6.0, 0.10, 0.68),
-    "fr": Band(1.4, 6.0, 0.10, 0.67),
-    "es": Band(1.4, 6.0, 0.10, 0.66),
-    "latin": Band(1.2, 6.0, 0.15, 0.45),
+    "en": Band(2.093, 2.369, BYTE_SHARE, 0.715, 0.857),
+    "de": Band(2.078, 2.374, BYTE_SHARE, 0.701, 0.834),
+    "fr": Band(1.767, 2.106, BYTE_SHARE, 0.696, 0.829),
+    "es": Band(1.804, 2.063, BYTE_SHARE, 0.704, 0.822),
+    "latin": Band(1.868, 2.367, BYTE_SHARE, 0.700, 0.855),
     "other": Band(0.3, 6.0, 0.90, 0.40),
 }
 
@@ -117,7 +124,7 @@ def script_of(text: str) -> str:
 
 def within(f: Fertility, band: Band) -> bool:
     even = float(np.log2(f.n_tokens)) if f.n_tokens > 1 else 0.0
-    return band.chars_low <= f.chars_per_token <= band.chars_high and f.byte_share <= band.byte_share and f.entropy >= band.entropy_share * min(even, 9.0)
+    return band.chars_low <= f.chars_per_token <= band.chars_high and f.byte_share <= band.byte_share and band.entropy_share * min(even, MOST_EVEN) <= f.entropy <= band.entropy_high * min(even, MOST_EVEN)
 
 
 def assess(text: str | None, lang: str | None, m: Measurer, bands: dict[str, Band]) -> tuple:
@@ -160,3 +167,15 @@ def measure(docs: DataFrame, model: str | None = None, bands: dict[str, Band] =
         return work
 
     return append_columns(docs, [text_col, lang_col], SCHEMA, start, keep)
+
+
+def fit_bands(docs: DataFrame, good: DataFrame, outside: float = OUTSIDE, byte_share: float = BYTE_SHARE, model: str | None = None) -> dict[str, Band]:
+    """A band a language, and `latin` over all of them, from the documents whose doc_id is in good and that pass the
+    base rule: the share `outside` of them lies beyond either end of a limit. All languages must be of Latin script."""
+    measured = measure(docs, model).where(~F.col("base_failed") & (F.col("chars_per_token") > 0)).join(good.select("doc_id").distinct(), "doc_id", "left_semi")
+    n_tokens = F.round(F.col("word_chars") / F.col("chars_per_token"))
+    share = F.col("token_entropy") / F.least(F.log2(n_tokens), F.lit(MOST_EVEN))
+    ends = F.array(F.lit(outside), F.lit(1 - outside))
+    limits = [F.percentile("chars_per_token", ends).alias("chars"), F.percentile(share, ends).alias("share")]
+    rows = measured.where(F.col("lang").isNotNull()).groupBy("lang").agg(*limits).collect() + measured.agg(F.lit("latin").alias("lang"), *limits).collect()
+    return {r.lang: Band(r.chars[0], r.chars[1], byte_share, r.share[0], r.share[1]) for r in rows if r.chars}

@@ -210,6 +210,32 @@ def test_fertility_is_that_of_whole_texts(documents):
         assert f.entropy == pytest.approx(-sum(p * math.log2(p) for p in share))
 
 
+def test_bands_catch_rows_labelled_bad(spark):
+    """The bands come from even ids of sf0.1; these are other documents. Without a language the script decides."""
+    d = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("doc_id % 2 = 1").join(spark.read.parquet(f"{d}/labels.parquet"), "doc_id").select("doc_id", "text", "lang", "quality")
+    for df, least in ((rows, 0.93), (rows.withColumn("lang", F.lit(None).cast("string")), 0.87)):
+        got = quality.measure(df, keep=["doc_id", "quality"]).where("not base_failed")
+        bad, caught, good, kept = got.agg(*[F.count_if(F.expr(x)) for x in ("quality = 0", "quality = 0 and not kept", "quality = 1", "quality = 1 and kept")]).first()
+        assert bad > 100 and caught >= least * bad and kept >= 0.96 * good
+
+
+def test_a_band_has_two_sides():
+    band = quality.Band(2.0, 3.0, 0.01, 0.5, 0.8)
+    fits = lambda *x: quality.within(quality.Fertility(*x, 512), band)
+    assert fits(2.5, 0.0, 6.0) and not fits(1.9, 0.0, 6.0) and not fits(3.1, 0.0, 6.0) and not fits(2.5, 0.02, 6.0) and not fits(2.5, 0.0, 4.0) and not fits(2.5, 0.0, 8.0)
+
+
+def test_bands_are_fitted(documents):
+    found = quality.fit_bands(documents, documents.where("lang in ('en', 'de')"), 0.1)
+    assert set(found) == {"en", "de", "latin"}
+    got = quality.measure(documents, bands=quality.BANDS | found, keep=["doc_id", "lang"]).where("lang = 'en' and not base_failed")
+    band = found["en"]
+    n = got.count()
+    assert got.where(F.col("chars_per_token") < band.chars_low).count() == pytest.approx(0.1 * n, abs=2)
+    assert got.where(F.col("chars_per_token") > band.chars_high).count() == pytest.approx(0.1 * n, abs=2)
+
+
 # 7
 def test_grammar_files(documents, odd, none, monkeypatch):
     monkeypatch.setattr(repair, "SEGMENT_IDS", 3000)

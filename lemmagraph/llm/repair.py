@@ -36,10 +36,11 @@ from .common import resident, scratch_path
 
 END_ID = 2
 SEGMENT_IDS = 1 << 21
-ROUNDS = 6
-#: A pair is frequent in a segment of n symbols if it occurs at least max(LEAST, n / PORTION) times.
-LEAST, PORTION = 8, 1 << 16
+#: A pair is frequent among n symbols (those left in the round) if it occurs at least max(LEAST, n / PORTION) times.
+LEAST, PORTION = 8, 1 << 17
 TABLE_BITS = 20
+#: So few places are counted by a sort.
+FEW = 1 << 17
 #: ASCII signs that are neither letters nor digits, the apostrophe of contractions left out.
 SIGNS = string.punctuation.replace("'", "")
 #: Characters whose lower case every Unicode version agrees on, the dotted capital I left out.
@@ -188,46 +189,64 @@ def _unpack(blob: bytes, at: int) -> tuple[np.ndarray, int]:
     return np.ascontiguousarray(planes.T).view("<u4").ravel(), at + 4 + size
 
 
-def _frequent(seq: np.ndarray, last: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places of the left symbols of frequent pairs, and a number for the pair at each; exact counts, no sort.
+def _sorted(seq: np.ndarray, at: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """As _frequent, by a sort: no pair waits for another."""
+    _, which, times = np.unique(seq[at].astype(np.uint64) << np.uint64(32) | seq[at + 1], return_inverse=True, return_counts=True)
+    often = times[which]
+    may = often >= LEAST
+    at, which, often = at[may], which[may], often[may]
+    return at[often >= least], which[often >= least], at
+
+
+def _frequent(seq: np.ndarray, places: np.ndarray, least: int, turn: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of the places given: those of frequent pairs, a number for the pair at each, and the places that can still
+    become frequent; exact counts.
 
     Pairs are hashed into a table of counts. Of a slot that is full enough one pair is looked at, all its places
-    are counted; a pair that shares a slot with another has its turn in a later round, hashed otherwise.
+    are counted; a pair that shares a slot with another has its turn in a later round, hashed otherwise. Only a
+    sort decides that no pair is left.
     """
+    if len(places) <= FEW:
+        return _sorted(seq, places, least)
     odd = np.uint32(0x9E3779B1 + 0x3C6EF372 * turn & 0xFFFFFFFF | 1)
-    slot = (seq[:-1] * odd + seq[1:] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
-    at = np.flatnonzero((np.bincount(slot, minlength=1 << TABLE_BITS) >= least)[slot] & ~last[:-1])
-    which = slot[at]
+    slot = (seq[places] * odd + seq[places + 1] * np.uint32(0x85EBCA6B)) >> np.uint32(32 - TABLE_BITS)
+    often = np.bincount(slot, minlength=1 << TABLE_BITS)[slot]
+    may = often >= LEAST
+    places, slot, often = places[may], slot[may], often[may]
+    at, which = places[often >= least], slot[often >= least]
     one = np.zeros(1 << TABLE_BITS, np.int64)
     one[which] = at
     its = one[which]
     same = (seq[at] == seq[its]) & (seq[at + 1] == seq[its + 1])
     at, which = at[same], which[same]
     enough = np.bincount(which, minlength=1 << TABLE_BITS)[which] >= least
-    return at[enough], which[enough]
+    return (at[enough], which[enough], places) if enough.any() else _sorted(seq, places, least)
 
 
 def compress(ids: np.ndarray, sizes: np.ndarray) -> bytes:
-    """The grammar of a segment: ids of all documents in a row, sizes of the documents (none is empty)."""
+    """The grammar of a segment: ids of all documents in a row, sizes of the documents (none is empty).
+
+    A pair of old symbols never gains places, and a new pair holds a symbol of the last round: after a round only
+    places that could be frequent before, and those beside the new symbols, are counted.
+    """
     seq = ids.astype(np.uint32)
     last = np.zeros(len(seq), bool)
     last[np.cumsum(sizes) - 1] = True
     first = int(seq.max()) + 1 if len(seq) else 1
     lefts, rights, made, following = [], [], [], first
-    for turn in range(ROUNDS):
-        if len(seq) < 2:
-            break
-        at, which = _frequent(seq, last, max(LEAST, len(seq) // PORTION), turn)
+    places = np.flatnonzero(~last)
+    while len(places):
+        at, which, places = _frequent(seq, places, max(LEAST, len(seq) // PORTION), len(made))
         if not len(at):
             break
         fresh = np.concatenate([[True], np.diff(at) > 1])  # of overlapping pairs, every second one from the left
         start = np.maximum.accumulate(np.where(fresh, np.arange(len(at)), 0))
         take = (np.arange(len(at)) - start) % 2 == 0
         at, which = at[take], which[take]
-        taken = np.zeros(1 << TABLE_BITS, bool)
+        taken = np.zeros(int(which.max()) + 1, bool)
         taken[which] = True
         names = np.flatnonzero(taken)
-        number = np.zeros(1 << TABLE_BITS, np.int64)
+        number = np.zeros(len(taken), np.int64)
         number[names] = np.arange(len(names))
         where = number[which]
         one = np.empty(len(names), np.int64)
@@ -239,7 +258,12 @@ def compress(ids: np.ndarray, sizes: np.ndarray) -> bytes:
         last[at] = last[at + 1]
         keep = np.ones(len(seq), bool)
         keep[at + 1] = False
-        seq, last = seq[keep], last[keep]
+        open_ = np.zeros(len(seq), bool)
+        open_[places] = True
+        open_[at] = True
+        open_[at[at > 0] - 1] = True
+        open_ &= ~last
+        seq, last, places = seq[keep], last[keep], np.flatnonzero(open_[keep])
         following += len(names)
     left = np.concatenate(lefts) if lefts else np.empty(0, np.uint32)
     right = np.concatenate(rights) if rights else np.empty(0, np.uint32)
@@ -267,26 +291,29 @@ class Grammar:
         self.left, self.right, self.made, self.length, self.sizes, self.symbols, self.seq = parts
         self.before = np.concatenate([[0], np.cumsum(self.symbols, dtype=np.int64)])
 
+    def _lengths(self, seq: np.ndarray) -> np.ndarray:
+        out = np.ones(len(seq), np.int64)
+        is_rule = seq >= self.first
+        out[is_rule] = self.length[seq[is_rule] - self.first]
+        return out
+
     def expand(self, seq: np.ndarray) -> np.ndarray:
-        high = self.first + len(self.left)
-        for n in self.made[::-1]:
-            low = high - int(n)
-            is_rule = seq >= low
-            if is_rule.any():
-                rule = seq[is_rule] - self.first
-                start = np.cumsum(1 + is_rule) - 1 - is_rule
-                out = np.repeat(seq, 1 + is_rule)
-                out[start[is_rule]] = self.left[rule]
-                out[start[is_rule] + 1] = self.right[rule]
-                seq = out
-            high = low
-        return seq
+        """Every symbol goes to its place in the result, level by level; only rules are looked at again."""
+        lengths = self._lengths(seq)
+        at = np.cumsum(lengths) - lengths
+        out = np.empty(int(lengths.sum()), seq.dtype)
+        while len(seq):
+            is_rule = seq >= self.first
+            out[at[~is_rule]] = seq[~is_rule]
+            rule, at = seq[is_rule] - self.first, at[is_rule]
+            left = self.left[rule]
+            seq, at = np.concatenate([left, self.right[rule]]), np.concatenate([at, at + self._lengths(left)])
+        return out
 
     def document(self, k: int, start: int = 0, stop: int | None = None) -> np.ndarray:
         seq = self.seq[self.before[k] : self.before[k + 1]]
         stop = int(self.sizes[k]) if stop is None else min(stop, int(self.sizes[k]))
-        lengths = np.where(seq >= self.first, self.length[np.where(seq >= self.first, seq - self.first, 0)] if len(self.length) else 1, 1)
-        ends = np.cumsum(lengths)
+        ends = np.cumsum(self._lengths(seq))
         a, b = np.searchsorted(ends, start, side="right"), np.searchsorted(ends, stop, side="left") + 1
         skipped = int(ends[a - 1]) if a else 0
         return self.expand(seq[a:b])[start - skipped : max(start, stop) - skipped]

@@ -269,6 +269,19 @@ def test_grammar_random_access():
         repair.Grammar(b"x" * 64)
 
 
+@pytest.mark.parametrize("few", [0, repair.FEW])
+def test_no_frequent_pair_is_left(monkeypatch, few):
+    monkeypatch.setattr(repair, "FEW", few)
+    rng = np.random.default_rng(5)
+    copy = rng.integers(0, 40_000, 1500)
+    docs = [x for _ in range(40) for x in (copy, rng.zipf(1.3, 700) % 40_000, np.repeat(7, 9))]
+    ids, sizes = np.concatenate(docs).astype(np.uint32), np.array([len(x) for x in docs])
+    g = repair.Grammar(repair.compress(ids, sizes))
+    assert (g.expand(g.seq) == ids).all() and g.length.max() > 1 << 6
+    left = Counter(p for x in np.split(g.seq, g.before[1:-1]) for p in zip(x[:-1].tolist(), x[1:].tolist()))
+    assert max(left.values()) < max(repair.LEAST, len(g.seq) // repair.PORTION)
+
+
 # 8
 def links_by_hand(x, t=0.9):
     u = x / np.linalg.norm(x, axis=1, keepdims=True)

@@ -19,11 +19,42 @@ def locate(offsets: DataFrame, segments: DataFrame, doc: str) -> DataFrame:
     return at.where(F.col("__s").isNotNull() & (F.col("__x") < F.col("__s.start") + F.col("__s.length"))).select(doc, F.col("__x").alias("offset"), F.col("__s.file").alias("file"), (F.col("__x") - F.col("__s.start")).alias("at"))
 
 
+def _home(df: DataFrame, low: str, high: str) -> DataFrame:
+    """Intervals that hold something, with the level of their length: at most 2 ** level, so at most two buckets."""
+    held = df.where(F.expr(f"{low} < {high}"))
+    return held.withColumn("__home", F.length(F.bin(F.expr(f"{high} - {low} - 1"))))
+
+
+def _bucketed(df: DataFrame, low: str, high: str) -> DataFrame:
+    return df.withColumn("__bucket", F.explode(F.expr(f"sequence(shiftright({low}, __level), shiftright({high} - 1, __level))")))
+
+
+def _levels(df: DataFrame) -> list[int]:
+    return sorted(r[0] for r in df.select("__home").distinct().collect())
+
+
 def map_ranges(ranges: DataFrame, segments: DataFrame, doc: str) -> DataFrame:
-    """(doc, a, b, file, low, high): the pieces of each range, in the offsets of their files."""
-    j = ranges.join(segments, doc)
-    low, high = F.greatest("a", "start"), F.least("b", F.col("start") + F.col("length"))
-    return j.where(low < high).select(doc, "a", "b", "file", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high"))
+    """(doc, a, b, file, low, high): the pieces of each range, in the offsets of their files.
+
+    An equality join on position buckets: two intervals meet at the level of the longer one, whose buckets are about
+    as long as itself, in the first bucket they share; candidates keep in proportion to the pieces. A range or
+    segment without both ends, or with nothing between them, has no pieces. Segments may overlap.
+    """
+    r = _home(ranges.select(doc, F.col("a").cast("bigint"), F.col("b").cast("bigint")), "a", "b")
+    s = _home(segments.select(doc, "file", F.col("start").cast("bigint"), (F.col("start") + F.col("length")).cast("bigint").alias("__end")), "start", "__end")
+
+    def visits(df: DataFrame, levels: list[int], least: str) -> DataFrame:
+        return df.withColumn("__level", F.explode(F.filter(F.array(*map(F.lit, levels)).cast("array<int>"), lambda x: x >= F.expr(least))))
+
+    at_home = lambda df: df.withColumn("__level", F.col("__home"))
+    pairs = [(at_home(r), visits(s, _levels(r), "__home")), (visits(r, _levels(s), "__home + 1"), at_home(s))]
+    pieces = []
+    for x, y in pairs:
+        j = _bucketed(x, "a", "b").drop("__home").join(_bucketed(y, "start", "__end").drop("__home"), [doc, "__level", "__bucket"])
+        low, high = F.greatest("a", "start"), F.least("b", "__end")
+        first = F.col("__bucket") == F.expr("shiftright(greatest(a, start), __level)")
+        pieces.append(j.where((low < high) & first).select(doc, "a", "b", "file", (low - F.col("start")).alias("low"), (high - F.col("start")).alias("high")))
+    return pieces[0].unionByName(pieces[1])
 
 
 def heading_intervals(headings: DataFrame, doc: str, levels: int = 6) -> DataFrame:

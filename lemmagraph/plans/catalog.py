@@ -525,6 +525,13 @@ def mapped_ranges(spark, d):
     return intervals.map_ranges(ranges, view(spark, d, "b_segments"), "doc")
 
 
+@query()
+def mapped_ranges_whole(spark, d):
+    """The ranges of every document; the SQL of mapped_ranges joins each with all segments of its source."""
+    ranges = base(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") * 50).alias("a"), (F.col("doc_id") * 50 + 3000).alias("b"))
+    return intervals.map_ranges(ranges, view(spark, d, "b_segments"), "doc")
+
+
 @query("select h.doc, h.start, h.level, (select min(n.start) from b_headings n where n.doc = h.doc and n.start > h.start and n.level <= h.level) as \"end\", (select max(n.start) from b_headings n where n.doc = h.doc and n.start < h.start and n.level < h.level) as parent from b_headings h", "b_headings")
 def heading_intervals(spark, d):
     return intervals.heading_intervals(view(spark, d, "b_headings"), "doc", 4)

@@ -392,6 +392,12 @@ def same_entity(spark, d):
     return graph.entities(w)
 
 
+@query()
+def same_entity_whole(spark, d):
+    """Every work with every identifier, the hub among them; the recursive SQL of same_entity has no way through it."""
+    return graph.entities(view(spark, d, "b_works").select("key", "ids"))
+
+
 @query(
     """select depth as g, max(year) filter (doc_id = m) as year, string_agg(distinct source0, ' ' order by source0) as authors, cast(min(depth) as int) as depth from
 (select *, authors[1] as source0, min(doc_id) over (partition by depth) as m from b_works) x group by depth""",

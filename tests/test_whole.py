@@ -4,8 +4,10 @@ import random
 
 from pyspark.sql import functions as F
 
+from lemmagraph.functions import identifiers
 from lemmagraph.operators import intervals
 from lemmagraph.plans import catalog
+from lemmagraph.plans.bridge import view
 
 
 def pieces(ranges, segments):
@@ -48,3 +50,24 @@ def test_ranges_of_every_document(spark, data):
         end[source] = end.get(source, 0) + n
     want = pieces([(source, doc * 50, doc * 50 + 3000) for source, doc, _ in docs], segments)
     assert got == want and len({x[1] for x in got}) > len(docs) / 20
+
+
+def test_entities_of_all_works_and_identifiers(spark, data):
+    works = view(spark, data, "b_works").select("key", F.transform("ids", identifiers.norm).alias("ids")).collect()
+    up = {}
+
+    def root(x):
+        while up.setdefault(x, x) != x:
+            x = up[x]
+        return x
+
+    for key, ids in works:
+        for i in ids:
+            up[root(("id", i))] = root(("key", key))
+    least = {}
+    for key, _ in works:
+        least[root(("key", key))] = min(key, least.get(root(("key", key)), key))
+    got = {r.key: r.entity for r in catalog.QUERIES["same_entity_whole"](spark, data).collect()}
+    assert got == {key: least[root(("key", key))] for key, _ in works}
+    some = catalog.QUERIES["same_entity"](spark, data)
+    assert len(got) > some.count() and len(set(got.values())) < some.select("entity").distinct().count()

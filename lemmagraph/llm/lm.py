@@ -1,4 +1,4 @@
-"""Language-model scores from an Elias-Fano bigram trie, trained on the documents that are not held out.
+"""Language-model scores from Elias-Fano tries of any order, trained on the documents that are not held out.
 
 The model grows with the corpus and never sits in one place: its levels are cut into shards of contexts, and
 documents never meet the whole of it. Documents are read once into blocks of BLOCK_TOKENS tokens; a block asks only
@@ -11,10 +11,14 @@ cut into sub-shards of successors by their count.
 3. pairs: base scores, and for each shard of contexts the distinct pairs of the block;
 4. trie: training counts of a shard of contexts, the trie built (smoothed, quantised), memory-mapped, searched for
    every pair asked, and the codes handed back;
-5. scores: the sum of the codes over each document.
+5. for each order above 2: the windows whose context was met in training are asked of the shards of the order's
+   contexts, named by the shard and rank of their entry a level below, as in 3 and 4;
+6. scores: the sum of the codes of the highest order over each document.
 
 Smoothing: p(w | v) = (c(vw) + m p(w)) / (c(v) + m) with m = PRIOR * c(v) ** PRIOR_POWER and the base unigram p(w); a
-proper distribution for every context, equal to the base where a context was never seen. log10 p is kept to 1 / STEP.
+proper distribution for every context, equal to the base where a context was never seen. Longer contexts are smoothed
+the same way with the order below as their base; a window reaches back to the end token that opens its document, no
+further. log10 p is kept to 1 / STEP at every order.
 
 Defined results: a null or empty text is the end token alone. A null id is not held out. Repeated rows count and
 score each. An empty table gives an empty table. Without training tokens N is 0. Other columns are not looked at.
@@ -43,6 +47,9 @@ BLOCK_TOKENS = 1 << 21
 STEP = 4096
 PRIOR, PRIOR_POWER = 2.0, 0.85
 END = b""
+#: Kinds of rows between blocks and shards.
+WINDOWS, BASE, IDS, CODES = range(4)
+ROW = ["block", "shard", "kind", "a", "b"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -174,8 +181,23 @@ def _pairs(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(before * (int(stream.max()) + 1) + stream, return_inverse=True)
 
 
+def _windows(stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For windows of `order` words: the number of the distinct one at each token, and that of a word less; the
+    first place of each. A window that would reach before its document is the shorter one."""
+    lower, (keys, number) = stream, _pairs(stream)
+    first = np.unique(number, return_index=True)[1] if order == 2 else None
+    inside = np.arange(len(stream)) - np.repeat(starts, sizes)
+    for n in range(3, order + 1):
+        lower = number
+        before = np.concatenate([[0], lower[:-1]])
+        key = np.where(inside >= n - 2, before * (int(stream.max()) + 1) + stream, -1 - lower)
+        _, first, number = np.unique(key, return_index=True, return_inverse=True)
+    return number, lower, first
+
+
 def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n: int, v: int, shards: int) -> pd.DataFrame:
-    """Rows (block, shard, base, a, b): the pairs asked of each shard, and in one row of any shard the base results."""
+    """Rows (block, shard, kind, a, b): the pairs asked of each shard, and in rows of any shard what the block keeps:
+    base results, ids of its words, codes of its windows so far."""
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
     block = int(row["block"])
@@ -192,35 +214,82 @@ def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n:
     train = np.repeat(~np.asarray(list(row["held"]), bool), sizes)
     times = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
     context, word = np.divmod(keys, size)
+    rows = [(block, block % shards, BASE, base.tobytes(), known.astype("<i8").tobytes()), (block, block % shards, IDS, squeeze(gid), b"")]
+    code = _code(p1)
+    rows.append((block, block % shards, CODES, squeeze(code[word]), b""))
+    rows += _asked(block, shards, n, np.arange(len(keys)), np.zeros(len(keys), np.uint32), gid[context], c[context], gid[word], times, code[word])
+    return pd.DataFrame(rows, columns=ROW)
+
+
+def _asked(block: int, shards: int, n: int, own: np.ndarray, high: np.ndarray, low: np.ndarray, c: np.ndarray, word: np.ndarray, times: np.ndarray, code: np.ndarray) -> list[tuple]:
+    """Requests for windows: number in the block, name of the context (high, low) and its count, id of the word, own
+    training count, code of the base."""
     cuts = np.maximum(1, np.ceil(c * shards / max(n, 1))).astype(np.uint64)  # sub-shards of a crowded context
-    mixed = (gid[context].astype(np.uint64) << np.uint64(20)) + gid[word].astype(np.uint64) % cuts[context]
+    named = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(40))
+    mixed = (named << np.uint64(20)) + word.astype(np.uint64) % cuts if not high.any() else (named * MIX ^ named >> np.uint64(29)) + word.astype(np.uint64) % cuts
     shard_of = ((mixed * MIX) >> np.uint64(33)).astype(np.int64) % shards
     order = np.argsort(shard_of, kind="stable")
     edges = np.searchsorted(shard_of[order], np.arange(shards + 1))
-    code = _code(p1)
-    rows = [(block, block % shards, True, base.tobytes(), known.astype("<i8").tobytes())]
+    rows = []
     for s in range(shards):
-        own = order[edges[s] : edges[s + 1]]
-        if len(own):
-            x, w = context[own], word[own]
-            place = np.diff(own, prepend=0)
-            rows.append((block, s, False, squeeze(np.concatenate([place, gid[x], gid[w], times[own], code[w]])), squeeze(np.minimum(c[x], 0xFFFFFFFF))))
-    return pd.DataFrame(rows, columns=["block", "shard", "base", "a", "b"])
-
-
-def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
+        at = order[edges[s] : edges[s + 1]]
+        if len(at):
+            place = np.diff(own[at], prepend=0)
+            rows.append((block, s, WINDOWS, squeeze(np.concatenate([place, high[at], low[at], word[at], times[at], code[at]])), squeeze(np.minimum(c[at], 0xFFFFFFFF))))
+    return rows
+
+
+def _kept(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Code of each window of a block, high and low name and count of its entry, ids of the words, and the rows kept."""
+    rest = answers[answers["kind"] != WINDOWS]
+    code = unsqueeze(rest.loc[rest["kind"] == CODES, "a"].iat[0]).copy()
+    ids = unsqueeze(rest.loc[rest["kind"] == IDS, "a"].iat[0])
+    high, low, c = (np.zeros(len(code), np.uint32) for _ in range(3))
+    for shard, kind, a, b in zip(answers["shard"], answers["kind"], answers["a"], answers["b"]):
+        if kind == WINDOWS:
+            place, found = unsqueeze(a).reshape(2, -1)
+            place = np.cumsum(place.astype(np.int64))
+            code[place] = found
+            if b:
+                low[place], c[place] = unsqueeze(b).reshape(2, -1)
+                high[place] = shard + 1
+    return code, high, low, c, ids, rest[rest["kind"] != CODES]
+
+
+def ask_windows(tokens: pd.DataFrame, answers: pd.DataFrame, order: int, n: int, shards: int) -> pd.DataFrame:
+    """Requests for the windows of `order` words whose context was met in training, from the answers a level below."""
+    stream, starts, sizes = _stream(tokens)
+    row = tokens.iloc[0]
+    block = int(row["block"])
+    code, high, low, c, gid, rest = _kept(answers)
+    number, lower, first = _windows(stream, starts, sizes, order)
+    train = np.repeat(~np.asarray(list(row["held"]), bool), sizes)
+    times = np.bincount(number[train], minlength=len(first)).astype(np.uint32)
+    base = code[lower[first]]
+    full = first - np.repeat(starts, sizes)[first] >= order - 2
+    context = lower[np.maximum(first - 1, 0)]
+    own = np.flatnonzero(full & (c[context] > 0))
+    x = context[own]
+    rows = [*rest[ROW].itertuples(index=False, name=None), (block, block % shards, CODES, squeeze(base), b"")]
+    rows += _asked(block, shards, n, own, high[x], low[x], c[x].astype(np.int64), gid[stream[first[own]]], times[own], base[own])
+    return pd.DataFrame(rows, columns=ROW)
+
+
+def answer_windows(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
     """One shard of contexts: build the trie from the training counts of all blocks, then search it for each.
 
-    Base results pass through.
+    What blocks keep passes through. Unless this is the last order, rank and count of the entries are told, too.
     """
-    through = pdf[pdf["base"]]
-    pdf = pdf[~pdf["base"]]
+    through = pdf[pdf["kind"] != WINDOWS][ROW]
+    pdf = pdf[pdf["kind"] == WINDOWS]
     if pdf.empty:
         return through
     asked = []
     for block, a, b in sorted(zip(pdf["block"], pdf["a"], pdf["b"])):
-        place, context, word, times, code = unsqueeze(a).reshape(5, -1)
-        asked.append((block, place, context, word, times, code, unsqueeze(b)))
+        place, high, low, word, times, code = unsqueeze(a).reshape(6, -1)
+        asked.append((block, place, high.astype(np.uint64) << np.uint64(32) | low, word, times, code, unsqueeze(b)))
+    names = np.unique(np.concatenate([x[2] for x in asked]))
+    asked = [(block, place, np.searchsorted(names, name), *more) for block, place, name, *more in asked]
     context, word, times, code, c = (np.concatenate([x[i] for x in asked]) for i in (2, 3, 4, 5, 6))
     seen = times > 0
     key = context[seen].astype(np.uint64) << np.uint64(32) | word[seen]
@@ -241,29 +310,28 @@ def answer_pairs(pdf: pd.DataFrame) -> pd.DataFrame:
                 found = trie.find(context, word)
                 m = prior(c.astype(np.float64))
                 back_off = _code(_log10(code.astype(np.float64)) + np.log10(m / (np.where(c > 0, c, 0) + m)))
-                rows.append((block, int(pdf["shard"].iat[0]), False, squeeze(np.concatenate([place, np.where(found >= 0, found, back_off)])), b""))
+                told = b""
+                if not last:
+                    at = np.searchsorted(entries, context.astype(np.uint64) << np.uint64(32) | word)
+                    told = squeeze(np.concatenate([np.where(found >= 0, x, 0) for x in (at, np.append(counted, 0)[at])]))
+                rows.append((block, int(pdf["shard"].iat[0]), WINDOWS, squeeze(np.concatenate([place, np.where(found >= 0, found, back_off)])), told))
             del trie
-    return pd.concat([through, pd.DataFrame(rows, columns=["block", "shard", "base", "a", "b"])])
+    return pd.concat([through, pd.DataFrame(rows, columns=ROW)])
 
 
-def sum_scores(tokens: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
+def sum_scores(tokens: pd.DataFrame, answers: pd.DataFrame, order: int) -> pd.DataFrame:
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
-    keys, inverse = _pairs(stream)
-    value = np.zeros(len(keys))
-    base = known = None
-    for is_base, a, b in zip(answers["base"], answers["a"], answers["b"]):
-        if is_base:
-            base, known = np.frombuffer(a, np.float64), np.frombuffer(b, "<i8")
-        else:
-            place, code = unsqueeze(a).reshape(2, -1)
-            value[np.cumsum(place.astype(np.int64))] = _log10(code.astype(np.float64))
-    score = np.add.reduceat(value[inverse], starts)
-    return pd.DataFrame({"id": list(row["ids"]), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": known, "base_score": base, "score": score})
-
-
-def score_documents(docs: DataFrame, held: Column | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Columns id, held_out, n_tokens, n_known, train_tokens, base_score, score of every document."""
+    value = _log10(_kept(answers)[0].astype(np.float64))
+    (a, b), = answers.loc[answers["kind"] == BASE, ["a", "b"]].itertuples(index=False, name=None)
+    score = np.add.reduceat(value[_windows(stream, starts, sizes, order)[0]], starts)
+    return pd.DataFrame({"id": list(row["ids"]), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": np.frombuffer(b, "<i8"), "base_score": np.frombuffer(a, np.float64), "score": score})
+
+
+def score_documents(docs: DataFrame, held: Column | None = None, shards: int | None = None, id_col: str = "doc_id", text_col: str = "text", order: int = 2) -> DataFrame:
+    """Columns id, held_out, n_tokens, n_known, train_tokens, base_score, score (of that order, 2 or more)."""
+    if order < 2:
+        raise ValueError("order is 2 or more")
     held = held_out() if held is None else held
     shards = shards or max(16, 2 * docs.select(text_col).rdd.getNumPartitions())
     rows = cut(tokenise(docs, shards, id_col, text_col, held))
@@ -276,9 +344,16 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     offsets = np.cumsum(sizes)[:-1]
     n, v = sum(r.tokens for r in totals), sum(r.known for r in totals)
     of_blocks = words.where("block >= 0").select("block", "shard", "a")
-    schema = "block bigint, shard int, base boolean, a binary, b binary"
+    schema = "block bigint, shard int, kind int, a binary, b binary"
     asked = tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), schema)
-    answers = asked.groupBy("shard").applyInPandas(answer_pairs, schema)
+    answers = asked.groupBy("shard").applyInPandas(lambda x: answer_windows(x, order == 2), schema)
+
+    def above(answers: DataFrame, level: int) -> DataFrame:
+        asked = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: ask_windows(t, x, level, n, shards), schema)
+        return asked.groupBy("shard").applyInPandas(lambda x: answer_windows(x, level == order), schema)
+
+    for level in range(3, order + 1):
+        answers = above(answers, level)
     id_type = docs.schema[id_col].dataType.simpleString()
-    scored = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(sum_scores, f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
+    scored = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: sum_scores(t, x, order), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

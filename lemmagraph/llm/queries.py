@@ -47,7 +47,7 @@ def op9_flow_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm.score_documents(table(spark, sf_dir, "documents"))
+    return lm.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

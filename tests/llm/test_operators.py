@@ -374,6 +374,32 @@ def test_language_model(documents, odd, none, monkeypatch):
     assert lm.score_documents(none).collect() == []
 
 
+@pytest.mark.parametrize("order", [2, 3, 4])
+def test_language_model_of_order(documents, odd, monkeypatch, order):
+    monkeypatch.setattr(lm, "BLOCK_TOKENS", 5000)
+    for df in (documents, odd):
+        rows = [((r.text or "").encode().lower().split() + [b""], r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0, r.doc_id) for r in df.select("doc_id", "text").collect()]
+        c, times = Counter(), Counter()
+        for t, held, _ in rows:
+            padded = (b"", *t)
+            if not held:
+                c.update(t)
+                times.update(padded[i - k + 1 : i + 1] for i in range(1, len(padded)) for k in range(2, order + 1) if i - k + 1 >= 0)
+        n, v = sum(c.values()), len(c)
+
+        def p(w):
+            if len(w) == 1:
+                return (c[w[0]] + 0.1) / (n + 0.1 * (v + 1))
+            seen = c[w[0]] if len(w) == 2 else times[w[:-1]]
+            m = lm.PRIOR * max(seen, 1) ** lm.PRIOR_POWER
+            return (times[w] + m * p(w[1:])) / (seen + m)
+
+        want = sorted((d is not None, d or 0, len(t), sum(math.log10(p((b"", *t)[max(0, i - order + 1) : i + 1])) for i in range(1, len(t) + 1))) for t, _, d in rows)
+        got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score) for r in lm.score_documents(df, order=order).collect())
+        for a, b in zip(want, got, strict=True):
+            assert a[:3] == b[:3] and abs(a[3] - b[3]) <= order * a[2] / lm.STEP
+
+
 def test_trie():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 1), (5, 3), (1000, 10), (3000, 10**12)):

@@ -630,8 +630,7 @@ def event_sessions(spark, d):
 def _candidates(spark, d):
     docs = base(spark, d, "documents")
     title = F.split_part("text", F.lit("\n"), F.lit(1))
-    asked = docs.select((F.col("doc_id") % 97).alias("query_id"), F.substring(title, 1, 60).alias("qt"), "doc_id", title.alias("title"), "source")
-    return asked.where("length(title) > 20")
+    return docs.select((F.col("doc_id") % 97).alias("query_id"), title.alias("qt"), "doc_id", title.alias("title"), "source")
 
 
 @query()
@@ -658,6 +657,12 @@ def folded_titles(spark, d):
     return base(spark, d, "documents").where("lang in ('en', 'es')").select("doc_id", T.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
 
 
+@query()
+def folded_titles_whole(spark, d):
+    """The titles of every document, whatever its language; the SQL of folded_titles takes two."""
+    return base(spark, d, "documents").select("doc_id", T.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
+
+
 @query()
 def extracted_statements(spark, d):
     """Statements of LaTeX papers made from conversations, one paper a conversation, through the extractor."""

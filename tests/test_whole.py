@@ -1,6 +1,8 @@
 """Queries whose whole job SQL cannot finish, and operators below them, against brute force."""
 
 import random
+import re
+import unicodedata
 
 from pyspark.sql import functions as F
 
@@ -71,3 +73,23 @@ def test_entities_of_all_works_and_identifiers(spark, data):
     assert got == {key: least[root(("key", key))] for key, _ in works}
     some = catalog.QUERIES["same_entity"](spark, data)
     assert len(got) > some.count() and len(set(got.values())) < some.select("entity").distinct().count()
+
+
+def test_titles_of_every_document(spark, data):
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{data}/documents.parquet").collect()}
+
+    def fold(text):
+        flat = "".join(c for c in unicodedata.normalize("NFD", text.split("\n")[0]) if not unicodedata.combining(c)).lower()
+        return re.sub("[^a-z0-9]+", " ", flat).strip()
+
+    got = {r.doc_id: r.folded for r in catalog.QUERIES["folded_titles_whole"](spark, data).collect()}
+    assert set(got) == set(docs) and {"de", "fr"} <= {r.lang for r in docs.values()}
+    plain = {d for d, r in docs.items() if not set("ßæœøłđ") & set(r.text.split("\n")[0].lower())}
+    assert len(plain) > len(docs) / 2 and all(got[d] == fold(docs[d].text) for d in plain)
+
+
+def test_candidates_are_all_documents_with_whole_titles(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet")
+    assert catalog.QUERIES["candidate_scores"](spark, data).count() == docs.count()
+    got = catalog._candidates(spark, data)
+    assert got.count() == got.where("qt = title").count() == docs.count()

@@ -29,11 +29,13 @@ def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The first document, by id, of every group of linked fingerprints; of repeated rows one."""
-    groups = simhash.near_duplicates(docs).where(F.col("doc_id").eqNullSafe(F.col("component_id")))
-    kept = groups.select(F.col("doc_id").alias("__id")).distinct()
-    firsts = docs.join(kept, F.col("doc_id").eqNullSafe(F.col("__id")), "left_semi")
-    return firsts.withColumn("__text", F.xxhash64("text")).dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
+    """Of every group of linked fingerprints one row, the first by id and hash of its text; null ids come last."""
+    text = F.xxhash64("text")
+    keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("hash")).alias("__key"), "text")
+    groups = simhash.near_duplicates(keyed, id_col="__key").where(F.col("__key").eqNullSafe(F.col("component_id")))
+    kept = groups.select(F.col("__key.id").alias("__id"), F.col("__key.hash").alias("__hash")).distinct()
+    firsts = docs.withColumn("__text", text).join(kept, F.col("doc_id").eqNullSafe(F.col("__id")) & (F.col("__text") == F.col("__hash")), "left_semi")
+    return firsts.dropDuplicates(["doc_id", "__text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -5,9 +5,12 @@ from __future__ import annotations
 import os
 import tempfile
 import uuid
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,6 +72,10 @@ def resident(key: Hashable, make: Callable[[], Any]) -> Any:
     return _resident[key]
 
 
+def forget() -> None:
+    _resident.clear()
+
+
 class TwoGenerations:
     """A memo of bounded size: when the young half is full it becomes the old half.
 
@@ -92,13 +99,82 @@ class TwoGenerations:
         return found
 
 
+#: Numbers moved at a time, so that index arrays stay small.
+GATHER = 1 << 20
+
+
+def gather(flat: np.ndarray, start: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """flat[start : start + size] of every segment, one behind the other."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    out = np.empty(total, flat.dtype)
+    first = done = 0
+    while done < total:
+        last = max(first + 1, int(np.searchsorted(ends, done + GATHER, side="right")))
+        upto = int(ends[last - 1])
+        if last == first + 1:
+            out[done:upto] = flat[start[first] : start[first] + size[first]]
+        else:
+            shift = start[first:last] - ends[first:last] + size[first:last]
+            out[done:upto] = flat[np.arange(done, upto) + np.repeat(shift, size[first:last])]
+        first, done = last, upto
+    return out
+
+
+class SegmentMemo:
+    """A segment of integers for each string, remembered for `most` strings of KEY_BYTES at most; those that were not
+    asked for the longest time go first. Works on whole chunks of distinct strings, in Arrow arrays: an entry costs
+    little more than its bytes. make: new strings -> all their integers in a row, and the number of each."""
+
+    KEY_BYTES = 64
+
+    def __init__(self, make: Callable[[pa.Array], tuple[np.ndarray, np.ndarray]], most: int, dtype: Any):
+        self.make, self.most = make, most
+        self.keys, self.flat, self.size = pa.array([], pa.string()), np.empty(0, dtype), np.empty(0, np.int64)
+
+    def __call__(self, keys: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Integers, start and size of the segment of each of the distinct strings."""
+        at = pc.index_in(keys, value_set=self.keys)
+        known = at.is_valid().to_numpy(zero_copy_only=False)
+        used = at.drop_null().to_numpy()
+        made, sizes = self.make(keys.filter(pa.array(~known)))
+        start = np.empty(len(keys), np.int64)
+        size = np.empty(len(keys), np.int64)
+        size[known], size[~known] = self.size[used], sizes
+        start[known] = (np.cumsum(self.size) - self.size)[used]
+        start[~known] = np.cumsum(sizes) - sizes + len(self.flat)
+        flat = gather(np.concatenate([self.flat, made.astype(self.flat.dtype, copy=False)]), start, size)
+        rest = np.ones(len(self.keys), bool)
+        rest[used] = False
+        rest = np.flatnonzero(rest)[-max(self.most - len(keys), 1) :]
+        short = np.flatnonzero(pc.binary_length(keys).to_numpy() <= self.KEY_BYTES)
+        begins = np.cumsum(self.size) - self.size
+        at_keys = np.cumsum(size) - size
+        self.flat = np.concatenate([gather(self.flat, begins[rest], self.size[rest]), gather(flat, at_keys[short], size[short])])
+        self.keys = pa.concat_arrays([self.keys.take(pa.array(rest)), keys.take(pa.array(short))])
+        self.size = np.concatenate([self.size[rest], size[short]])
+        return flat, at_keys, size
+
+
+def portions(batch: pa.RecordBatch, texts: int, rows: int = 2048, most: int = 1 << 24) -> Iterator[pa.RecordBatch]:
+    """Slices of a batch of so many rows, or fewer where the column of texts would exceed so many bytes (a row at least)."""
+    column = batch.column(texts)
+    sized = pa.types.is_string(column.type) or pa.types.is_binary(column.type)
+    total = np.concatenate([[0], np.cumsum(pc.fill_null(pc.binary_length(column), 0).to_numpy())]) if sized else np.arange(batch.num_rows + 1)
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(total, total[at] + most, side="right")) - 1
+        upto = max(at + 1, min(at + rows, fit))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def append_columns(df: DataFrame, inputs: list[str], schema: str, start: Callable[[], Callable[..., list]], keep: list[str] | None = None, chunk: int = 512) -> DataFrame:
     """The kept columns of df (all by default) and, row by row, those of schema ("name type, ...").
 
     start() is called once a task and returns a function from the lists of the inputs' values to one Arrow array
     a new column. A column of df with the name of a new one gives way to it. Only kept columns and inputs are read.
     """
-    import pyarrow as pa
     from pyspark.sql.types import StructType
 
     new = [f.strip().split(" ")[0] for f in schema.split(", ")]
@@ -112,8 +188,7 @@ def append_columns(df: DataFrame, inputs: list[str], schema: str, start: Callabl
     def run(batches):
         work = start()
         for batch in batches:
-            for i in range(0, batch.num_rows, chunk):
-                part = batch.slice(i, chunk)
+            for part in portions(batch, at[0], chunk):
                 made = work(*[part.column(k).to_pylist() for k in at])
                 yield pa.RecordBatch.from_arrays([*part.columns[:n], *made], names=kept + new)
 

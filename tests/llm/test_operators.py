@@ -2,14 +2,16 @@
 
 import hashlib
 import math
+import random
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from lemmagraph.llm import bpe, eliasfano, embeddings, htmltext, langid, lm, mixing, quality, queries, repair, sharding, simhash
+from lemmagraph.llm import bpe, common, eliasfano, embeddings, htmltext, langid, lm, mixing, quality, queries, repair, sharding, simhash
 from lemmagraph.llm.components import connected_components
 
 
@@ -32,13 +34,35 @@ def test_language(spark, documents, odd, none):
     assert [r.lang_pred for r in langid.predict(odd, {}).collect()] == ["und"] * len(rows)
 
 
-def test_out_of_place_distance():
+def brute_grams(text):
+    runs = "".join(c if c.isalpha() else " " for c in (text or "").lower()).split()
+    grams = Counter(f" {r} "[i : i + n] for r in runs for n in (1, 2, 3) for i in range(len(r) + 3 - n))
+    del grams[" "]
+    return [g for g, _ in sorted(grams.items(), key=lambda x: (-x[1], x[0]))[: langid.PROFILE]]
+
+
+def brute_language(text, learned):
+    """learned: n-grams as text."""
+    grams = brute_grams(text)
+    off = {lang: sum(abs(i - p.index(x)) if x in p else langid.PROFILE for i, x in enumerate(grams)) for lang, p in learned.items()}
+    best = min(off, key=lambda lang: (off[lang], lang))
+    return (best, pytest.approx(1 - off[best] / (langid.PROFILE * len(grams)))) if grams else ("und", 0.0)
+
+
+def test_out_of_place_distance(documents, odd, monkeypatch):
     learned = {"aa": ["a", "b", "c"], "bb": ["x", "b", "a"]}
-    ranker = langid.Ranker(learned)
-    grams = sorted(langid.count_ngrams("ab a", langid.TwoGenerations(langid.ngrams)).items(), key=lambda x: (-x[1], x[0]))
-    off = {g: sum(abs(i - p.index(x)) if x in p else langid.PROFILE for i, (x, _) in enumerate(grams)) for g, p in learned.items()}
-    best = min(off, key=lambda g: (off[g], g))
-    assert ranker.predict("ab a") == (best, pytest.approx(1 - off[best] / (langid.PROFILE * len(grams))))
+    numbers = lambda p: {lang: [langid.gram_number(g) for g in grams] for lang, grams in p.items()}
+    ranker = langid.Ranker(numbers(learned))
+    for text in ["ab a", "½ ² Ⅷ", "①", "a1b c_d", "x", "3", None, "İß"]:
+        assert ranker.predict(text) == brute_language(text, learned), text
+    texts = [r.text for r in documents.orderBy("doc_id").collect()] + [r.text for r in odd.collect()]
+    learned = {lang: brute_grams(" ".join(r.text or "" for r in documents.where(F.col("lang") == lang).collect())) for lang in ("en", "de", "fr", "es")}
+    assert numbers(learned) == langid.profiles(documents)
+    ranker = langid.Ranker(numbers(learned))
+    found = [ranker.predict(t) for t in texts]
+    assert found == [brute_language(t, learned) for t in texts]
+    monkeypatch.setattr(langid, "PART", 7)
+    assert [ranker.predict(t) for t in texts[:50]] == found[:50]
 
 
 # 2
@@ -61,6 +85,39 @@ def test_bpe_equals_the_library(odd, none, documents):
     assert Counter(r.text for r in back.collect()) == Counter(r.text or "" for r in odd.collect())
 
 
+PARTS = [" ", "  ", "\n", "'", "'s", "a", "B", "\u00e9", "\u00df", "1", "\u00bd", "!", "<|endoftext|>", "<|startoftext|>", "\u3000", "\u4e2d", "\U0001f600", "\t", "...", "'ll", "_", "\x00", "\x1c", "\xa0", "word", "\u0130", "\u01c6", "\u0250", "\u0663", "-", "\u0301", "WORD,", "\u03a3", "<|"]
+
+
+def strange_texts(n, seed):
+    draw = random.Random(seed)
+    return ["".join(draw.choice(PARTS) for _ in range(draw.randint(0, 14))) for _ in range(n)]
+
+
+def test_strange_texts_equal_the_library():
+    from tokenizers import Tokenizer
+
+    own, lib = bpe.ByteLevelBPE(bpe.default_vocabulary(), 500), Tokenizer.from_file(bpe.default_vocabulary())
+    words, clip = repair.WordEncoder(repair.default_vocabulary(), 500), Tokenizer.from_file(repair.default_vocabulary())
+    for seed in range(8):  # memos of 500 entries are outgrown again and again
+        texts = strange_texts(2500, seed)
+        flat, sizes = own.encode_all(texts)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        flat, sizes = words.encode(pa.array(texts), 2)
+        assert [x.tolist() for x in np.split(flat, np.cumsum(sizes)[:-1])] == [[*e.ids, 2] for e in clip.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_gather_and_memo(monkeypatch):
+    monkeypatch.setattr(common, "GATHER", 5)
+    flat = np.arange(40)
+    start, size = np.array([3, 0, 9, 9, 20]), np.array([2, 0, 11, 1, 4])
+    assert common.gather(flat, start, size).tolist() == [x for a, n in zip(start, size) for x in range(a, a + n)]
+    memo = common.SegmentMemo(lambda keys: (np.array([ord(c) for k in keys.to_pylist() for c in k]), np.array([len(k) for k in keys.to_pylist()], np.int64)), 3, np.int64)
+    for keys in (["ab", "", "c"], ["c", "dd", "x" * 100], ["ab"], [], ["q", "r", "s", "t", "ab"]):
+        flat, start, size = memo(pa.array(keys, pa.string()))
+        assert ["".join(map(chr, flat[a : a + n])) for a, n in zip(start, size)] == keys
+        assert len(memo.keys) <= 6 and "x" * 100 not in memo.keys.to_pylist()
+
+
 # 3
 def check_shards(rows, slack):
     of = {}

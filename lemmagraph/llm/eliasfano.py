@@ -1,11 +1,13 @@
 """Elias-Fano sequences and a two-level n-gram trie over them, as bytes that can be memory-mapped.
 
 A monotone sequence of n values below u is kept as low bits, packed, and high bits in unary: 2 + log2(u / n) bits a
-value, with random access by a select over a directory of bit counts. All queries are vectorised over numpy arrays.
+value, with random access by a select of ones over a directory of bit counts. The successor of a value is found by two
+selects of zeros, which bound the few values that share its high bits, and a search among their low bits. All queries
+are vectorised over numpy arrays.
 
 The trie: contexts in ascending order, for each the start of its range of successors (monotone pointers), and
 the successors of all contexts as one monotone sequence: each context's successor ids are shifted by the total of
-the ranges before. A word is found by a binary search among the successors of its context only.
+the ranges before. A word is looked for among the successors of its context only.
 """
 
 from __future__ import annotations
@@ -46,43 +48,66 @@ class Sequence:
         self.high = take(n_high, at + 8 * n_low)
         self.before = take(n_high + 1, at + 8 * (n_low + n_high))
         self.end = at + 8 * (n_low + 2 * n_high + 1)
+        self.zeros: np.ndarray | None = None  # before each word; made at the first search
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.before, i.astype(np.uint64), side="right") - 1
-        left = i - self.before[word].astype(np.int64)  # ones to skip inside the word
-        bits, at = self.high[word], np.zeros(len(i), np.int64)
+    def _select(self, bits: np.ndarray, left: np.ndarray) -> np.ndarray:
+        """Place of the left-th set bit of each word of bits."""
+        left, at = left.copy(), np.zeros(len(left), np.int64)
         for step in (32, 16, 8, 4, 2, 1):
             under = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
             beyond = under <= left
             left -= np.where(beyond, under, 0)
             bits = np.where(beyond, bits >> np.uint64(step), bits)
             at += np.where(beyond, step, 0)
-        top = (word * 64 + at - i).astype(np.uint64)
+        return at
+
+    def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
-            return top
+            return np.zeros(len(i), np.uint64)
         start = i * self.width
         word, shift = start >> 6, (start & 63).astype(np.uint64)
         low = self.low[word] >> shift
         spill = np.where(shift > 0, self.low[word + 1] << (np.uint64(64) - np.maximum(shift, np.uint64(1))), np.uint64(0))
-        return top << np.uint64(self.width) | (low | spill) & np.uint64((1 << self.width) - 1)
-
-
-def search(seq: Sequence, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
-    """For each wanted value the first index in [low, high) whose value is at least it (high if none)."""
-    low, high = low.astype(np.int64), high.astype(np.int64)
-    while True:
-        open_ = np.flatnonzero(low < high)
-        if not len(open_):
-            return low
-        mid = (low[open_] + high[open_]) >> 1
-        under = seq[mid] < wanted[open_]
-        low[open_] = np.where(under, mid + 1, low[open_])
-        high[open_] = np.where(under, high[open_], mid)
+        return (low | spill) & np.uint64((1 << self.width) - 1)
 
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        i = np.asarray(i, np.int64)
+        word = np.searchsorted(self.before, i.astype(np.uint64), side="right") - 1
+        place = word * 64 + self._select(self.high[word], i - self.before[word].astype(np.int64))
+        return (place - i).astype(np.uint64) << np.uint64(self.width) | self._low(i)
+
+    def _begin(self, h: np.ndarray) -> np.ndarray:
+        """Number of values whose high bits are below h."""
+        if self.zeros is None:
+            self.zeros = 64 * np.arange(len(self.before), dtype=np.int64) - self.before.astype(np.int64)
+        out = np.full(len(h), self.n, np.int64)
+        inside = np.flatnonzero(h <= self.zeros[-1])
+        k = h[inside] - 1  # the zero that ends the group before
+        word = np.searchsorted(self.zeros, np.maximum(k, 0), side="right") - 1
+        place = word * 64 + self._select(~self.high[word], np.maximum(k, 0) - self.zeros[word])
+        out[inside] = np.where(k < 0, 0, place - k)
+        return out
 
-def build_trie(context: np.ndarray, word: np.ndarray, code: np.ndarray) -> bytes:
-    """Entries sorted by (context, word), distinct; code: a 16-bit quantised probability of each."""
+    def successor(self, wanted: np.ndarray, low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """For each wanted value the first index in [low, high) whose value is at least it (high if none), and whether
+        it is that value."""
+        h, rest = (wanted >> np.uint64(self.width)).astype(np.int64), wanted & np.uint64((1 << self.width) - 1)
+        at = np.clip(self._begin(h), low, high)
+        group = end = np.clip(self._begin(h + 1), at, high)
+        end = end.copy()
+        while len(open_ := np.flatnonzero(at < end)):
+            mid = (at[open_] + end[open_]) >> 1
+            under = self._low(mid) < rest[open_]
+            at[open_] = np.where(under, mid + 1, at[open_])
+            end[open_] = np.where(under, end[open_], mid)
+        found = at < group
+        found[found] = self._low(at[found]) == rest[found]
+        return at, found
+
+
+def build_trie(context: np.ndarray, word: np.ndarray, code: np.ndarray, of_context: np.ndarray) -> bytes:
+    """Entries sorted by (context, word), distinct; code: a 16-bit quantised probability of each; of_context: one a
+    context, the quantised weight of what it leaves to shorter contexts."""
     contexts, starts = np.unique(context, return_index=True)
     if not len(contexts):
         return b"".join(encode(np.empty(0, np.uint64)) for _ in range(4))
@@ -90,7 +115,7 @@ def build_trie(context: np.ndarray, word: np.ndarray, code: np.ndarray) -> bytes
     base = np.concatenate([[0], np.cumsum(word[ends - 1].astype(np.uint64) + np.uint64(1))[:-1]]).astype(np.uint64)
     shifted = word.astype(np.uint64) + np.repeat(base, ends - starts)
     parts = [encode(contexts), encode(np.append(starts, len(context))), encode(base), encode(shifted)]
-    return b"".join(parts) + code.astype("<u2").tobytes()
+    return b"".join(parts) + code.astype("<u2").tobytes() + of_context.astype("<u2").tobytes()
 
 
 class Trie:
@@ -100,25 +125,21 @@ class Trie:
         self.base = Sequence(buffer, self.pointers.end)
         self.words = Sequence(buffer, self.base.end)
         self.codes = np.frombuffer(buffer, "<u2", self.words.n, self.words.end)
+        self.of_context = np.frombuffer(buffer, "<u2", self.contexts.n, self.words.end + 2 * self.words.n)
 
-    def find(self, context: np.ndarray, word: np.ndarray) -> np.ndarray:
-        """The code of each (context, word), -1 where the trie has none."""
+    def find(self, context: np.ndarray, word: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The index of each (context, word) among the entries, and of its context; -1 where the trie has none."""
         out = np.full(len(context), -1, np.int64)
         n = self.contexts.n
         if not n or not len(context):
-            return out
+            return out, out.copy()
         context, word = context.astype(np.uint64), word.astype(np.uint64)
         asked, back = np.unique(context, return_inverse=True)
-        at = search(self.contexts, asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
-        known = at < n
-        known[known] = self.contexts[at[known]] == asked[known]
-        at = np.where(known, at, 0)
-        low, high, base = self.pointers[at], self.pointers[at + 1], self.base[at]
+        at, known = self.contexts.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
+        held = np.where(known, at, 0)
+        low, high, base = self.pointers[held].astype(np.int64), self.pointers[held + 1].astype(np.int64), self.base[held]
         some = np.flatnonzero(known[back])
         b = back[some]
-        wanted = word[some] + base[b]
-        place = search(self.words, wanted, low[b], high[b])
-        inside = np.flatnonzero(place < high[b].astype(np.int64))
-        hit = inside[self.words[place[inside]] == wanted[inside]]
-        out[some[hit]] = self.codes[place[hit]]
-        return out
+        place, hit = self.words.successor(word[some] + base[b], low[b], high[b])
+        out[some[hit]] = place[hit]
+        return out, np.where(known, at, -1)[back]

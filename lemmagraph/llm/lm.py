@@ -2,9 +2,9 @@
 
 The model grows with the corpus and never sits in one place: its levels are cut into shards of contexts, and
 documents never meet the whole of it. Documents are read once into blocks of BLOCK_TOKENS tokens; a block asks only
-for the distinct words and the distinct word pairs it holds, with how often its own training documents have them. A
-word or pair that fills a third of the corpus is therefore one entry a block, and contexts that are still crowded are
-cut into sub-shards of successors by their count.
+for the distinct words and the distinct windows it holds, with how often its own training documents have them. A
+word or pair that fills a third of the corpus is therefore one entry a block, and a context is cut by its successors
+into one part for each CROWD occurrences, whatever the cluster.
 
 1. tokenise: blocks, and for each shard of words the distinct words of the block;
 2. words: exact training counts of a shard of words, ids by shard and rank, handed back to the blocks;
@@ -12,13 +12,19 @@ cut into sub-shards of successors by their count.
 4. trie: training counts of a shard of contexts, the trie built (smoothed, quantised), memory-mapped, searched for
    every pair asked, and the codes handed back;
 5. for each order above 2: the windows whose context was met in training are asked of the shards of the order's
-   contexts, named by the shard and rank of their entry a level below, as in 3 and 4;
+   contexts, as in 3 and 4. A context that only this block holds is not sent: the block has all its counts, and builds
+   the trie of such contexts itself;
 6. scores: the sum of the codes of the highest order over each document.
 
-Smoothing: p(w | v) = (c(vw) + m p(w)) / (c(v) + m) with m = PRIOR * c(v) ** PRIOR_POWER and the base unigram p(w); a
-proper distribution for every context, equal to the base where a context was never seen. Longer contexts are smoothed
-the same way with the order below as their base; a window reaches back to the end token that opens its document, no
-further. log10 p is kept to 1 / STEP at every order.
+A phase ends with a checkpoint, after which the exchanges before it can be deleted. What is sent is sorted and packed;
+counts and ids may exceed 32 bits.
+
+Smoothing, by absolute discounting: p(w | v) = (c(vw) - D(c(vw))) / c(v) + b(v) p(w) with D of DISCOUNTS for counts of
+1, 2, and more, b(v) the sum of the discounts of v's successors by c(v), and the base unigram p(w): a proper
+distribution for every context, equal to the base where a context was never seen. Longer contexts are smoothed the same
+way with the order below as their base; a window reaches back to the end token that opens its document, no further. A
+context of more than CROWD occurrences takes b from the part of its successors that the window belongs to, times the
+number of parts. log10 p and log10 b are kept to 1 / STEP at every order, down to 10^-16.
 
 Defined results: a null or empty text is the end token alone. A null id is not held out. Repeated rows count and
 score each. An empty table gives an empty table. Without training tokens N is 0. Other columns are not looked at.
@@ -27,6 +33,7 @@ score each. An empty table gives an empty table. Without training tokens N is 0.
 from __future__ import annotations
 
 import mmap
+import pickle
 import tempfile
 from collections import defaultdict
 from collections.abc import Iterator
@@ -40,12 +47,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_remainder
+from .common import cut, in_remainder, release
 from .eliasfano import Trie, build_trie
 
 BLOCK_TOKENS = 1 << 21
 STEP = 4096
-PRIOR, PRIOR_POWER = 2.0, 0.85
+#: What entries of count 1, 2 and more give to shorter contexts.
+DISCOUNTS = (0.9, 1.1, 1.3)
+#: Occurrences of a context that one shard takes together.
+CROWD = 1 << 20
 END = b""
 #: Kinds of rows between blocks and shards.
 WINDOWS, BASE, IDS, CODES = range(4)
@@ -58,14 +68,16 @@ def held_out() -> Column:
 
 
 def squeeze(a: np.ndarray) -> bytes:
-    """Unsigned integers, byte planes apart, compressed."""
-    a = np.ascontiguousarray(a, "<u4")
-    return zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(-1, 4).T.tobytes())
+    """Unsigned integers, byte planes apart, compressed; the first byte is their width, 8 if one needs over 32 bits."""
+    width = 8 if len(a) and int(a.max()) >> 32 else 4
+    a = np.ascontiguousarray(a, f"<u{width}")
+    return bytes([width]) + zstandard.ZstdCompressor(1).compress(a.view(np.uint8).reshape(-1, width).T.tobytes())
 
 
 def unsqueeze(b: bytes) -> np.ndarray:
-    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b), np.uint8).reshape(4, -1)
-    return np.ascontiguousarray(planes.T).view("<u4").ravel()
+    width = b[0]
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(b[1:]), np.uint8).reshape(width, -1)
+    return np.ascontiguousarray(planes.T).view(f"<u{width}").ravel()
 
 
 def _log10(code: np.ndarray) -> np.ndarray:
@@ -80,8 +92,12 @@ def base_log10(c: np.ndarray, n: int, v: int) -> np.ndarray:
     return np.log10((c + 0.1) / (n + 0.1 * (v + 1)))
 
 
-def prior(c: np.ndarray) -> np.ndarray:
-    return PRIOR * np.maximum(c, 1.0) ** PRIOR_POWER
+def discount(c: np.ndarray) -> np.ndarray:
+    return np.where(c == 1, DISCOUNTS[0], np.where(c == 2, DISCOUNTS[1], DISCOUNTS[2]))
+
+
+def parts_of(c: np.ndarray) -> np.ndarray:
+    return np.maximum(1, -(-c.astype(np.int64) // CROWD))
 
 
 def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Column) -> DataFrame:
@@ -164,7 +180,7 @@ def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
     for _, r, times, _ in asked:
         total[r] += times  # words of a block are distinct
     shard = int(pdf["shard"].iat[0])
-    rows = [(block, shard, squeeze(np.concatenate([r, total[r], place])), 0, 0, 0) for block, r, _, place in asked]
+    rows = [(block, shard, squeeze(np.concatenate([r, total[r], place.astype(np.int64)])), 0, 0, 0) for block, r, _, place in asked]
     rows.append((-1, shard, b"", len(rank), int((total > 0).sum()), int(total.sum())))
     return pd.DataFrame(rows, columns=["block", "shard", "a", "words", "known", "tokens"])
 
@@ -197,36 +213,35 @@ def _windows(stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: i
 
 def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n: int, v: int, shards: int) -> pd.DataFrame:
     """Rows (block, shard, kind, a, b): the pairs asked of each shard, and in rows of any shard what the block keeps:
-    base results, ids of its words, codes of its windows so far."""
+    base results, ids of its words."""
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
     block = int(row["block"])
     size = int(stream.max()) + 1
-    gid, c = np.zeros(size, np.uint32), np.zeros(size, np.int64)
+    gid, c = np.zeros(size, np.uint64), np.zeros(size, np.int64)
     for shard, a in zip(words["shard"], words["a"]):
         rank, times, place = unsqueeze(a).reshape(3, -1)
         place = np.cumsum(place.astype(np.int64))
-        gid[place], c[place] = rank + np.uint32(offsets[shard]), times
+        gid[place], c[place] = rank.astype(np.uint64) + np.uint64(offsets[shard]), times
     p1 = base_log10(c, n, v)
     base = np.add.reduceat(p1[stream], starts)
     known = np.add.reduceat((c[stream] > 0).astype(np.int64), starts)
     keys, inverse = _pairs(stream)
     train = np.repeat(~np.asarray(list(row["held"]), bool), sizes)
-    times = np.bincount(inverse[train], minlength=len(keys)).astype(np.uint32)
+    times, outs = (np.bincount(inverse[x], minlength=len(keys)) for x in (train, ~train))
     context, word = np.divmod(keys, size)
     rows = [(block, block % shards, BASE, base.tobytes(), known.astype("<i8").tobytes()), (block, block % shards, IDS, squeeze(gid), b"")]
-    code = _code(p1)
-    rows.append((block, block % shards, CODES, squeeze(code[word]), b""))
-    rows += _asked(block, shards, n, np.arange(len(keys)), np.zeros(len(keys), np.uint32), gid[context], c[context], gid[word], times, code[word])
+    rows += _asked(block, shards, np.arange(len(keys)), (gid[context],), c[context], gid[word], times, outs, _code(p1)[word])
     return pd.DataFrame(rows, columns=ROW)
 
 
-def _asked(block: int, shards: int, n: int, own: np.ndarray, high: np.ndarray, low: np.ndarray, c: np.ndarray, word: np.ndarray, times: np.ndarray, code: np.ndarray) -> list[tuple]:
-    """Requests for windows: number in the block, name of the context (high, low) and its count, id of the word, own
-    training count, code of the base."""
-    cuts = np.maximum(1, np.ceil(c * shards / max(n, 1))).astype(np.uint64)  # sub-shards of a crowded context
-    named = low.astype(np.uint64) + (high.astype(np.uint64) << np.uint64(40))
-    mixed = (named << np.uint64(20)) + word.astype(np.uint64) % cuts if not high.any() else (named * MIX ^ named >> np.uint64(29)) + word.astype(np.uint64) % cuts
+def _asked(block: int, shards: int, own: np.ndarray, names: tuple[np.ndarray, ...], c: np.ndarray, word: np.ndarray, times: np.ndarray, outs: np.ndarray, code: np.ndarray) -> list[tuple]:
+    """Requests for windows: number in the block, name of the context (one or two ids) and its count, id of the word,
+    own training and held-out counts, code of the base."""
+    mixed = word % parts_of(c).astype(np.uint64)
+    for name in names:
+        mixed = (mixed ^ name) * MIX
+        mixed ^= mixed >> np.uint64(29)
     shard_of = ((mixed * MIX) >> np.uint64(33)).astype(np.int64) % shards
     order = np.argsort(shard_of, kind="stable")
     edges = np.searchsorted(shard_of[order], np.arange(shards + 1))
@@ -234,97 +249,149 @@ def _asked(block: int, shards: int, n: int, own: np.ndarray, high: np.ndarray, l
     for s in range(shards):
         at = order[edges[s] : edges[s + 1]]
         if len(at):
-            place = np.diff(own[at], prepend=0)
-            rows.append((block, s, WINDOWS, squeeze(np.concatenate([place, high[at], low[at], word[at], times[at], code[at]])), squeeze(np.minimum(c[at], 0xFFFFFFFF))))
+            named = np.lexsort([x[at] for x in reversed(names)]) if len(names) > 1 else np.argsort(names[0][at], kind="stable")
+            at = at[named]
+            new = np.concatenate([[True], np.any([np.diff(x[at]) != 0 for x in names], axis=0)])
+            first = at[new]
+            runs = np.diff(np.append(np.flatnonzero(new), len(at)))
+            rows.append((block, s, WINDOWS, pickle.dumps([squeeze(x) for x in (_zigzag(np.diff(own[at], prepend=0)), word[at], times[at], outs[at], code[at])]), pickle.dumps([squeeze(x) for x in (runs, c[first], np.diff(names[0][first], prepend=np.uint64(0)), *(x[first] for x in names[1:]))])))
     return rows
 
 
-def _kept(answers: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
-    """Code of each window of a block, high and low name and count of its entry, ids of the words, and the rows kept."""
+def _zigzag(a: np.ndarray) -> np.ndarray:
+    return np.where(a < 0, -2 * a - 1, 2 * a)
+
+
+def _unzigzag(a: np.ndarray) -> np.ndarray:
+    a = a.astype(np.int64)
+    return np.where(a & 1, -(a + 1) // 2, a // 2)
+
+
+def _kept(answers: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray, pd.DataFrame]:
+    """Code of each of `size` windows of a block, training and held-out count and name (two numbers) of its entry, zeros
+    if it has none, ids of the words, and the rows kept."""
     rest = answers[answers["kind"] != WINDOWS]
-    code = unsqueeze(rest.loc[rest["kind"] == CODES, "a"].iat[0]).copy()
+    codes = rest.loc[rest["kind"] == CODES, "a"]
+    code = unsqueeze(codes.iat[0]).copy() if len(codes) else np.zeros(size, np.uint32)
     ids = unsqueeze(rest.loc[rest["kind"] == IDS, "a"].iat[0])
-    high, low, c = (np.zeros(len(code), np.uint32) for _ in range(3))
+    c, out, name = np.zeros(size, np.int64), np.zeros(size, np.int64), np.zeros((size, 2), np.uint64)
     for shard, kind, a, b in zip(answers["shard"], answers["kind"], answers["a"], answers["b"]):
         if kind == WINDOWS:
-            place, found = unsqueeze(a).reshape(2, -1)
-            place = np.cumsum(place.astype(np.int64))
+            place, found = map(unsqueeze, pickle.loads(a))
+            place = np.cumsum(_unzigzag(place))
             code[place] = found
             if b:
-                low[place], c[place] = unsqueeze(b).reshape(2, -1)
-                high[place] = shard + 1
-    return code, high, low, c, ids, rest[rest["kind"] != CODES]
+                c[place], out[place], name[place, 1] = map(unsqueeze, pickle.loads(b))
+                name[place, 0] = shard
+    return code, c, out, name, ids, rest[rest["kind"] != CODES]
 
 
-def ask_windows(tokens: pd.DataFrame, answers: pd.DataFrame, order: int, n: int, shards: int) -> pd.DataFrame:
+def ask_windows(tokens: pd.DataFrame, answers: pd.DataFrame, order: int, shards: int, last: bool) -> pd.DataFrame:
     """Requests for the windows of `order` words whose context was met in training, from the answers a level below."""
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
     block = int(row["block"])
-    code, high, low, c, gid, rest = _kept(answers)
     number, lower, first = _windows(stream, starts, sizes, order)
+    code, c, out, name, gid, rest = _kept(answers, int(lower.max()) + 1)
     train = np.repeat(~np.asarray(list(row["held"]), bool), sizes)
-    times = np.bincount(number[train], minlength=len(first)).astype(np.uint32)
+    times, outs = (np.bincount(number[x], minlength=len(first)) for x in (train, ~train))
+    below, below_out = (np.bincount(lower[x], minlength=len(code)) for x in (train, ~train))
     base = code[lower[first]]
-    full = first - np.repeat(starts, sizes)[first] >= order - 2
+    inside = first - np.repeat(starts, sizes)[first]
     context = lower[np.maximum(first - 1, 0)]
-    own = np.flatnonzero(full & (c[context] > 0))
-    x = context[own]
+    asked = (inside >= order - 2) & (c[context] > 0)
+    word = gid[stream[first]].astype(np.uint64)
+    # the levels above need a name of every entry, which shards give: then all is asked
+    own = asked & ((c == below) & (out == below_out))[context] if last else np.zeros(len(first), bool)
+    at = np.flatnonzero(own)
+    base[at] = fit(context[at], word[at], times[at], c[context[at]], base[at])[0]
+    at = np.flatnonzero(asked & ~own)
+    x = context[at]
+    if order == 3:  # a pair is named by its words
+        before = np.concatenate([[0], stream[:-1]])
+        names = (gid[before[np.maximum(first[at] - 1, 0)]].astype(np.uint64), gid[stream[first[at] - 1]].astype(np.uint64))
+    else:
+        names = (name[x, 0], name[x, 1])
+    asked_code = base[at]
+    if last:
+        base[at] = 0
     rows = [*rest[ROW].itertuples(index=False, name=None), (block, block % shards, CODES, squeeze(base), b"")]
-    rows += _asked(block, shards, n, own, high[x], low[x], c[x].astype(np.int64), gid[stream[first[own]]], times[own], base[own])
+    rows += _asked(block, shards, at, names, c[x], word[at], times[at], outs[at], asked_code)
     return pd.DataFrame(rows, columns=ROW)
 
 
-def answer_windows(pdf: pd.DataFrame, last: bool) -> pd.DataFrame:
-    """One shard of contexts: build the trie from the training counts of all blocks, then search it for each.
+def fit(context: np.ndarray, word: np.ndarray, times: np.ndarray, c: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Build the trie of the windows met in training and search it for all: code, index and count of each one's entry
+    (-1 and 0: none). context: numbers; c: counts of the contexts; code: of the order below."""
+    parts = parts_of(c)
+    if len(parts) and (most := int(parts.max())) > 1:
+        context = context.astype(np.int64) * most + (word % parts.astype(np.uint64)).astype(np.int64)
+    words, word = np.unique(word, return_inverse=True)
+    span = max(len(words), 1)
+    seen = np.flatnonzero(times > 0)
+    entries, first, back = np.unique(context[seen].astype(np.int64) * span + word[seen], return_index=True, return_inverse=True)
+    counted = np.bincount(back, times[seen], len(entries)).astype(np.int64)
+    of_entry = seen[first]
+    of, starts = np.unique(entries // span, return_index=True)
+    each = np.diff(np.append(starts, len(entries)))
+    whole = c[of_entry].astype(np.float64)
+    d = discount(counted)
+    left = np.minimum(np.add.reduceat(d, starts) * parts[of_entry[starts]] / whole[starts], 1.0) if len(of) else np.empty(0)
+    stored = _code(np.log10((counted - d) / whole + np.repeat(left, each) * 10 ** _log10(code[of_entry].astype(np.float64))))
+    levels = build_trie(entries // span, entries % span, stored, _code(np.log10(left)))
+    with tempfile.TemporaryFile() as f:  # the levels are read where they lie
+        f.write(levels)
+        del levels
+        f.flush()
+        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
+            trie = Trie(mapped)
+            at, of_context = trie.find(context, word)
+            down = np.minimum(code + np.where(of_context >= 0, np.append(trie.of_context, 0)[of_context], 0).astype(np.int64), 65535)
+            out = np.where(at >= 0, np.append(trie.codes, 0)[at], down)
+            del trie
+    return out, at, np.where(at >= 0, np.append(counted, 0)[at], 0)
+
+
+def answer_windows(pdf: pd.DataFrame, last: bool, named: bool) -> pd.DataFrame:
+    """One shard of contexts: the trie from the training counts of all blocks, searched for each block.
 
-    What blocks keep passes through. Unless this is the last order, rank and count of the entries are told, too.
+    What blocks keep passes through. Unless this is the last order, the counts of the entries are told, too (training
+    and held out: a block that has all of both holds the context alone), and their ranks if they are to name contexts.
     """
     through = pdf[pdf["kind"] != WINDOWS][ROW]
     pdf = pdf[pdf["kind"] == WINDOWS]
     if pdf.empty:
         return through
-    asked = []
+    blocks, asked = [], []
     for block, a, b in sorted(zip(pdf["block"], pdf["a"], pdf["b"])):
-        place, high, low, word, times, code = unsqueeze(a).reshape(6, -1)
-        asked.append((block, place, high.astype(np.uint64) << np.uint64(32) | low, word, times, code, unsqueeze(b)))
-    names = np.unique(np.concatenate([x[2] for x in asked]))
-    asked = [(block, place, np.searchsorted(names, name), *more) for block, place, name, *more in asked]
-    context, word, times, code, c = (np.concatenate([x[i] for x in asked]) for i in (2, 3, 4, 5, 6))
-    seen = times > 0
-    key = context[seen].astype(np.uint64) << np.uint64(32) | word[seen]
-    entries, first, back = np.unique(key, return_index=True, return_inverse=True)
-    counted = np.bincount(back, times[seen], len(entries))
-    of_context, p1 = c[seen][first].astype(np.float64), 10 ** _log10(code[seen][first].astype(np.float64))
-    m = prior(of_context)
-    stored = _code(np.log10((counted + m * p1) / (of_context + m)))
-    levels = build_trie(entries >> np.uint64(32), entries & np.uint64(0xFFFFFFFF), stored)
-    rows = []
-    with tempfile.TemporaryFile() as f:  # the levels are read where they lie
-        f.write(levels)
-        del levels
-        f.flush()
-        with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as held:
-            trie = Trie(held)
-            for block, place, context, word, _, code, c in asked:
-                found = trie.find(context, word)
-                m = prior(c.astype(np.float64))
-                back_off = _code(_log10(code.astype(np.float64)) + np.log10(m / (np.where(c > 0, c, 0) + m)))
-                told = b""
-                if not last:
-                    at = np.searchsorted(entries, context.astype(np.uint64) << np.uint64(32) | word)
-                    told = squeeze(np.concatenate([np.where(found >= 0, x, 0) for x in (at, np.append(counted, 0)[at])]))
-                rows.append((block, int(pdf["shard"].iat[0]), WINDOWS, squeeze(np.concatenate([place, np.where(found >= 0, found, back_off)])), told))
-            del trie
+        place, word, times, outs, code = map(unsqueeze, pickle.loads(a))
+        runs, c, high, *low = map(unsqueeze, pickle.loads(b))
+        runs = runs.astype(np.int64)
+        blocks.append((block, place))
+        asked.append((np.cumsum(high.astype(np.uint64)), low[0].astype(np.uint64) if low else np.zeros(len(runs), np.uint64), c.astype(np.int64), runs, word.astype(np.uint64), times.astype(np.int64), outs.astype(np.int64), code))
+    high, low, c, runs, word, times, outs, code = map(np.concatenate, zip(*asked))
+    _, high = np.unique(high, return_inverse=True)
+    names, low = np.unique(low, return_inverse=True)
+    _, context = np.unique(high * len(names) + low, return_inverse=True)
+    code, entry, count = fit(np.repeat(context, runs), word, times, np.repeat(c, runs), code)
+    out = np.bincount(entry[entry >= 0], outs[entry >= 0], 1).astype(np.int64)
+    out = np.where(entry >= 0, out[np.maximum(entry, 0)], 0)
+    rows, at, shard = [], 0, int(pdf["shard"].iat[0])
+    for block, place in blocks:
+        own = slice(at, at + len(place))
+        told = b"" if last else pickle.dumps([squeeze(count[own]), squeeze(out[own]), squeeze(np.maximum(entry[own], 0) if named else np.zeros(len(place), np.uint64))])
+        rows.append((block, shard, WINDOWS, pickle.dumps([squeeze(place), squeeze(code[own])]), told))
+        at = own.stop
     return pd.concat([through, pd.DataFrame(rows, columns=ROW)])
 
 
 def sum_scores(tokens: pd.DataFrame, answers: pd.DataFrame, order: int) -> pd.DataFrame:
     stream, starts, sizes = _stream(tokens)
     row = tokens.iloc[0]
-    value = _log10(_kept(answers)[0].astype(np.float64))
+    number = _windows(stream, starts, sizes, order)[0]
+    value = _log10(_kept(answers, int(number.max()) + 1)[0].astype(np.float64))
     (a, b), = answers.loc[answers["kind"] == BASE, ["a", "b"]].itertuples(index=False, name=None)
-    score = np.add.reduceat(value[_windows(stream, starts, sizes, order)[0]], starts)
+    score = np.add.reduceat(value[number], starts)
     return pd.DataFrame({"id": list(row["ids"]), "held_out": list(row["held"]), "n_tokens": sizes, "n_known": np.frombuffer(b, "<i8"), "base_score": np.frombuffer(a, np.float64), "score": score})
 
 
@@ -335,8 +402,10 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     held = held_out() if held is None else held
     shards = shards or max(16, 2 * docs.select(text_col).rdd.getNumPartitions())
     rows = cut(tokenise(docs, shards, id_col, text_col, held))
-    tokens = rows.where("shard < 0").select("block", "ids", "held", "a", "b")
+    tokens = cut(rows.where("shard < 0").select("block", "ids", "held", "a", "b"))
     words = cut(rows.where("shard >= 0").select("block", "shard", "a", "b").groupBy("shard").applyInPandas(count_words, "block bigint, shard int, a binary, words bigint, known bigint, tokens bigint"))
+    del rows
+    release(docs.sparkSession)
     totals = words.where("block < 0").select("shard", "words", "known", "tokens").collect()
     sizes = np.zeros(shards + 1, np.int64)
     for r in totals:
@@ -345,15 +414,19 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     n, v = sum(r.tokens for r in totals), sum(r.known for r in totals)
     of_blocks = words.where("block >= 0").select("block", "shard", "a")
     schema = "block bigint, shard int, kind int, a binary, b binary"
-    asked = tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), schema)
-    answers = asked.groupBy("shard").applyInPandas(lambda x: answer_windows(x, order == 2), schema)
+
+    def answered(asked: DataFrame, level: int) -> DataFrame:
+        return asked.groupBy("shard").applyInPandas(lambda x: answer_windows(x, level == order, level > 2), schema)
 
     def above(answers: DataFrame, level: int) -> DataFrame:
-        asked = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: ask_windows(t, x, level, n, shards), schema)
-        return asked.groupBy("shard").applyInPandas(lambda x: answer_windows(x, level == order), schema)
+        return tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: ask_windows(t, x, level, shards, level == order), schema)
 
+    answers = answered(tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), schema), 2)
     for level in range(3, order + 1):
-        answers = above(answers, level)
+        answers = cut(answers)
+        words = of_blocks = None
+        release(docs.sparkSession)
+        answers = answered(above(answers, level), level)
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: sum_scores(t, x, order), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")
     return scored.select(F.col("id").alias(id_col), "held_out", "n_tokens", "n_known", F.lit(n).cast("bigint").alias("train_tokens"), "base_score", "score")

@@ -410,51 +410,83 @@ def test_overlapping_sources(spark):
 
 
 # 10
-def test_language_model(documents, odd, none, monkeypatch):
-    monkeypatch.setattr(lm, "BLOCK_TOKENS", 5000)
-    for df in (documents, odd):
-        rows = df.select("doc_id", "text").collect()
-        tokens = [((r.text or "").encode().lower().split() + [b""], r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0, r.doc_id) for r in rows]
-        c, pairs = Counter(), Counter()
-        for t, held, _ in tokens:
-            if not held:
-                c.update(t)
-                pairs.update(zip([b""] + t[:-1], t))
-        n, v = sum(c.values()), len(c)
-        p1 = lambda w: (c[w] + 0.1) / (n + 0.1 * (v + 1))  # noqa: B023, E731
-        m = lambda w: lm.PRIOR * max(c[w], 1) ** lm.PRIOR_POWER  # noqa: B023, E731
-        want = sorted(((d is not None, d or 0, len(t), sum(c[w] > 0 for w in t), sum(math.log10(p1(w)) for w in t), sum(math.log10((pairs[a, w] + m(a) * p1(w)) / (c[a] + m(a))) for a, w in zip([b""] + t[:-1], t)), held) for t, held, d in tokens), key=lambda x: x[:5])
-        got = sorted(((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score, r.held_out, r.train_tokens) for r in lm.score_documents(df).collect()), key=lambda x: x[:5])
-        for a, b in zip(want, got, strict=True):
-            assert a[:4] == b[:4] and a[6] == b[6] and b[7] == n
-            assert b[4] == pytest.approx(a[4], rel=1e-9) and abs(a[5] - b[5]) <= 2 * a[2] / lm.STEP
-    assert lm.score_documents(none).collect() == []
+def token_rows(df):
+    return [((r.text or "").encode().lower().split() + [b""], r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0, r.doc_id) for r in df.select("doc_id", "text").collect()]
+
+
+def brute_model(rows, order):
+    """A function from a window of words to its probability, and the counts of words."""
+    times, left = Counter(), Counter()
+    for t, held, _ in rows:
+        padded = (b"", *t)
+        if not held:
+            times.update(padded[i - k + 1 : i + 1] for i in range(1, len(padded)) for k in range(1, order + 1) if i - k + 1 >= 0)
+    n, v = sum(x for w, x in times.items() if len(w) == 1), sum(len(w) == 1 for w in times)
+    d = lambda x: lm.DISCOUNTS[min(x, 3) - 1]
+    for w, x in times.items():
+        if len(w) > 1:
+            left[w[:-1]] += d(x)
+
+    def p(w):
+        if len(w) == 1:
+            return (times[w] + 0.1) / (n + 0.1 * (v + 1))
+        seen = times[w[:-1]]
+        return ((times[w] - d(times[w]) if times[w] else 0) + left[w[:-1]] * p(w[1:])) / seen if seen else p(w[1:])
+
+    return p, times, n
 
 
 @pytest.mark.parametrize("order", [2, 3, 4])
-def test_language_model_of_order(documents, odd, monkeypatch, order):
+def test_language_model(documents, odd, none, monkeypatch, order):
     monkeypatch.setattr(lm, "BLOCK_TOKENS", 5000)
     for df in (documents, odd):
-        rows = [((r.text or "").encode().lower().split() + [b""], r.doc_id is not None and zlib.crc32(str(r.doc_id).encode()) % 10 == 0, r.doc_id) for r in df.select("doc_id", "text").collect()]
-        c, times = Counter(), Counter()
-        for t, held, _ in rows:
-            padded = (b"", *t)
-            if not held:
-                c.update(t)
-                times.update(padded[i - k + 1 : i + 1] for i in range(1, len(padded)) for k in range(2, order + 1) if i - k + 1 >= 0)
-        n, v = sum(c.values()), len(c)
-
-        def p(w):
-            if len(w) == 1:
-                return (c[w[0]] + 0.1) / (n + 0.1 * (v + 1))
-            seen = c[w[0]] if len(w) == 2 else times[w[:-1]]
-            m = lm.PRIOR * max(seen, 1) ** lm.PRIOR_POWER
-            return (times[w] + m * p(w[1:])) / (seen + m)
-
-        want = sorted((d is not None, d or 0, len(t), sum(math.log10(p((b"", *t)[max(0, i - order + 1) : i + 1])) for i in range(1, len(t) + 1))) for t, _, d in rows)
-        got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.score) for r in lm.score_documents(df, order=order).collect())
+        rows = token_rows(df)
+        p, times, n = brute_model(rows, order)
+        log = lambda t, k: sum(math.log10(p((b"", *t)[max(0, i - k + 1) : i + 1])) for i in range(1, len(t) + 1))  # noqa: B023, E731
+        want = sorted((d is not None, d or 0, len(t), sum(times[w,] > 0 for w in t), log(t, 1), log(t, order), held) for t, held, d in rows)
+        got = sorted((r.doc_id is not None, r.doc_id or 0, r.n_tokens, r.n_known, r.base_score, r.score, r.held_out, r.train_tokens) for r in lm.score_documents(df, order=order).collect())
         for a, b in zip(want, got, strict=True):
-            assert a[:3] == b[:3] and abs(a[3] - b[3]) <= order * a[2] / lm.STEP
+            assert a[:4] == b[:4] and a[6] == b[6] and b[7] == n
+            assert b[4] == pytest.approx(a[4], rel=1e-9) and abs(a[5] - b[5]) <= 2 * order * a[2] / lm.STEP
+    assert lm.score_documents(none, order=order).collect() == []
+
+
+def test_language_model_is_a_distribution(documents):
+    rows = token_rows(documents.limit(40))
+    p, times, _ = brute_model(rows, 3)
+    words = [w for w in times if len(w) == 1]
+    for context in [w for w in times if len(w) == 2][:200:20]:
+        if context[-1]:
+            seen = sum(p((*context, *w)) for w in words)
+            assert 0.9 < seen <= 1 + 1e-9  # the rest is for words never seen
+
+
+def test_crowded_contexts_are_split(documents, monkeypatch):
+    """Parts of a context estimate what it leaves: scores stay near, whatever the number of shards."""
+    want = {r.doc_id: r.score for r in lm.score_documents(documents, order=3).collect()}
+    monkeypatch.setattr(lm, "CROWD", 200)
+    for shards in (3, 40):
+        got = {r.doc_id: r.score for r in lm.score_documents(documents, order=3, shards=shards).collect()}
+        assert max(abs(got[d] / want[d] - 1) for d in want) < 0.03
+        assert shards == 3 or got == before
+        before = got
+
+
+def test_a_text_twice_in_the_corpus_scores_apart(spark, documents):
+    once = [r.text for r in documents.where("lang = 'en' and length(text) > 500").dropDuplicates(["text"]).limit(120).collect()]
+    texts = [*once, *once[:10]]
+    rows = [(i, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.score - r.base_score) / r.n_tokens for r in lm.score_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), held=F.lit(False), order=3).collect()}
+    rest = sorted(got[i] for i in range(10, len(once)))  # some of them near copies
+    assert sorted(got[i] for i in range(10))[2] > rest[int(0.8 * len(rest))]
+
+
+def test_counts_beyond_32_bits():
+    huge = np.array([5_000_000_000, 3, 1 << 40], np.uint64)
+    assert (lm.unsqueeze(lm.squeeze(huge)) == huge).all() and lm.unsqueeze(lm.squeeze(huge[1:2])).tolist() == [3]
+    word = np.array([1 << 33, 1 << 34, 7], np.uint64)
+    code, at, count = lm.fit(np.zeros(3, np.int64), word, np.array([5_000_000_000, 5_000_000_000, 0]), np.full(3, 10_000_000_000), np.full(3, 4 * lm.STEP, np.uint32))
+    assert count.tolist() == [5_000_000_000, 5_000_000_000, 0] and at[2] == -1 and code[0] == pytest.approx(-math.log10(0.5) * lm.STEP, abs=1)
 
 
 def test_trie():
@@ -464,10 +496,27 @@ def test_trie():
         assert (eliasfano.Sequence(eliasfano.encode(v))[np.arange(n)] == v).all()
     key = np.unique(rng.integers(0, 500, 9000) * 10_000 + rng.integers(0, 3000, 9000))
     code = rng.integers(0, 65536, len(key))
-    t = eliasfano.Trie(eliasfano.build_trie(key // 10_000, key % 10_000, code))
+    contexts = np.unique(key // 10_000)
+    t = eliasfano.Trie(eliasfano.build_trie(key // 10_000, key % 10_000, code, contexts % 65536))
     c, w = rng.integers(0, 700, 20_000), rng.integers(0, 3100, 20_000)
-    held = dict(zip(key.tolist(), code.tolist()))
-    assert t.find(c, w).tolist() == [held.get(x, -1) for x in (c * 10_000 + w).tolist()]
+    held = {x: i for i, x in enumerate(key.tolist())}
+    at, of = t.find(c, w)
+    assert at.tolist() == [held.get(x, -1) for x in (c * 10_000 + w).tolist()] and (t.codes == code).all()
+    assert (np.where(of >= 0, t.of_context[of], -1) == np.where(np.isin(c, contexts), c, -1)).all()
+
+
+def test_successors():
+    rng = np.random.default_rng(1)
+    for n, u in ((1, 1), (50, 3), (1000, 10), (3000, 10**12), (2000, 70_000)):
+        v = np.sort(np.concatenate([rng.integers(0, u, n), np.repeat(rng.integers(0, u, 3), 40)])).astype(np.uint64)
+        s = eliasfano.Sequence(eliasfano.encode(v))
+        wanted = np.concatenate([rng.integers(0, 2 * u + 1, 400), v[::7].astype(np.int64)]).astype(np.uint64)
+        low = rng.integers(0, len(v), len(wanted))
+        high = rng.integers(low, len(v) + 1)
+        at, hit = s.successor(wanted, low, high)
+        for x, a, b, i, h in zip(wanted.tolist(), low.tolist(), high.tolist(), at.tolist(), hit.tolist()):
+            first = next((k for k in range(a, b) if v[k] >= x), b)
+            assert i == first and h == (first < b and v[first] == x)
 
 
 # the pipeline

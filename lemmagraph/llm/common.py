@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import os
 import tempfile
 import uuid
@@ -47,11 +46,27 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark delete the exchanges and checkpoints that nothing refers to any more: it does so when their owners are
-    collected as garbage, which the driver's memory alone may not ask for while disks fill."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+#: Files of exchanges are deleted when the query that made them ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+def stored(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
+    """Write a table of the shared folder and read it again; the exchanges behind it are deleted at once."""
+    spark = df.sparkSession
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        fresh = df.select("*")  # a plan made under this setting
+        (fresh.write.partitionBy(by) if by else fresh.write).parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.drop(by).schema if by else df.schema).parquet(path)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours from the shared folder."""
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch_path(spark: SparkSession, what: str) -> str:

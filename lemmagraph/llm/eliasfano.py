@@ -17,6 +17,11 @@ import struct
 import numpy as np
 
 HEAD = struct.Struct("<QQBxxxxxxx")
+U = np.uint64
+#: Words that repeat a byte: its highest bit, one, and the lower half of each 2, 4 and 8 bits.
+EVERY = {0: U(0x8080808080808080), 1: U(0x0101010101010101), 2: U(0x5555555555555555), 4: U(0x3333333333333333), 8: U(0x0F0F0F0F0F0F0F0F)}
+#: Place of the k-th set bit of each byte.
+PLACE = np.array([([i for i in range(8) if b >> i & 1] + [0] * 8)[:8] for b in range(256)], np.uint64)
 
 
 def encode(values: np.ndarray) -> bytes:
@@ -29,12 +34,24 @@ def encode(values: np.ndarray) -> bytes:
     bits = np.zeros((int(ones[-1]) + 64) // 64 * 64 if n else 64, np.uint8)
     bits[ones] = 1
     high = np.packbits(bits, bitorder="little").view("<u8")
-    low_bits = ((v[:, None] >> np.arange(width, dtype=np.uint64)) & np.uint64(1)).astype(np.uint8).ravel()
-    low = np.packbits(np.pad(low_bits, (0, -len(low_bits) % 64 + 64)), bitorder="little").view("<u8")
+    low = _pack(v & np.uint64((1 << width) - 1), width)
     before = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]).astype("<u8")
     return HEAD.pack(n, len(high), width) + struct.pack("<Q", len(low)) + low.tobytes() + high.tobytes() + before.tobytes()
 
 
+def _pack(v: np.ndarray, width: int) -> np.ndarray:
+    """The values' low bits one behind the other: 64 values fill as many words as a value has bits."""
+    groups = -(-len(v) // 64)
+    v = np.pad(v, (0, groups * 64 - len(v))).reshape(groups, 64)
+    out = np.zeros((groups, width + 1), np.uint64)
+    for j in range(64 if width else 0):
+        word, shift = divmod(j * width, 64)
+        out[:, word] |= v[:, j] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, word + 1] |= v[:, j] >> np.uint64(64 - shift)
+    return np.append(out[:, :width].ravel(), np.uint64(0)).astype("<u8")
+
+
 class Sequence:
     """Reads an encoded sequence from a buffer, in place."""
 
@@ -52,14 +69,13 @@ class Sequence:
 
     def _select(self, bits: np.ndarray, left: np.ndarray) -> np.ndarray:
         """Place of the left-th set bit of each word of bits."""
-        left, at = left.copy(), np.zeros(len(left), np.int64)
-        for step in (32, 16, 8, 4, 2, 1):
-            under = np.bitwise_count(bits & np.uint64((1 << step) - 1)).astype(np.int64)
-            beyond = under <= left
-            left -= np.where(beyond, under, 0)
-            bits = np.where(beyond, bits >> np.uint64(step), bits)
-            at += np.where(beyond, step, 0)
-        return at
+        k = left.astype(np.uint64)
+        pairs = bits - (bits >> U(1) & EVERY[2])
+        nibbles = (pairs & EVERY[4]) + (pairs >> U(2) & EVERY[4])
+        upto = (nibbles + (nibbles >> U(4)) & EVERY[8]) * EVERY[1]  # in each byte the ones up to its end
+        shift = np.bitwise_count((k * EVERY[1] | EVERY[0]) - upto & EVERY[0]).astype(np.uint64) << U(3)
+        k -= (upto << U(8)) >> shift & U(255)
+        return (shift + PLACE[(bits >> shift & U(255)).astype(np.int64), k.astype(np.int64)]).astype(np.int64)
 
     def _low(self, i: np.ndarray) -> np.ndarray:
         if not self.width:
@@ -134,7 +150,8 @@ class Trie:
         if not n or not len(context):
             return out, out.copy()
         context, word = context.astype(np.uint64), word.astype(np.uint64)
-        asked, back = np.unique(context, return_inverse=True)
+        new = np.concatenate([[True], context[1:] != context[:-1]])  # each run of a context is looked up once
+        asked, back = context[new], np.cumsum(new) - 1
         at, known = self.contexts.successor(asked, np.zeros(len(asked), np.int64), np.full(len(asked), n))
         held = np.where(known, at, 0)
         low, high, base = self.pointers[held].astype(np.int64), self.pointers[held + 1].astype(np.int64), self.base[held]

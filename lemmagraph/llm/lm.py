@@ -16,7 +16,7 @@ into one part for each CROWD occurrences, whatever the cluster.
    the trie of such contexts itself;
 6. scores: the sum of the codes of the highest order over each document.
 
-A phase ends with a checkpoint, after which the exchanges before it can be deleted. What is sent is sorted and packed;
+A phase ends with a table in the shared folder; its exchanges and the tables it was made of are deleted then. What is sent is sorted and packed;
 counts and ids may exceed 32 bits.
 
 Smoothing, by absolute discounting: p(w | v) = (c(vw) - D(c(vw))) / c(v) + b(v) p(w) with D of DISCOUNTS for counts of
@@ -42,12 +42,13 @@ from itertools import count
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, in_remainder, release
+from .common import in_remainder, portions, remove, scratch_path, stored
 from .eliasfano import Trie, build_trie
 
 BLOCK_TOKENS = 1 << 21
@@ -56,7 +57,7 @@ STEP = 4096
 DISCOUNTS = (0.9, 1.1, 1.3)
 #: Occurrences of a context that one shard takes together.
 CROWD = 1 << 20
-END = b""
+END = ""
 #: Kinds of rows between blocks and shards.
 WINDOWS, BASE, IDS, CODES = range(4)
 ROW = ["block", "shard", "kind", "a", "b"]
@@ -103,14 +104,14 @@ def parts_of(c: np.ndarray) -> np.ndarray:
 def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Column) -> DataFrame:
     """Rows (block, shard, ids, held, a, b): shard -1 holds the tokens (a) and lengths (b) of the block's documents,
     the others its distinct words (a), their training counts and places (b)."""
-    narrow = docs.select(id_col, held.alias("held"), text_col)
+    narrow = docs.select(id_col, held.alias("held"), F.col(text_col).cast("string"))
     id_type = narrow.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         block = TaskContext.get().partitionId() << 24
-        number: dict[bytes, int] = {}
+        number: dict[str, int] = {}
         kind = None
 
         def fresh():
@@ -142,7 +143,7 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
             for s in range(shards):
                 own = order[cuts[s] : cuts[s + 1]]
                 if len(own):
-                    rows.append((s, None, None, pack(b" ".join([words[i] for i in own])), squeeze(np.concatenate([times[own], np.diff(own, prepend=0)]))))
+                    rows.append((s, None, None, pack(" ".join([words[i] for i in own]).encode()), squeeze(np.concatenate([times[own], np.diff(own, prepend=0)]))))
             return pa.RecordBatch.from_arrays(
                 [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(kind)), pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
                 names=["block", "shard", "ids", "held", "a", "b"],
@@ -150,14 +151,19 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
 
         for batch in batches:
             kind = batch.schema.field(0).type
-            for doc, out, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist()):
-                words = (text or "").encode().lower().split()
-                words.append(END)
-                tokens.append(np.fromiter(map(number.__getitem__, words), np.int64, len(words)))
-                ids.append(doc)
-                outs.append(out)
-                lengths.append(len(words))
-                total += len(words)
+            for part in portions(batch, 2, 512, 1 << 22):
+                split = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(part.column(2), "")))
+                coded = split.flatten().dictionary_encode()
+                words = np.fromiter(map(number.__getitem__, coded.dictionary.to_pylist()), np.int64, len(coded.dictionary))
+                word = words[coded.indices.to_numpy()] if len(words) else np.empty(0, np.int64)
+                some = word > 0  # white space at the ends of a text splits off empty words
+                ends = np.concatenate([[0], np.cumsum(some)])[split.offsets.to_numpy() - split.offsets[0].as_py()]
+                tokens.append(np.insert(word[some], ends[1:], 0))
+                sizes = np.diff(ends) + 1
+                lengths += sizes.tolist()
+                ids += part.column(0).to_pylist()
+                outs += part.column(1).to_pylist()
+                total += int(sizes.sum())
                 if total >= BLOCK_TOKENS:
                     yield flush()
                     block += 1
@@ -192,23 +198,33 @@ def _stream(tokens: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return stream, np.concatenate([[0], np.cumsum(sizes)[:-1]]), sizes
 
 
-def _pairs(stream: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """A sorting of the keys, where each distinct one starts in it, its number for every key, and a place of each."""
+    order = np.argsort(keys)
+    ordered = keys[order]
+    new = np.concatenate([np.ones(min(1, len(keys)), bool), ordered[1:] != ordered[:-1]])
+    number = np.empty(len(keys), np.int64)
+    number[order] = np.cumsum(new) - 1
+    starts = np.flatnonzero(new)
+    return order, starts, number, order[starts]
+
+
+def _pair_keys(stream: np.ndarray) -> np.ndarray:
     before = np.concatenate([[0], stream[:-1]])  # 0 is the end token: it opens each document, too
-    return np.unique(before * (int(stream.max()) + 1) + stream, return_inverse=True)
+    return before * (int(stream.max()) + 1) + stream
 
 
 def _windows(stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """For windows of `order` words: the number of the distinct one at each token, and that of a word less; the
-    first place of each. A window that would reach before its document is the shorter one."""
-    lower, (keys, number) = stream, _pairs(stream)
-    first = np.unique(number, return_index=True)[1] if order == 2 else None
+    """For windows of `order` words: the number of the distinct one at each token, and that of a word less; a place of
+    each. A window that would reach before its document is the shorter one."""
+    lower = stream
+    _, _, number, place = distinct(_pair_keys(stream))
     inside = np.arange(len(stream)) - np.repeat(starts, sizes)
     for n in range(3, order + 1):
         lower = number
         before = np.concatenate([[0], lower[:-1]])
-        key = np.where(inside >= n - 2, before * (int(stream.max()) + 1) + stream, -1 - lower)
-        _, first, number = np.unique(key, return_index=True, return_inverse=True)
-    return number, lower, first
+        _, _, number, place = distinct(np.where(inside >= n - 2, before * (int(stream.max()) + 1) + stream, -1 - lower))
+    return number, lower, place
 
 
 def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n: int, v: int, shards: int) -> pd.DataFrame:
@@ -226,7 +242,9 @@ def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, offsets: np.ndarray, n:
     p1 = base_log10(c, n, v)
     base = np.add.reduceat(p1[stream], starts)
     known = np.add.reduceat((c[stream] > 0).astype(np.int64), starts)
-    keys, inverse = _pairs(stream)
+    keys = _pair_keys(stream)
+    _, _, inverse, place = distinct(keys)
+    keys = keys[place]
     train = np.repeat(~np.asarray(list(row["held"]), bool), sizes)
     times, outs = (np.bincount(inverse[x], minlength=len(keys)) for x in (train, ~train))
     context, word = np.divmod(keys, size)
@@ -249,12 +267,11 @@ def _asked(block: int, shards: int, own: np.ndarray, names: tuple[np.ndarray, ..
     for s in range(shards):
         at = order[edges[s] : edges[s + 1]]
         if len(at):
-            named = np.lexsort([x[at] for x in reversed(names)]) if len(names) > 1 else np.argsort(names[0][at], kind="stable")
-            at = at[named]
-            new = np.concatenate([[True], np.any([np.diff(x[at]) != 0 for x in names], axis=0)])
+            new = np.concatenate([[True], np.any([x[at[1:]] != x[at[:-1]] for x in names], axis=0)])
             first = at[new]
             runs = np.diff(np.append(np.flatnonzero(new), len(at)))
-            rows.append((block, s, WINDOWS, pickle.dumps([squeeze(x) for x in (_zigzag(np.diff(own[at], prepend=0)), word[at], times[at], outs[at], code[at])]), pickle.dumps([squeeze(x) for x in (runs, c[first], np.diff(names[0][first], prepend=np.uint64(0)), *(x[first] for x in names[1:]))])))
+            name = [_zigzag(np.diff(names[0][first].astype(np.int64), prepend=0)), *(x[first] for x in names[1:])]
+            rows.append((block, s, WINDOWS, pickle.dumps([squeeze(x) for x in (np.diff(own[at], prepend=0), word[at], times[at], outs[at], code[at])]), pickle.dumps([squeeze(x) for x in (runs, c[first], *name)])))
     return rows
 
 
@@ -278,7 +295,7 @@ def _kept(answers: pd.DataFrame, size: int) -> tuple[np.ndarray, np.ndarray, np.
     for shard, kind, a, b in zip(answers["shard"], answers["kind"], answers["a"], answers["b"]):
         if kind == WINDOWS:
             place, found = map(unsqueeze, pickle.loads(a))
-            place = np.cumsum(_unzigzag(place))
+            place = np.cumsum(place.astype(np.int64))
             code[place] = found
             if b:
                 c[place], out[place], name[place, 1] = map(unsqueeze, pickle.loads(b))
@@ -326,30 +343,38 @@ def fit(context: np.ndarray, word: np.ndarray, times: np.ndarray, c: np.ndarray,
     parts = parts_of(c)
     if len(parts) and (most := int(parts.max())) > 1:
         context = context.astype(np.int64) * most + (word % parts.astype(np.uint64)).astype(np.int64)
-    words, word = np.unique(word, return_inverse=True)
-    span = max(len(words), 1)
-    seen = np.flatnonzero(times > 0)
-    entries, first, back = np.unique(context[seen].astype(np.int64) * span + word[seen], return_index=True, return_inverse=True)
-    counted = np.bincount(back, times[seen], len(entries)).astype(np.int64)
-    of_entry = seen[first]
-    of, starts = np.unique(entries // span, return_index=True)
-    each = np.diff(np.append(starts, len(entries)))
-    whole = c[of_entry].astype(np.float64)
+    key = _together(context, word.astype(np.int64))
+    order, starts, number, place = distinct(key)
+    counted = np.add.reduceat(times[order], starts).astype(np.int64) if len(starts) else np.empty(0, np.int64)
+    own = place[counted > 0]
+    counted = counted[counted > 0]
+    new = np.concatenate([np.ones(min(1, len(own)), bool), context[own][1:] != context[own][:-1]])
+    firsts = np.flatnonzero(new)
+    whole = c[own].astype(np.float64)
     d = discount(counted)
-    left = np.minimum(np.add.reduceat(d, starts) * parts[of_entry[starts]] / whole[starts], 1.0) if len(of) else np.empty(0)
-    stored = _code(np.log10((counted - d) / whole + np.repeat(left, each) * 10 ** _log10(code[of_entry].astype(np.float64))))
-    levels = build_trie(entries // span, entries % span, stored, _code(np.log10(left)))
+    left = np.minimum(np.add.reduceat(d, firsts) * parts[own[firsts]] / whole[firsts], 1.0) if len(own) else np.empty(0)
+    stored = _code(np.log10((counted - d) / whole + left[np.cumsum(new) - 1] * 10 ** _log10(code[own].astype(np.float64))))
+    levels = build_trie(context[own], word[own], stored, _code(np.log10(left)))
     with tempfile.TemporaryFile() as f:  # the levels are read where they lie
         f.write(levels)
         del levels
         f.flush()
         with mmap.mmap(f.fileno(), 0, access=mmap.ACCESS_READ) as mapped:
             trie = Trie(mapped)
-            at, of_context = trie.find(context, word)
-            down = np.minimum(code + np.where(of_context >= 0, np.append(trie.of_context, 0)[of_context], 0).astype(np.int64), 65535)
+            at, of_context = trie.find(context[place], word[place])
+            down = np.minimum(code[place] + np.where(of_context >= 0, np.append(trie.of_context, 0)[of_context], 0).astype(np.int64), 65535)
             out = np.where(at >= 0, np.append(trie.codes, 0)[at], down)
             del trie
-    return out, at, np.where(at >= 0, np.append(counted, 0)[at], 0)
+    return out[number], at[number], np.where(at >= 0, np.append(counted, 0)[at], 0)[number]
+
+
+def _together(high: np.ndarray, low: np.ndarray) -> np.ndarray:
+    """One number for each pair, in the order of the pairs."""
+    span = int(low.max()) + 1 if len(low) else 1
+    if len(high) and (int(high.max()) + 1) * span >> 63:
+        high, low = distinct(high)[2], distinct(low)[2]
+        span = int(low.max()) + 1
+    return high * span + low
 
 
 def answer_windows(pdf: pd.DataFrame, last: bool, named: bool) -> pd.DataFrame:
@@ -368,11 +393,9 @@ def answer_windows(pdf: pd.DataFrame, last: bool, named: bool) -> pd.DataFrame:
         runs, c, high, *low = map(unsqueeze, pickle.loads(b))
         runs = runs.astype(np.int64)
         blocks.append((block, place))
-        asked.append((np.cumsum(high.astype(np.uint64)), low[0].astype(np.uint64) if low else np.zeros(len(runs), np.uint64), c.astype(np.int64), runs, word.astype(np.uint64), times.astype(np.int64), outs.astype(np.int64), code))
+        asked.append((np.cumsum(_unzigzag(high)), low[0].astype(np.int64) if low else np.zeros(len(runs), np.int64), c.astype(np.int64), runs, word.astype(np.uint64), times.astype(np.int64), outs.astype(np.int64), code))
     high, low, c, runs, word, times, outs, code = map(np.concatenate, zip(*asked))
-    _, high = np.unique(high, return_inverse=True)
-    names, low = np.unique(low, return_inverse=True)
-    _, context = np.unique(high * len(names) + low, return_inverse=True)
+    context = distinct(_together(high, low))[2] if low.any() else high
     code, entry, count = fit(np.repeat(context, runs), word, times, np.repeat(c, runs), code)
     out = np.bincount(entry[entry >= 0], outs[entry >= 0], 1).astype(np.int64)
     out = np.where(entry >= 0, out[np.maximum(entry, 0)], 0)
@@ -401,11 +424,14 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
         raise ValueError("order is 2 or more")
     held = held_out() if held is None else held
     shards = shards or max(16, 2 * docs.select(text_col).rdd.getNumPartitions())
-    rows = cut(tokenise(docs, shards, id_col, text_col, held))
-    tokens = cut(rows.where("shard < 0").select("block", "ids", "held", "a", "b"))
-    words = cut(rows.where("shard >= 0").select("block", "shard", "a", "b").groupBy("shard").applyInPandas(count_words, "block bigint, shard int, a binary, words bigint, known bigint, tokens bigint"))
-    del rows
-    release(docs.sparkSession)
+    spark = docs.sparkSession
+    base = scratch_path(spark, "language-model")
+    rows = tokenise(docs, shards, id_col, text_col, held).withColumn("words", F.col("shard") >= 0)
+    stored(rows, f"{base}/blocks", "words")
+    tokens = spark.read.schema(rows.schema).parquet(f"{base}/blocks").where("not words").select("block", "ids", "held", "a", "b")
+    words = spark.read.schema(rows.schema).parquet(f"{base}/blocks").where("words").select("block", "shard", "a", "b")
+    words = stored(words.groupBy("shard").applyInPandas(count_words, "block bigint, shard int, a binary, words bigint, known bigint, tokens bigint"), f"{base}/words")
+    remove(spark, f"{base}/blocks/words=true")
     totals = words.where("block < 0").select("shard", "words", "known", "tokens").collect()
     sizes = np.zeros(shards + 1, np.int64)
     for r in totals:
@@ -423,9 +449,8 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
 
     answers = answered(tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: ask_pairs(t, w, offsets, n, v, shards), schema), 2)
     for level in range(3, order + 1):
-        answers = cut(answers)
-        words = of_blocks = None
-        release(docs.sparkSession)
+        answers = stored(answers, f"{base}/answers-{level}")
+        remove(spark, f"{base}/words" if level == 3 else f"{base}/answers-{level - 1}")
         answers = answered(above(answers, level), level)
     id_type = docs.schema[id_col].dataType.simpleString()
     scored = tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: sum_scores(t, x, order), f"id {id_type}, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double")

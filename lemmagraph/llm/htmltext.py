@@ -1,8 +1,10 @@
 """Main text of web pages by tree scoring.
 
 A forgiving parser builds the element tree (implied ends of paragraphs, items and cells; raw text of scripts and
-styles; comments; a page cut off anywhere). Subtrees that are boilerplate by element, role, visibility or by a word of
-their class or id are left out. Every remaining paragraph passes points, one plus one a comma plus one per hundred
+styles; comments; a page cut off anywhere). Subtrees that are boilerplate by element, role or visibility are left out,
+and those marked by a word of their class or id, unless what they hold speaks against it: the page's only article, half
+of the characters of a page without another, or a paragraph of prose inside an article. The header of an article with its heading stays. If nothing
+is left, only whole words of a class count. Every remaining paragraph passes points, one plus one a comma plus one per hundred
 characters up to three, to its parent and half of them to its grandparent; an element's score is its points
 discounted by the share of its characters that stand in links. The best element, lifted to the article that holds it,
 and those of its siblings that score a fifth of it or are running prose make up the text; nothing inside them is dropped.
@@ -37,41 +39,60 @@ HEADING = frozenset(["h1", "h2", "h3", "h4", "h5", "h6"])
 #: A start tag of the key ends an open element of the value, unless one of the bounds stands between.
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 BOUNDS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table"}, "th": {"table"}, "option": {"select"}}
-#: Words of a class or id that mark boilerplate.
-MARKED = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|banners?|breadcrumbs?|comments?|consent|cookies?|disqus|footer|foot|gdpr|header|masthead|menus?|modal|nav|navbar|navigation|newsletter|notices?|pagination|popup|promo\w*|related|replies|reply|respond|share|sharing|sidebar|skip|social|sponsor\w*|subscribe|toolbar|topbar|widgets?)(?=$|[\s_\d-])",
-    re.I,
+#: Words that mark boilerplate in a class or id, alone or with others (`site-footer`, `ad-slot`).
+MARKS = frozenset(
+    """ad ads advert adverts advertisement banner banners breadcrumb breadcrumbs comment comments consent cookie cookies
+    disqus footer foot gdpr header masthead menu menus modal nav navbar navigation newsletter notice notices pagination
+    popup promo promos promotion related replies reply respond share sharing sidebar skip social sponsor sponsored
+    subscribe toolbar topbar widget widgets""".split()
 )
+#: A name that holds one of these speaks of the marked thing and is not it (`has-sidebar`, `content-with-header`).
+ABOUT = frozenset("has no not with without is hide article content main page post entry story text body layout wrap wrapper enabled disabled".split())
+NAMES = re.compile(r"[\s]+")
+WORDS = re.compile(r"[_\W\d]+|(?<=[a-z])(?=[A-Z])")
 ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alert", "menu", "menubar", "form", "toolbar"])
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 SIBLING_SHARE = 0.2
 LEAST_SCORE = 10
+#: Prose has so many characters and at most this share of them in links.
+PROSE_CHARS, PROSE_LINKS = 40, 0.25
+#: What an element's tag and attributes say of it.
+TEXT, WEAK, MARKED, GONE = range(4)
 
 
-def _boilerplate(tag: str, raw_attributes: str) -> bool:
+def _verdict(tag: str, raw_attributes: str) -> int:
+    """TEXT, WEAK (a word of a class or id marks it), MARKED (a whole class or id does, or its role), or GONE (not shown)."""
     if tag in FRAME:
-        return True
+        return GONE
     if not raw_attributes or tag in ("html", "body"):
-        return False
+        return TEXT
+    found = TEXT
     for m in ATTRIBUTE.finditer(raw_attributes):
         name = m[1].lower()
         value = unescape(m[2] or m[3] or m[4] or "")
-        if name in ("class", "id") and MARKED.search(value):
-            return True
-        if name == "role" and value.strip().lower() in ROLES or name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
-            return True
-        if name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            return True
-    return False
+        if name in ("class", "id"):
+            for one in NAMES.split(value.strip()):
+                words = {w.lower() for w in WORDS.split(one) if w}
+                if words & MARKS and not words & ABOUT:
+                    found = max(found, MARKED if words <= MARKS else WEAK)
+        elif name == "role" and value.strip().lower() in ROLES:
+            found = max(found, MARKED)
+        elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
+            return GONE
+        elif name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
+            return GONE
+    return found
 
 
 class _Page:
     """Elements as parallel lists; blocks of text with the element that holds each."""
 
     def __init__(self) -> None:
-        self.tag, self.parent, self.out = ["#root"], [-1], [False]
+        self.tag, self.parent, self.verdict = ["#root"], [-1], [TEXT]
         self.stack = [0]
+        self.open_at: dict[str, list[int]] = {}  # depths of the open elements of each tag
+        self.open_blocks = [0]
         self.links = 0
         self.text: list[str] = []
         self.linked: list[str] = []
@@ -81,42 +102,42 @@ class _Page:
         if self.text:
             text = " ".join("".join(self.text).split())
             if text:
-                at = next(i for i in reversed(self.stack) if self.tag[i] in BLOCK or i == 0)
-                self.blocks.append((at, text, len(" ".join("".join(self.linked).split()))))
+                self.blocks.append((self.stack[self.open_blocks[-1]], text, len(" ".join("".join(self.linked).split()))))
             self.text, self.linked = [], []
 
     def put(self, raw: str) -> None:
-        if not self.out[self.stack[-1]]:
-            text = unescape(raw)
-            self.text.append(text)
-            if self.links:
-                self.linked.append(text)
+        text = unescape(raw)
+        self.text.append(text)
+        if self.links:
+            self.linked.append(text)
+
+    def _depth(self, tag: str) -> int:
+        held = self.open_at.get(tag)
+        return held[-1] if held else 0
 
     def _pop_to(self, depth: int) -> None:
         for i in self.stack[depth:]:
+            self.open_at[self.tag[i]].pop()
             self.links -= self.tag[i] == "a"
+        while self.open_blocks[-1] >= depth:
+            self.open_blocks.pop()
         del self.stack[depth:]
 
     def open(self, tag: str, attributes: str) -> None:
-        if tag in BLOCK:
+        frame = tag in FRAME
+        if tag in BLOCK or frame:
             self.flush()
-            if tag not in ("html", "body"):  # block starts end an open paragraph
-                for depth in range(len(self.stack) - 1, 0, -1):
-                    t = self.tag[self.stack[depth]]
-                    if t == "p":
-                        self._pop_to(depth)
-                        break
-                    if t in BLOCK:
-                        break
+        if tag in BLOCK and tag not in ("html", "body"):  # block starts end an open paragraph
+            depth = self.open_blocks[-1]
+            if self.tag[self.stack[depth]] == "p":
+                self._pop_to(depth)
         if tag in ENDS:
-            for depth in range(len(self.stack) - 1, 0, -1):
-                t = self.tag[self.stack[depth]]
-                if t in BOUNDS[tag]:
-                    break
-                if t in ENDS[tag]:
-                    self._pop_to(depth)
-                    if tag != "tr" or t == "tr":
-                        break
+            bound = max(map(self._depth, BOUNDS[tag]))
+            depth = self._depth("tr") if tag == "tr" else 0
+            if depth <= bound:
+                depth = max(map(self._depth, ENDS[tag]))
+            if depth > bound:
+                self._pop_to(depth)
         if tag == "a" and self.links:
             self.close("a")
         if tag in ("br", "wbr", "hr", "img"):
@@ -127,20 +148,20 @@ class _Page:
             return
         self.tag.append(tag)
         self.parent.append(self.stack[-1])
-        self.out.append(self.out[self.stack[-1]] or _boilerplate(tag, attributes))
+        self.verdict.append(_verdict(tag, attributes))
+        self.open_at.setdefault(tag, []).append(len(self.stack))
+        if tag in BLOCK or frame:
+            self.open_blocks.append(len(self.stack))
         self.stack.append(len(self.tag) - 1)
         self.links += tag == "a"
 
     def close(self, tag: str) -> None:
-        for depth in range(len(self.stack) - 1, 0, -1):
-            t = self.tag[self.stack[depth]]
-            if t == tag:
-                if tag in BLOCK:
-                    self.flush()
-                self._pop_to(depth)
-                return
-            if t in BLOCK and tag not in BLOCK:
-                return  # an inline end does not close a block
+        depth = self._depth(tag)
+        if not depth or tag not in BLOCK and tag not in FRAME and depth < self.open_blocks[-1]:
+            return  # never opened, or an inline end, which does not close a block
+        if tag in BLOCK or tag in FRAME:
+            self.flush()
+        self._pop_to(depth)
 
 
 def parse(html: str) -> _Page:
@@ -168,19 +189,71 @@ def parse(html: str) -> _Page:
     return page
 
 
+def _sums(page: _Page, blocks: list[tuple[int, str, int]]) -> tuple[list[int], list[int]]:
+    """Characters, and those in links, of each element with all it holds. Children come after their parents."""
+    chars, linked = [0] * len(page.tag), [0] * len(page.tag)
+    for element, text, in_links in blocks:
+        chars[element] += len(text)
+        linked[element] += in_links
+    for i in range(len(page.tag) - 1, 0, -1):
+        chars[page.parent[i]] += chars[i]
+        linked[page.parent[i]] += linked[i]
+    return chars, linked
+
+
+def _left_out(page: _Page, least: int) -> list[bool]:
+    """For each element: is it, or what holds it, boilerplate? Marks below `least` do not count."""
+    tag, parent, verdict = page.tag, page.parent, page.verdict
+    n = len(tag)
+    chars, linked = _sums(page, page.blocks)
+    article, heading = [False] * n, [False] * n  # an unmarked article inside, a heading inside
+    for i in range(n - 1, 0, -1):
+        if verdict[i] < least and tag[i] in ("article", "main") and chars[i]:
+            article[i] = True
+        article[parent[i]] |= article[i]
+        heading[parent[i]] |= heading[i] or tag[i] in HEADING
+    out, within = [False] * n, [False] * n
+    for i in range(1, n):
+        out[i] = out[parent[i]] or verdict[i] == GONE
+    shown, _ = _sums(page, [b for b in page.blocks if not out[b[0]]])
+    beside = [0] * n  # articles that no marked element holds
+    for i in range(1, n):
+        beside[i] = max(beside[parent[i]], int(least <= verdict[i]))
+    free = any(article[i] and tag[i] in ("article", "main") and not beside[i] for i in range(1, n))
+    out = [False] * n
+    for i in range(1, n):
+        up = parent[i]
+        within[i] = within[up] or tag[up] in ("article", "main")
+        gone = verdict[i] == GONE
+        prose = chars[i] >= PROSE_CHARS and linked[i] <= PROSE_LINKS * chars[i]
+        if gone and tag[i] == "header" and within[i] and heading[i] and linked[i] <= PROSE_LINKS * chars[i]:
+            gone = False
+        elif gone and tag[i] == "form" and article[i]:
+            gone = False
+        elif not gone and least <= verdict[i] < GONE:
+            half = 2 * shown[i] > shown[0]
+            holds = article[i] and half or (article[i] or half) and not free
+            gone = not (holds or verdict[i] == WEAK and within[i] and tag[i] in PARAGRAPH | HEADING and prose)
+        out[i] = out[up] or gone
+    return out
+
+
 def main_text(html: str | None) -> str:
     page = parse(html or "")
-    blocks, parent, tag = page.blocks, page.parent, page.tag
-    if not blocks:
-        return ""
+    for least in (WEAK, MARKED):
+        out = _left_out(page, least)
+        blocks = [b for b in page.blocks if not out[b[0]]]
+        if blocks:
+            return _best(page, out, blocks)
+    return ""
+
+
+def _best(page: _Page, out: list[bool], blocks: list[tuple[int, str, int]]) -> str:
+    parent, tag = page.parent, page.tag
     n = len(tag)
-    points, chars, linked = [0.0] * n, [0] * n, [0] * n
+    points = [0.0] * n
+    chars, linked = _sums(page, blocks)
     for element, text, in_links in blocks:
-        at = element
-        while at >= 0:
-            chars[at] += len(text)
-            linked[at] += in_links
-            at = parent[at]
         if tag[element] in HEADING:
             continue
         share = 1 + text.count(",") + min(len(text) / 100, 3)

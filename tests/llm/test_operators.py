@@ -3,6 +3,7 @@
 import hashlib
 import math
 import random
+import time
 import zlib
 from collections import Counter
 
@@ -165,6 +166,86 @@ def test_main_text(spark, data):
     assert r.n_chars == len(r.text) > 0 and htmltext.extract(pages.limit(0)).collect() == []
 
 
+TWO = "<p>" + "Long words, of a first paragraph here. " * 4 + "</p><p>" + "And of a second one, which goes on and on. " * 4 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["layout has-sidebar", "post no-comments", "content-with-header", "article-related-wrap", "page widget-area", "share-enabled story"])
+def test_a_marked_wrapper_keeps_its_article(name):
+    comments = '<section class="comments"><article class="comment"><p>' + "Bad comment, long. " * 9 + "</p></article></section>"
+    notice = '<div class="cookie-notice"><p>We use cookies, and more cookies, and others.</p></div>'
+    price = '<p class="share-price">The share price fell by ten, and more was lost that day.</p>'
+    page = f'<body><nav>x</nav><div class="{name}"><article><header><h1>Title</h1></header>{TWO}{price}{comments}</article></div>{notice}</body>'
+    got = htmltext.main_text(page).split("\n")
+    assert got[0] == "Title" and [x[:10] for x in got[1:]] == ["Long words", "And of a s", "The share "]
+    assert len(htmltext.main_text(f'<body><nav>x</nav><div class="{name}">{TWO}</div>{notice}</body>').split("\n")) == 2
+
+
+def test_an_advert_longer_than_the_article_goes():
+    assert htmltext.main_text('<div class="ad">' + "Buy this, and that. " * 9 + "</div><article><h1>One</h1><p>Two.</article>") == "One\nTwo."
+
+
+@pytest.mark.parametrize("html", ["<div>text, <a href=x>a</a>" * 20_000, "<div>" * 20_000 + "x</section>" * 20_000, "<b>" * 20_000 + "</i>x" * 20_000, "<ul><li>x" * 20_000, "<i><div>" + "<b>" * 20_000 + "</i>x" * 20_000])
+def test_deep_pages_take_linear_time(html):
+    began = time.process_time()
+    htmltext.main_text(html)
+    assert time.process_time() - began < 2
+
+
+def brute_tree(html):
+    """Elements (tag, parent, text blocks) by the library's parser, for pages whose tags all close; scores by hand."""
+    from html.parser import HTMLParser
+
+    class Tree(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.nodes, self.stack, self.blocks = [("#root", None)], [0], []
+
+        def handle_starttag(self, tag, attrs):
+            self.nodes.append((tag, self.stack[-1]))
+            self.stack.append(len(self.nodes) - 1)
+
+        def handle_endtag(self, tag):
+            self.stack.pop()
+
+        def handle_data(self, data):
+            if data.strip():
+                self.blocks.append((self.stack[-1], " ".join(data.split())))
+
+    t = Tree()
+    t.feed(html)
+    return t.nodes, t.blocks
+
+
+def test_tree_scores_by_hand():
+    draw = random.Random(4)
+    for _ in range(200):
+        parts = []
+        for _ in range(draw.randint(1, 5)):
+            inner = "".join(f"<p>{'Some words, of prose. ' * draw.randint(0, 9)}x</p>" for _ in range(draw.randint(1, 4)))
+            parts.append(f"<div>{inner}</div>" if draw.random() < 0.7 else f"<section><div>{inner}</div></section>")
+        html = "<div>" + "".join(parts) + "</div>"
+        nodes, blocks = brute_tree(html)
+        points = Counter()
+        for at, text in blocks:
+            share = 1 + text.count(",") + min(len(text) / 100, 3)
+            up = nodes[at][1]
+            points[up] += share
+            points[nodes[up][1]] += share / 2
+        best = min(range(len(nodes)), key=lambda i: (-points[i], i))
+        inside = lambda i, top: i is not None and (i == top or inside(nodes[i][1], top))
+        kept = {best} | ({i for i in range(len(nodes)) if i != best and nodes[i][1] == nodes[best][1] and points[i] >= max(htmltext.LEAST_SCORE, htmltext.SIBLING_SHARE * points[best])} if best else set())
+        want = "\n".join(text for at, text in blocks if any(inside(at, k) for k in kept))
+        got = htmltext.main_text(html)
+        assert got == want, html
+
+
+def test_odd_pages(spark):
+    rows = [(1, None, None, "x", "y"), (None, "u", "", "x", "y"), (2, "u", PAGE, "x", None), (2, "u", PAGE, "x", None), (3, "v", "<p>" + "a, b " * 100_000, None, "z")]
+    got = htmltext.extract(spark.createDataFrame(rows, "page_id bigint, url string, html string, text string, n_chars string")).collect()
+    assert sorted((r.page_id or 0, r.url or "", r.n_chars) for r in got) == sorted((r[0] or 0, r[1] or "", len(htmltext.main_text(r[2]))) for r in rows)
+    assert got[0].asDict().keys() == {"page_id", "url", "text", "n_chars"}
+
+
 # 5
 def fingerprint_by_hand(text):
     import xxhash

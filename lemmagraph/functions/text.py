@@ -16,9 +16,19 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+#: Bibliography markup removed, in order: accents before a letter, commands, math signs and braces (fixed values).
+_PLAIN = [(r"\\[`'^\"~=.uvHck]\s*\{?\s*([A-Za-z])\s*\}?", r"\1"), (r"\\[A-Za-z]+\*?\s*", " "), (r"[{}$]", ""), ("--+", "-")]
+
+
+def plain_text(text: str) -> str:
+    for pattern, by in _PLAIN:
+        text = re.sub(pattern, by, text)
+    return text
+
+
 def fold_text(text: str) -> str:
-    """Compatibility-decomposed, without marks, lower case, everything but a-z and 0-9 one blank, trimmed."""
-    plain = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+    """Without markup, compatibility-decomposed, without marks, lower case, all but a-z and 0-9 one blank, trimmed."""
+    plain = "".join(c for c in unicodedata.normalize("NFKD", plain_text(text)) if not unicodedata.combining(c))
     return re.sub("[^a-z0-9]+", " ", plain.lower()).strip()
 
 
@@ -27,13 +37,10 @@ def fold(texts: pd.Series) -> pd.Series:
     return texts.map(fold_text, na_action="ignore")
 
 
-#: Markup removed from titles: math signs, commands, braces (fixed values).
-_PLAIN = [(r"\\[A-Za-z]+\*?\s*", " "), (r"[{}$\\]", ""), ("--+", "-"), ("~", " "), (r"\s+", " ")]
-
-
 def plain(text: Column) -> Column:
-    for pattern, by in _PLAIN:
-        text = F.regexp_replace(text, pattern, by)
+    """Text without bibliography markup; ties and lone backslashes are blanks."""
+    for pattern, by in [*_PLAIN, (r"[~\\\s]+", " ")]:
+        text = F.regexp_replace(text, pattern, by.replace("\\", "$"))
     return F.trim(text)
 
 

@@ -382,19 +382,9 @@ def closure_subgraph(spark, d):
     return graph.induced(nodes, edges)
 
 
-@query(
-    f"""with h as (select distinct key, {duck_norm('id')} as id from (select key, unnest(ids[1:2]) as id from b_works where doc_id % 5 <> 0) x), l as (select distinct a.key as u, b.key as v from h a join h b on b.id = a.id),
-r(key, m) as (select distinct key, key from h union select l.u, r.m from r join l on l.v = r.key) select key, min(m) as entity from r group by key""",
-    "b_works",
-)
-def same_entity(spark, d):
-    w = view(spark, d, "b_works").where("doc_id % 5 <> 0").select("key", F.slice("ids", 1, 2).alias("ids"))
-    return graph.entities(w)
-
-
 @query()
-def same_entity_whole(spark, d):
-    """Every work with every identifier, the hub among them; the recursive SQL of same_entity has no way through it."""
+def same_entity(spark, d):
+    """Every work with every identifier, the hub among them; recursive SQL has no way through it."""
     return graph.entities(view(spark, d, "b_works").select("key", "ids"))
 
 
@@ -525,15 +515,8 @@ def located_offsets(spark, d):
     return intervals.locate(offsets, view(spark, d, "b_segments"), "doc")
 
 
-@query("select s.doc, r.a, r.b, s.file, greatest(r.a, s.start) - s.start as low, least(r.b, s.start + s.length) - s.start as high from b_segments s join (select source as doc, doc_id * 50 as a, doc_id * 50 + 3000 as b from documents where doc_id % 20 = 3) r on r.doc = s.doc where greatest(r.a, s.start) < least(r.b, s.start + s.length)", "b_segments")
+@query("select s.doc, r.a, r.b, s.file, greatest(r.a, s.start) - s.start as low, least(r.b, s.start + s.length) - s.start as high from b_segments s join (select source as doc, doc_id * 50 as a, doc_id * 50 + 3000 as b from documents) r on r.doc = s.doc where greatest(r.a, s.start) < least(r.b, s.start + s.length)", "b_segments")
 def mapped_ranges(spark, d):
-    ranges = base(spark, d, "documents").where("doc_id % 20 = 3").select(F.col("source").alias("doc"), (F.col("doc_id") * 50).alias("a"), (F.col("doc_id") * 50 + 3000).alias("b"))
-    return intervals.map_ranges(ranges, view(spark, d, "b_segments"), "doc")
-
-
-@query()
-def mapped_ranges_whole(spark, d):
-    """The ranges of every document; the SQL of mapped_ranges joins each with all segments of its source."""
     ranges = base(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") * 50).alias("a"), (F.col("doc_id") * 50 + 3000).alias("b"))
     return intervals.map_ranges(ranges, view(spark, d, "b_segments"), "doc")
 
@@ -652,14 +635,8 @@ def candidate_works(spark, d):
     return merge_candidates(c)
 
 
-@query("select doc_id, trim(regexp_replace(regexp_replace(lower(strip_accents(split_part(text, chr(10), 1))), '[^a-z0-9]+', ' ', 'g'), '\\s+', ' ', 'g')) as folded from documents where lang in ('en', 'es')")
+@query(r"select doc_id, trim(regexp_replace(lower(strip_accents(nfc_normalize(regexp_replace(regexp_replace(split_part(text, chr(10), 1), '[{}$]', '', 'g'), '--+', '-', 'g')))), '[^a-z0-9]+', ' ', 'g')) as folded from documents")
 def folded_titles(spark, d):
-    return base(spark, d, "documents").where("lang in ('en', 'es')").select("doc_id", T.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
-
-
-@query()
-def folded_titles_whole(spark, d):
-    """The titles of every document, whatever its language; the SQL of folded_titles takes two."""
     return base(spark, d, "documents").select("doc_id", T.fold(F.split_part("text", F.lit("\n"), F.lit(1))).alias("folded"))
 
 

@@ -63,6 +63,19 @@ def stored(df: DataFrame, path: str, by: str | None = None) -> DataFrame:
     return spark.read.schema(df.drop(by).schema if by else df.schema).parquet(path)
 
 
+#: A key with more than 1 / SHARES of all rows is hot: there are fewer than SHARES of them.
+SHARES = 1024
+
+
+def with_hot(rows: DataFrame, groups: DataFrame, key: str, times: str, how: str = "inner") -> DataFrame:
+    """rows joined with groups (one row a key, `times`: how many rows have it; not returned). Groups of hot keys, fewer
+    than SHARES rows, are broadcast, so that no task meets all rows of a key; the others are joined by exchange."""
+    total = groups.agg(F.sum(times)).first()[0] or 0
+    hot = F.broadcast(groups.where(F.col(times) * SHARES > total).drop(times))
+    rest = rows.join(hot.select(key), key, "left_anti").join(groups.where(F.col(times) * SHARES <= total).drop(times), key, how)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a table of ours from the shared folder."""
     target = spark._jvm.org.apache.hadoop.fs.Path(path)

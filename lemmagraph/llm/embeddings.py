@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_hot
 from .components import connected_components
 
 THRESHOLD = 0.9
@@ -183,9 +183,9 @@ def near_duplicates(df: DataFrame, threshold: float = THRESHOLD, id_col: str = "
     of_key = (
         distinct.select("rep", "key", "first", "times").join(partners, "rep", "left")
         .join(rooted.join(named, "root").select("rep", "component"), "rep", "left")
-        .select("key", (F.coalesce("partners", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
+        .select("key", "times", (F.coalesce("partners", F.lit(0)) + F.col("times") - 1).alias("n"), F.coalesce("component", "first").alias("component"))
     )
-    out = rows.select("id", "key").join(of_key, "key", "left")
+    out = with_hot(rows.select("id", "key"), cut(of_key), "key", "times", "left")
     component = F.coalesce("component", "id")
     return out.select(F.col("id").alias(id_col), F.coalesce("n", F.lit(0)).cast("bigint").alias("n_links"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(False)).alias("kept"))
 

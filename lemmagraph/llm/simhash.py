@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, with_hot
 from .components import connected_components
 
 SEED = 42
@@ -122,10 +122,10 @@ def links(distinct: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Columns id, fingerprint (16 hex digits), component_id (smallest id reachable over links, itself included)."""
     fps = cut(fingerprints(docs, id_col, text_col))
-    groups = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first")))
+    groups = cut(fps.groupBy("fp").agg(F.min(id_col).alias("first"), F.count("*").alias("n")))
     roots = connected_components(links(groups.select("fp")))
-    rooted = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp")
-    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    of_fp = rooted.join(named, "root").select("fp", "component_id")
-    labelled = groups.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"))
-    return fps.join(labelled, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    rooted = groups.join(roots.select(F.col("node").alias("fp"), "root"), "fp").select("fp", "first", "root")
+    named = rooted.groupBy("root").agg(F.min("first").alias("component_id"), F.count("*").alias("n"))
+    of_fp = with_hot(rooted, named, "root", "n").select("fp", "component_id")
+    labelled = cut(groups.join(of_fp, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id"), "n"))
+    return with_hot(fps, labelled, "fp", "n").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")

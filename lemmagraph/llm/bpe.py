@@ -32,7 +32,7 @@ from .common import SegmentMemo, TwoGenerations, append_columns, gather, residen
 #: Pre-tokens longer than this are encoded without being remembered.
 MEMO_CHARS = 64
 #: Documents encoded together.
-CHUNK = 2048
+CHUNK = 1024
 #: A cut before a single space between two characters that are not white space never changes the pre-tokens:
 #: no alternative of the byte-level pattern holds a space after a character that is not white space.
 SAFE_CUT = re.compile(r"(?<=\S) (?=\S)")
@@ -61,7 +61,7 @@ def byte_alphabet() -> dict[str, int]:
 class ByteLevelBPE:
     """Encoder and decoder over a vocabulary file in the JSON format of public tokenizers."""
 
-    def __init__(self, path: str, pieces: int = 500_000):
+    def __init__(self, path: str, pieces: int = 400_000):
         from tokenizers import Tokenizer
 
         with open(path, encoding="utf-8") as f:

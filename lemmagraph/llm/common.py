@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
 import uuid
@@ -103,13 +106,19 @@ def resident(key: Hashable, make: Callable[[], Any]) -> Any:
     """A heavy helper (vocabulary, memos) that lives on in the Python worker, the last one asked for only: workers
     serve one operator after another, and their memory is what bounds an executor."""
     if key not in _resident:
-        _resident.clear()
+        forget()
         _resident[key] = make()
     return _resident[key]
 
 
 def forget() -> None:
-    _resident.clear()
+    """Drop what is resident and give its memory back to the system, which the allocators alone put off."""
+    if _resident:
+        _resident.clear()
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
 
 
 class TwoGenerations:

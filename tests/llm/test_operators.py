@@ -338,14 +338,23 @@ def test_quality(documents, odd, none):
 
 
 def test_fertility_is_that_of_whole_texts(documents):
-    m = quality.measurer(quality.default_model())
-    for r in documents.limit(20).collect():
-        words = Counter(r.text.split())
-        ids = m.sp.encode(" ".join(r.text.split()))
-        f = m.fertility(words, sum(len(w) * n for w, n in words.items()))
-        assert f.n_tokens == len(ids)
+    m = quality.measurer(quality.default_model(), quality.default_second())
+    docs = documents.orderBy("doc_id").limit(60).collect()
+    got = {r.doc_id: r for r in quality.measure(documents).collect()}
+    for r in docs:
+        words = " ".join(w.decode() for w in (r.text or "").encode().split())
+        ids, second = m.sp.encode(words), m.second.encode_ordinary(" " + words) if words else []
+        chars = len(words.replace(" ", ""))
         share = [n / len(ids) for n in Counter(ids).values()]
-        assert f.entropy == pytest.approx(-sum(p * math.log2(p) for p in share))
+        byte, lone = sum(m.sp.is_byte(i) for i in ids), sum(len(b) == 1 and b[0] > 127 for b in map(m.second.decode_single_token_bytes, second))
+        f = quality.Fertility(chars / len(ids), byte / len(ids), -sum(p * math.log2(p) for p in share), len(ids), chars / len(second), lone / len(second))
+        x = got[r.doc_id]
+        assert (x.chars_per_token, x.byte_share, x.chars_per_token_2, x.byte_share_2) == pytest.approx((f.chars_per_token, f.byte_share, f.chars_per_token_2, f.byte_share_2))
+        assert x.token_entropy == pytest.approx(f.entropy)
+        band = quality.BANDS.get(r.lang or "", quality.BANDS["latin"])  # the verdict, by hand
+        even = min(math.log2(len(ids)), quality.MOST_EVEN)
+        inside = [band.chars_low <= f.chars_per_token <= band.chars_high, f.byte_share <= band.byte_share, band.entropy_share * even <= f.entropy <= band.entropy_high * even, band.chars_low_2 <= f.chars_per_token_2 <= band.chars_high_2, f.byte_share_2 <= band.byte_share_2]
+        assert x.kept == (not x.base_failed and all(inside))
 
 
 def test_bands_catch_rows_labelled_bad(spark):
@@ -611,7 +620,7 @@ def test_pipeline(spark, data, documents):
         assert docs.columns == before.columns, name
         seen.append(docs.count())
     learned = langid.profiles(documents)
-    ranker, m = langid.Ranker(learned), quality.measurer(quality.default_model())
+    ranker, m = langid.Ranker(learned), quality.measurer(quality.default_model(), quality.default_second())
     kept = [r for r in documents.collect() if (x := ranker.predict(r.text))[0] != "und" and x[1] >= p.LEAST_LIKENESS]
     assert len(kept) == seen[1]
     kept = sorted((r for r in kept if quality.assess(r.text, r.lang, m, quality.BANDS)[6]), key=lambda r: r.doc_id)

@@ -34,11 +34,10 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     keyed = docs.select(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), text.alias("hash")).alias("__key"), "text")
     groups = simhash.near_duplicates(keyed, id_col="__key").where(F.col("__key").eqNullSafe(F.col("component_id")))
     row = lambda ident, text: F.xxhash64(ident.isNull(), ident, text).alias("__row")
-    kept = groups.select(row(F.col("__key.id"), F.col("__key.hash")), F.col("__key.id").alias("__id"), F.col("__key.hash").alias("__hash")).distinct()
+    kept = groups.select(row(F.col("__key.id"), F.col("__key.hash")))
     rows = docs.select(*docs.columns, text.alias("__text"), row(F.col("doc_id"), text))
-    same = (rows["__row"] == kept["__row"]) & rows["doc_id"].eqNullSafe(kept["__id"]) & (rows["__text"] == kept["__hash"])
-    # rows are dealt once, by __row, which serves the join and the choice among equal rows
-    return rows.join(kept, same, "left_semi").dropDuplicates(["__row", "doc_id", "__text"]).select(*docs.columns)
+    # rows are dealt once, by __row, for the join and for the choice among equal rows; other rows of its 64 bits would stay, too
+    return rows.join(kept, "__row", "left_semi").dropDuplicates(["__row", "doc_id", "__text"]).select(*docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -17,7 +17,7 @@ def closure(roots: DataFrame, edges: DataFrame, depth: int = MAX_DEPTH) -> DataF
     Each level is one join of the last level with the edges and one anti join with what is known; lineage is cut
     each level. The root itself is not listed.
     """
-    followed = edges.where(F.col("origin") != "unspecified").select("src", "dst").distinct()
+    followed = cut(edges.where(F.col("origin") != "unspecified").select("src", "dst").distinct())  # made once, read by every level
     known = roots.select("root", F.col("root").alias("key"), F.lit(0).alias("hops")).distinct()
     level, found = known, []
     for hop in range(1, depth + 1):

@@ -38,7 +38,7 @@ def walk(works: DataFrame, refs: DataFrame, seeds: DataFrame, depth: int, subjec
         raise Refused("depth must be at least 1: depth 1 is the seeds")
     if depth > 1 and not subjects:
         raise Refused("a walk past depth 1 needs subjects")
-    links = refs.where(F.col("src") != F.col("dst")).select("src", "dst").distinct()
+    links = cut(refs.where(F.col("src") != F.col("dst")).select("src", "dst").distinct())  # made once, read by every level
     verdict = F.coalesce(S.passes(F.col("msc"), F.col("category"), list(subjects), list(categories)), F.lit(False))
     judged = works.select("key", verdict.alias("kept"), reason(F.col("msc"), F.col("category")).alias("why"))
     met = cut(seeds.select("key").distinct().select("key", F.lit(1).alias("depth"), F.lit(True).alias("kept"), F.lit("").alias("why")))

@@ -422,6 +422,63 @@ def merged_versions(spark, d):
     return upsert.merge_versions(v, "seq").select("id", "has_source", "has_pdf", "method")
 
 
+@query(
+    """with rows as (select *, 0 as z from b_versions union all select id, 'w0', has_source, has_pdf, 'again', numbering, extracted_at, 1 from b_versions where has_pdf union all select id || 'x', work, has_source, has_pdf, 'new', numbering, extracted_at, 1 from b_versions where has_source)
+select id, work, has_source, has_pdf, method, numbering from (select *, row_number() over (partition by id order by z desc) as k from rows) x where k = 1""",
+    "b_versions",
+)
+def upserted_versions(spark, d):
+    v = view(spark, d, "b_versions")
+    again = v.where("has_pdf").withColumns({"work": F.lit("w0"), "method": F.lit("again")})
+    new = v.where("has_source").withColumns({"id": F.concat("id", F.lit("x")), "method": F.lit("new")})
+    return upsert.upsert(v, again.unionByName(new), ["id"], ["extracted_at"]).drop("extracted_at")
+
+
+@query(
+    """with rows as (select *, 0 as z from b_results union all select key, version, local, taxon, '9.' || seq, 'again', proof, seq, conv_id, aliases, 1 from b_results where seq % 2 = 0)
+select key, taxon, "number", statement, list_aggregate(aliases, 'string_agg', ' ') as aliases from (select *, row_number() over (partition by key order by z desc) as k from rows) x where k = 1""",
+    "b_results",
+)
+def upserted_results(spark, d):
+    r = view(spark, d, "b_results")
+    again = r.where("seq % 2 = 0").withColumns({"number": F.concat(F.lit("9."), "seq"), "statement": F.lit("again")})
+    return upsert.upsert(r, again, ["key"], ["seq"]).select("key", "taxon", "number", "statement", F.array_join("aliases", " ").alias("aliases"))
+
+
+@query(
+    """with pairs as (select 'work:' || (doc_id % 40) as l, 'work:' || (doc_id % 60) as r, doc_id as seq, source as evidence from documents)
+select l as "left", r as "right", evidence from (select *, row_number() over (partition by l, r order by seq desc) as k from pairs) x where k = 1""",
+)
+def upserted_same_as(spark, d):
+    pairs = base(spark, d, "documents").select(F.concat(F.lit("work:"), F.col("doc_id") % 40).alias("left"), F.concat(F.lit("work:"), F.col("doc_id") % 60).alias("right"), F.col("source").alias("evidence"), F.col("doc_id").alias("seq"))
+    return upsert.upsert(pairs.limit(0), pairs, ["left", "right"], ["seq"]).drop("seq")
+
+
+@query("select version, string_agg(citekey, ' ' order by seq, citekey) as citekeys, count(*) as n from b_refs group by version", "b_refs")
+def references_of_versions(spark, d):
+    refs = view(spark, d, "b_refs").groupBy("version").agg(F.array_sort(F.collect_list(F.struct("seq", "citekey"))).alias("refs"))
+    return refs.select("version", F.array_join(F.transform("refs", lambda r: r["citekey"]), " ").alias("citekeys"), F.size("refs").cast("bigint").alias("n"))
+
+
+@query(
+    r"""with t as (select conv_id, turn, chr(10) || '\label{t:' || turn || '}  ' || chr(10) || text || '\label {x}' || chr(10) || chr(10) as raw from conversations)
+select conv_id, turn, regexp_replace(regexp_replace(raw, '\\label\s*\{[^}]*\}[ \t]*\n?', '', 'g'), '^\n+|\n+$', '', 'g') as statement from t"""
+)
+def statements_without_labels(spark, d):
+    raw = F.concat(F.lit("\n\\label{t:"), F.col("turn"), F.lit("}  \n"), F.col("text"), F.lit("\\label {x}\n\n"))
+    return base(spark, d, "conversations").select("conv_id", "turn", T.without_labels(raw).alias("statement"))
+
+
+@query(
+    r"""with t as (select doc_id, case cast(doc_id % 4 as int) when 0 then 'Schr{\"o}dinger and ' when 1 then '{{Gromov}}--{{Witten}} ' when 2 then '$K$-theory~of \emph{' else '\''Etale ' end || split_part(text, chr(10), 1) as raw from documents)
+select doc_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(raw, '\\[`''^"~=.uvHck]\s*\{?\s*([A-Za-z])\s*\}?', '\1', 'g'), '\\[A-Za-z]+\*?\s*', ' ', 'g'), '[{}$]', '', 'g'), '--+', '-', 'g'), '[~\\\s]+', ' ', 'g'), ' ') as title from t"""
+)
+def plain_titles(spark, d):
+    k = F.col("doc_id") % 4
+    lead = F.when(k == 0, 'Schr{\\"o}dinger and ').when(k == 1, "{{Gromov}}--{{Witten}} ").when(k == 2, "$K$-theory~of \\emph{").otherwise("\\'Etale ")
+    return base(spark, d, "documents").select("doc_id", T.plain(F.concat(lead, F.split_part("text", F.lit("\n"), F.lit(1)))).alias("title"))
+
+
 @query(f"select version, identity, cast(seq as bigint) as seq from (select *, row_number() over (partition by version, identity order by seq) as k from (select *, case when work <> '' then 'i:' || {duck_norm('work')} else 't:' || text end as identity from b_refs) y) x where k = 1", "b_refs")
 def merged_references(spark, d):
     refs = view(spark, d, "b_refs").withColumnRenamed("work", "cited")

@@ -26,11 +26,14 @@ def ship(spark: SparkSession) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir of the session, a folder of our own only where it is unset."""
+    """The folder every executor sees: spark.checkpoint.dir of the session; one of our own only where it is unset and the
+    session is local, as on a cluster no other machine would see it."""
     sc = spark.sparkContext
     named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     held = sc._jsc.sc().getCheckpointDir()
     if named is None and not held.isDefined():
+        if not sc.master.startswith("local["):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         named = f"file://{tempfile.mkdtemp(prefix='lemmagraph-checkpoints-')}"
     if not held.isDefined():
         sc.setCheckpointDir(named)

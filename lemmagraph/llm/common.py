@@ -5,8 +5,6 @@ from __future__ import annotations
 import contextlib
 import ctypes
 import gc
-import os
-import tempfile
 import uuid
 from collections.abc import Callable, Hashable, Iterator
 from typing import Any
@@ -17,6 +15,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import cut, shared_dir
+
 #: Words are runs of anything but these six characters: space, tab, line feed, vertical tab, form feed, return.
 #: bytes.split() without an argument splits at exactly these, and bytes.lower() folds A-Z only.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -26,29 +26,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder every executor sees: spark.checkpoint.dir of the session.
-
-    Only where the cluster names none (a local test session) a folder of our own is set.
-    """
-    sc = spark.sparkContext
-    named = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
-    held = sc._jsc.sc().getCheckpointDir()
-    if named is None and not held.isDefined():
-        own = os.path.join(tempfile.gettempdir(), f"lemmagraph-{uuid.uuid4().hex}")
-        sc.setCheckpointDir(own)
-        return f"file://{own}"
-    if not held.isDefined():
-        sc.setCheckpointDir(named)
-    return named or held.get()
-
-
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise in the shared checkpoint folder and forget the lineage."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
-
-
 #: Files of exchanges are deleted when the query that made them ends.
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import time
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -578,6 +579,18 @@ def test_counts_beyond_32_bits():
     assert count.tolist() == [5_000_000_000, 5_000_000_000, 0] and at[2] == -1 and code[0] == pytest.approx(-math.log10(0.5) * lm.STEP, abs=1)
 
 
+def test_a_shard_takes_little_memory():
+    """A shard's windows are searched in pieces: before, fitting and searching a million of them took 297 bytes each."""
+    n, rng = 1 << 20, np.random.default_rng(5)
+    context, word, times = np.sort(rng.integers(0, 1 << 17, n)), rng.integers(0, 1 << 15, n).astype(np.uint64), rng.integers(0, 2, n)
+    c = np.bincount(context, times, 1 << 17).astype(np.int64)[context]
+    tracemalloc.start()
+    lm.fit(context, word, times, c, np.full(n, 9000, np.uint32))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak / n < 150
+
+
 def test_trie():
     rng = np.random.default_rng(0)
     for n, u in ((0, 1), (1, 1), (5, 3), (1000, 10), (3000, 10**12)):

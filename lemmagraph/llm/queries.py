@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, repair, sharding, simhash
+from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, repair, sharding, simhash, toxicity
 from .common import table
 
 
@@ -50,6 +50,10 @@ def op10_elias_fano_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score_documents(table(spark, sf_dir, "documents"), order=3)
 
 
+def op11_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -62,6 +66,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_subspace_pigeonhole": op8_subspace_pigeonhole,
         "op9_flow_mixture": op9_flow_mixture,
         "op10_elias_fano_lm": op10_elias_fano_lm,
+        "op11_segment_toxicity": op11_segment_toxicity,
     }
 
 

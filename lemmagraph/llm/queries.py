@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, htmltext, langid, lm, mixing, quality, repair, sharding, simhash, toxicity
+from . import bpe, embeddings, htmltext, langid, lm, merkle, mixing, quality, repair, sharding, simhash, toxicity
 from .common import table
 
 
@@ -54,6 +54,10 @@ def op11_segment_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score_documents(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified_documents(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -67,6 +71,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_flow_mixture": op9_flow_mixture,
         "op10_elias_fano_lm": op10_elias_fano_lm,
         "op11_segment_toxicity": op11_segment_toxicity,
+        "op12_merkle_manifest": op12_merkle_manifest,
     }
 
 

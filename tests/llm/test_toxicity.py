@@ -107,5 +107,5 @@ def test_odd_rows(spark, odd, none, planted):
     whole = toxicity.detect(odd, model)
     assert "passages" in whole.columns and whole.columns.count("score") == 1 and "kept" in whole.columns and whole.count() == len(rows)
     long = "word " * 200_000 + "zonk quop zonkers quopsel"
-    found = toxicity.Scanner(model).score(long)[1]
-    assert found and long[found[-1][0] : found[-1][1]] == "zonk quop zonkers quopsel"
+    n, segments = toxicity.Scanner(model).segments(long)
+    assert n == 200_004 and segments[-1][1:] == (200_000, 200_003)

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, embeddings, htmltext, langid, lm, merkle, mixing, quality, repair, sharding, simhash, toxicity
+from . import bpe, codebooks, embeddings, htmltext, langid, lm, merkle, mixing, quality, repair, sharding, simhash, toxicity
 from .common import table
 
 
@@ -58,6 +58,10 @@ def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return merkle.verified_documents(table(spark, sf_dir, "documents"))
 
 
+def op13_kd_tree_codebooks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return codebooks.compressed(table(spark, sf_dir, "embeddings"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_rank_order_language": op1_rank_order_language,
@@ -72,6 +76,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_elias_fano_lm": op10_elias_fano_lm,
         "op11_segment_toxicity": op11_segment_toxicity,
         "op12_merkle_manifest": op12_merkle_manifest,
+        "op13_kd_tree_codebooks": op13_kd_tree_codebooks,
     }
 
 

@@ -18,7 +18,7 @@ from lemmagraph.llm.components import connected_components
 
 
 def test_queries_take_the_whole_table(spark, data):
-    rows = {"op4": "pages", "op8": "embeddings"}
+    rows = {"op4": "pages", "op8": "embeddings", "op13": "embeddings"}
     for name, q in queries.queries().items():
         table = rows.get(name.split("_")[0], "documents")
         assert q(spark, data).count() == spark.read.parquet(f"{data}/{table}.parquet").count(), name

@@ -68,6 +68,33 @@ from {orders}""",
     "b_segments": """
 select source as doc, concat('f', doc_id) as file, cast(coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, n_chars as length, doc_id
 from {documents}""",
+    # what sources say when asked for an identifier; some names lead back to works of the first level
+    "b_answers": """
+select concat('doi:d', doc_id) as asked, @ARRAY(concat('doi:D', doc_id), concat('arxiv:a', doc_id)) as ids, case when doc_id % 7 = 2 then @NONE else @ARRAY(concat('14', chr(cast(65 + doc_id % 4 as int)), '10'), '14-02') end as msc, '' as category from {documents} where doc_id % 3 <> 0
+union all select concat('arxiv:a', doc_id), @ARRAY(concat('arXiv:a', doc_id, 'v2'), concat('zbl:z', doc_id)), @NONE, lang from {documents} where doc_id % 4 = 0
+union all select concat('zbl:z', doc_id), @ARRAY(concat('zbl:z', doc_id), concat('doi:d', 40 * (doc_id % 25) + 1)), case when doc_id % 2 = 0 then @NONE else @ARRAY('14B05') end, '' from {documents} where doc_id % 5 = 0""",
+    "b_citing": """
+select concat('doi:d', doc_id) as asked, concat('doi:d', (doc_id * 3 + 1) % n) as dst from {documents} cross join (select max(doc_id) + 1 as n from {documents}) as m
+union all select concat('doi:d', doc_id), concat('arXiv:a', (doc_id * 5 + 2) % n, 'v1') from {documents} cross join (select max(doc_id) + 1 as n from {documents}) as m
+union all select concat('doi:d', doc_id), concat('zbl:z', (doc_id * 7 + 3) % n) from {documents} cross join (select max(doc_id) + 1 as n from {documents}) as m
+union all select concat('arxiv:a', doc_id), concat('doi:D', (doc_id * 11 + 5) % n) from {documents} cross join (select max(doc_id) + 1 as n from {documents}) as m
+union all select concat('zbl:z', doc_id), concat('arxiv:a', (doc_id * 13 + 7) % n) from {documents} cross join (select max(doc_id) + 1 as n from {documents}) as m""",
+    "b_seed_ids": "select concat('doi:d', doc_id) as id from {documents} where doc_id % 40 = 1",
+    "b_asking": """
+select concat('work:', doc_id) as key, case doc_id % 4 when 0 then @ARRAY(concat('arXiv:', doc_id, 'v1')) when 1 then @ARRAY(concat('DOI:10.1/D', doc_id)) when 2 then @ARRAY(concat('doi:10.1/x', doc_id), concat('zbl:z', doc_id)) else @ARRAY(concat('doi:10.1/d', doc_id), concat('mr:', doc_id)) end as ids,
+  case when doc_id % 3 = 0 then '' else @FIRST_LINE end as title, case when doc_id % 3 = 0 then @NONE else @ARRAY(concat('Author', doc_id % 7, ', A.')) end as authors, '' as year, @NONE as msc, '' as category,
+  case when doc_id % 10 = 0 then 'v9' else '' end as version, '' as open_pdf
+from {documents}""",
+    "b_index": """
+select concat('doi:10.1/d', doc_id) as asked, @ARRAY(concat('doi:10.1/d', doc_id), concat('arxiv:', doc_id)) as ids, concat('Index Title ', doc_id) as title, @ARRAY(concat('Index', doc_id % 5, ', I.')) as authors, cast(1950 + doc_id % 70 as @STR) as year,
+  case when doc_id % 7 < 4 then @ARRAY(concat('1', doc_id % 10, 'A05')) else @NONE end as msc from {documents} where doc_id % 5 <> 0
+union all select concat('zbl:z', doc_id), @ARRAY(concat('zbl:z', doc_id)), '', @NONE, '', @ARRAY('14N35') from {documents} where doc_id % 6 = 2
+union all select concat('arxiv:', doc_id), @ARRAY(concat('arxiv:', doc_id), concat('doi:10.1/d', doc_id)), concat('By Number ', doc_id), @ARRAY('Nul, M.'), '1999', @NONE from {documents} where doc_id % 8 = 0""",
+    "b_graph": """
+select concat('doi:10.1/d', doc_id) as asked, @ARRAY(concat('doi:10.1/d', doc_id)) as ids, concat('Graph Title ', doc_id) as title, @ARRAY(concat('Given Graph', doc_id % 5)) as authors, '2001' as year, concat('https://open.example/', doc_id) as open_pdf from {documents} where doc_id % 3 <> 1
+union all select concat('doi:10.1/x', doc_id), case when doc_id % 9 = 0 then @ARRAY(concat('arxiv:', doc_id)) else @ARRAY(concat('doi:10.1/x', doc_id)) end, concat('Graph Title ', doc_id), @ARRAY(concat('Given Graph', doc_id % 5)), '2002', '' from {documents} where doc_id % 4 = 2""",
+    "b_titles": "select concat('graph title ', doc_id, '|graph', doc_id % 5) as asked, @ARRAY(concat('zbl:t', doc_id)) as ids, @ARRAY('05C10') as msc from {documents} where doc_id % 12 < 7",
+    "b_preprints": "select concat('arxiv:', doc_id) as asked, lang as category, concat('v', 1 + doc_id % 4) as version from {documents} where doc_id % 11 <> 0",
     "b_headings": "select source as doc, doc_id as start, cast(n_chars % 4 as int) as level from {documents}",
 }
 

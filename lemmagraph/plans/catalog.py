@@ -758,3 +758,6 @@ def attempts_before_refusal(spark, d):
 @query(f"select key from b_works where list_contains(list_transform(ids, lambda i: {duck_norm('i')}), 'doi:10.1/x5') or list_contains(list_transform(ids, lambda i: {duck_norm('i')}), 'arxiv:2401.00007')", "b_works")
 def works_holding(spark, d):
     return walk.holding_any(view(spark, d, "b_works"), ["DOI:10.1/X5", "doi:10.48550/arXiv.2401.00007v3"]).select("key")
+
+
+from . import crawling  # noqa: E402, F401  more queries, registered as it is read

@@ -29,8 +29,6 @@ STEP = 65
 ALONE = "-" * STEP
 #: A block of the first round of upper levels spans about 2^FIRST partitions, one of a later round 2^MORE blocks.
 FIRST, MORE = 7, 12
-#: Leaves a batch that a task returns.
-BATCH = 4096
 
 Node = tuple[int, int, str]
 
@@ -275,56 +273,30 @@ def opened(forest: Forest, nodes: DataFrame) -> DataFrame:
     which are the same for all leaves below a node. Partitions are zipped with their nodes: leaves stay where they are."""
     more = [c for c in nodes.columns if c not in ("pid", "run", "level", "index", "path", "key", "name", "total")]
     leaves, split = forest.leaves, forest.split
-    spark = leaves.sparkSession
     out = StructType([*leaves.schema.fields, *StructType.fromDDL("path string").fields, *[nodes.schema[c] for c in more]])
-    names = out.names
-
-    def packed(batches):
-        held = list(batches)
-        if held:
-            sink = pa.BufferOutputStream()
-            with pa.ipc.new_stream(sink, held[0].schema) as writer:
-                for batch in held:
-                    writer.write_batch(batch)
-            yield pa.RecordBatch.from_arrays([pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["packed"])
+    n = leaves.rdd.getNumPartitions()
+    if n == 0:
+        return leaves.sparkSession.createDataFrame([], out)
+    group, digest = leaves.columns.index("group"), leaves.columns.index("leaf")
 
     def complete(pid, pairs):
-        for (blob,), rows in pairs:
-            if not blob:
-                continue
-            table = pa.ipc.open_stream(blob).read_all()
+        for rows, (_, held) in pairs:
             place = Place(split.get(pid, []))
-            groups, digests = table.column("group").to_pylist(), table.column("leaf").to_pylist()
-            bounds = [0, *[i for i in range(1, len(groups)) if groups[i] != groups[i - 1]], len(groups)]
+            bounds = [0, *[i for i in range(1, len(rows)) if rows[i][group] != rows[i - 1][group]], len(rows)]
             of_run: dict[int, dict] = {}
-            for r in rows:
+            for r in held:
                 of_run.setdefault(r["run"], {})[r["level"], r["index"]] = r
             for run, (a, b) in enumerate(zip(bounds, bounds[1:])):
-                start, total, whole = place.of(run, b - a, b == len(groups))
-                paths = _leaf_paths(digests[a:b], start, total, whole, {k: r["path"] for k, r in of_run[run].items()})
-                said = next(iter(of_run[run].values()))
-                for at in range(a, b, BATCH):
-                    part = table.slice(at, min(BATCH, b - at)).combine_chunks()
-                    columns = [*part.columns, pa.array([next(paths) for _ in range(part.num_rows)], pa.string()), *[pa.array([said[c]] * part.num_rows, pa.string()) for c in more]]
-                    made = pa.table(columns, names=names)
-                    sink = pa.BufferOutputStream()
-                    with pa.ipc.new_stream(sink, made.schema) as writer:
-                        writer.write_table(made)
-                    yield (bytearray(sink.getvalue().to_pybytes()),)
-
-    def unpacked(batches):
-        for batch in batches:
-            for blob in batch.column(0).to_pylist():
-                yield from pa.ipc.open_stream(blob).read_all().to_batches()
-
-    n = leaves.rdd.getNumPartitions()
-    if n == 0:
-        return spark.createDataFrame([], out)
-    left = leaves.mapInArrow(packed, "packed binary").rdd.mapPartitions(lambda it: [[bytes(r.packed) for r in it] or [b""]])
-    wanted = nodes.select("pid", "run", "level", "index", "path", *more)
-    right = wanted.repartitionById(n, "pid").rdd.mapPartitions(lambda it: [[r.asDict() for r in it]])
-    done = left.zip(right).mapPartitionsWithIndex(complete)
-    return spark.createDataFrame(done, "packed binary", verifySchema=False).mapInArrow(unpacked, out)
+                start, total, whole = place.of(run, b - a, b == len(rows))
+                said = tuple(next(iter(of_run[run].values()))[c] for c in more)
+                paths = _leaf_paths([r[digest] for r in rows[a:b]], start, total, whole, {k: r["path"] for k, r in of_run[run].items()})
+                yield from ((*row, path, *said) for row, path in zip(rows[a:b], paths))
+
+    # an element a partition on either side, none where a partition is empty
+    left = leaves.rdd.mapPartitions(lambda it: [held] if (held := [tuple(r) for r in it]) else [])
+    by_partition = nodes.groupBy("pid").agg(F.collect_list(F.struct("run", "level", "index", "path", *more)).alias("held"))
+    right = by_partition.repartitionById(n, "pid").rdd
+    return leaves.sparkSession.createDataFrame(left.zip(right).mapPartitionsWithIndex(complete), out, verifySchema=False)
 
 
 def proofs(docs: DataFrame, digest: Column | None = None, keep: dict[str, Column] | None = None) -> DataFrame:

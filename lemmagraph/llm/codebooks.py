@@ -6,7 +6,7 @@ side where the box there is no farther than its best entry. An equal bound is vi
 entries the one of lower index wins. Sums and counts of each entry are aggregated by Spark as integers, so no
 order of addition changes them.
 
-Components are floor(SCALE * x). Up to LARGE in size they are computed in 64 bits, larger ones as unbounded integers.
+Components are floor(SCALE * x), integers throughout.
 """
 
 from __future__ import annotations
@@ -28,6 +28,8 @@ SCALE, PARTS, ENTRIES, ROUNDS = 1024, 4, 256, 4
 LEAF = 16
 #: Components up to this are exact in 64 bits: of a part of 32 components the squared distance stays below 2^63.
 LARGE = 1 << 27
+#: Components up to this are exact in doubles: of a part of 32 components all sums stay below 2^53.
+SMALL = 1 << 22
 
 
 @dataclass
@@ -56,39 +58,47 @@ def plant(entries: np.ndarray, held: np.ndarray | None = None) -> Node:
 
 
 class Nearest:
-    """Exact nearest entries of a codebook, the lowest index among equals."""
+    """Exact nearest entries of a codebook, the lowest index among equals. Components up to SMALL are computed in doubles,
+    which hold their sums of squares exactly, up to LARGE in 64-bit integers, beyond that as unbounded ones."""
 
     def __init__(self, entries: np.ndarray):
         self.entries, self.root = entries, plant(entries)
+        self.most = int(np.abs(entries).max())
 
     def __call__(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Index and squared distance of the entry nearest to each vector."""
-        exact = object if vectors.dtype == object or self.entries.dtype == object else np.int64
-        self.vectors, self.known = vectors.astype(exact), self.entries.astype(exact)
-        self.best, self.index = np.zeros(len(vectors), exact), np.full(len(vectors), -1)
+        most = max(self.most, int(np.abs(vectors).max(initial=0)))
+        kind = float if most <= SMALL else np.int64 if most <= LARGE else object
+        self.vectors, self.known = vectors.astype(kind), self.entries.astype(kind)
+        self.best, self.index = np.zeros(len(vectors), kind), np.full(len(vectors), -1)
         self._visit(self.root, np.arange(len(vectors)))
-        return self.index, self.best
+        return self.index, self.best if kind is object else self.best.astype(np.int64)
 
     def _visit(self, node: Node, rows: np.ndarray) -> None:
         rows = rows[self._within(node, rows)]
         if not len(rows):
             return
         if node.held is not None:
-            for k in node.held:  # a leaf's entries one by one: memory stays that of the batch
-                off = self.vectors[rows] - self.known[k]
-                far = (off * off).sum(axis=1)
-                seen = self.index[rows]
-                closer = (seen < 0) | (far < self.best[rows]) | ((far == self.best[rows]) & (k < seen))
-                won = rows[closer]
-                self.best[won], self.index[won] = far[closer], k
+            far = self._distances(self.vectors[rows], self.known[node.held])
+            k = far.argmin(axis=1)  # the first of equal ones, and held ascends
+            far, k = far[np.arange(len(rows)), k], node.held[k]
+            seen, best = self.index[rows], self.best[rows]
+            closer = ((seen < 0) | (far < best) | ((far == best) & (k < seen))).astype(bool)
+            won = rows[closer]
+            self.best[won], self.index[won] = far[closer], k[closer]
             return
-        near = self.vectors[rows, node.axis] < node.at
-        near = near.astype(bool)
+        near = (self.vectors[rows, node.axis] < node.at).astype(bool)
         self._visit(node.left, rows[near])
         self._visit(node.right, rows[~near])
         self._visit(node.right, rows[near])
         self._visit(node.left, rows[~near])
 
+    @staticmethod
+    def _distances(vectors: np.ndarray, entries: np.ndarray) -> np.ndarray:
+        if vectors.dtype == float:
+            return (vectors * vectors).sum(axis=1)[:, None] - 2 * (vectors @ entries.T) + (entries * entries).sum(axis=1)
+        return np.stack([((vectors - e) * (vectors - e)).sum(axis=1) for e in entries], axis=1)
+
     def _within(self, node: Node, rows: np.ndarray) -> np.ndarray:
         """Where the box of the node is no farther than the best entry so far; equal bounds stay."""
         v = self.vectors[rows]

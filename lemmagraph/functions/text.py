@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import re
+import sys
 import unicodedata
+from functools import cache
 
 import pandas as pd
 from pyspark.sql import Column
@@ -16,6 +18,30 @@ def terms(text: Column) -> Column:
     return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
 
 
+@cache
+def _bases() -> tuple[str, str]:
+    """Letters with marks that are one character, and their bases, by the canonical decomposition of every letter."""
+    letters = (c for c in map(chr, range(0xC0, min(sys.maxunicode, 0x2000))) if c.isalpha())
+    pairs = [(c, d[0]) for c in letters if len(d := unicodedata.normalize("NFD", c)) > 1 and all(map(unicodedata.combining, d[1:]))]
+    return "".join(a for a, _ in pairs), "".join(b for _, b in pairs)
+
+
+def folded(text: Column) -> Column:
+    """Lower case, without marks; runs in the JVM."""
+    return F.regexp_replace(F.translate(F.lower(text), *_bases()), r"\p{M}+", "")
+
+
+def tokens(text: Column) -> Column:
+    """Folded runs of letters and digits, in order."""
+    return F.filter(F.split(folded(text), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+
+
+def query_tokens(text: str) -> list[str]:
+    """Distinct tokens of a question, folded as texts are."""
+    plain = "".join(c for c in unicodedata.normalize("NFD", (text or "").lower()) if not unicodedata.category(c).startswith("M"))
+    return sorted({t for t in re.split(r"[^\w]|_", plain) if t})
+
+
 #: Bibliography markup removed, in order: accents before a letter, commands, math signs and braces (fixed values).
 _PLAIN = [(r"\\[`'^\"~=.uvHck]\s*\{?\s*([A-Za-z])\s*\}?", r"\1"), (r"\\[A-Za-z]+\*?\s*", " "), (r"[{}$]", ""), ("--+", "-")]
 

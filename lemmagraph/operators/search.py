@@ -30,19 +30,21 @@ def substring(works: DataFrame, text: str, limit: int = 50) -> DataFrame:
 
 def token_table(works: DataFrame) -> DataFrame:
     """(work, token, tf, length): the inverted index of title and authors."""
-    tokens = T.terms(F.concat_ws(" ", "title", F.array_join("authors", " ")))
+    tokens = T.tokens(F.concat_ws(" ", "title", F.array_join("authors", " ")))
     listed = works.select(F.col("key").alias("work"), tokens.alias("tokens")).withColumn("length", F.size("tokens"))
     return listed.select("work", "length", F.explode("tokens").alias("token")).groupBy("work", "length", "token").agg(F.count("*").alias("tf"))
 
 
 def ranked(works: DataFrame, text: str, limit: int = 50) -> DataFrame:
-    """(key, score): works holding every term as a whole token, best first by BM25, ties by key."""
-    terms = sorted(set(query_terms(text)))
+    """(key, score): works holding every term as a whole token, marks and case apart, best first by BM25, ties by key.
+
+    Reads all works; a stored index (postings) answers the same with few of its blocks."""
+    terms = T.query_tokens(text)
     if not terms or limit <= 0:
         return works.select("key", F.lit(0.0).alias("score")).limit(0)
     index = token_table(works)
     # lengths count works without tokens, too
-    length = F.size(T.terms(F.concat_ws(" ", "title", F.array_join("authors", " "))))
+    length = F.size(T.tokens(F.concat_ws(" ", "title", F.array_join("authors", " "))))
     totals = works.agg(F.count("*").alias("n"), F.avg(length).alias("mean"))
     hits = index.where(F.col("token").isin(*terms))
     df = hits.groupBy("token").agg(F.count("*").alias("df"))

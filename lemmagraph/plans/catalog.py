@@ -344,7 +344,7 @@ def search_substring(spark, d):
 
 
 @query(
-    r"""with t as (select key, list_filter(string_split_regex(lower(title || ' ' || authors[1] || ' ' || authors[2]), '[^\p{L}\p{N}]+'), lambda x: x <> '') as tokens from b_works), n as (select count(*) as n, avg(len(tokens)) as mean from t),
+    r"""with t as (select key, list_filter(string_split_regex(strip_accents(lower(title || ' ' || authors[1] || ' ' || authors[2])), '[^\p{L}\p{N}]+'), lambda x: x <> '') as tokens from b_works), n as (select count(*) as n, avg(len(tokens)) as mean from t),
 h as (select key, len(tokens) as length, tok, count(*) as tf from (select key, tokens, unnest(tokens) as tok from t) x where tok in ('the', 'author') group by key, tokens, tok), df as (select tok, count(*) as df from h group by tok),
 s as (select key, count(*) as hit, sum(case when ln((n - df + 0.5) / (df + 0.5)) > 0 then ln((n - df + 0.5) / (df + 0.5)) else 1e-6 end * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * length / mean))) as score from h join df using (tok) cross join n group by key)
 select key, round(score, 6) as score from s where hit = 2 order by s.score desc, key limit 50""",
@@ -760,4 +760,4 @@ def works_holding(spark, d):
     return walk.holding_any(view(spark, d, "b_works"), ["DOI:10.1/X5", "doi:10.48550/arXiv.2401.00007v3"]).select("key")
 
 
-from . import crawling  # noqa: E402, F401  more queries, registered as it is read
+from . import crawling, scanning  # noqa: E402, F401  more queries, registered as they are read

@@ -75,6 +75,24 @@ def surname(name: Column) -> Column:
     return F.when(F.contains(name, F.lit(",")), F.trim(F.split_part(name, F.lit(","), F.lit(1)))).otherwise(F.element_at(F.split(F.trim(name), r"\s+"), -1))
 
 
+def entry_surnames(authors: Column) -> Column:
+    """Surnames of an entry's author field, `others` left out."""
+    names = F.transform(F.split(F.coalesce(authors, F.lit("")), r"\s+and\s+"), plain)
+    return F.transform(F.filter(names, lambda n: (n != "") & (F.lower(n) != "others")), surname)
+
+
+def entry_query(title: Column, authors: Column, year: Column, date: Column) -> Column:
+    """struct(title, surnames, year): what an entry is looked up by; a date serves where there is no year."""
+    when = F.coalesce(F.nullif(F.coalesce(year, F.lit("")), F.lit("")), date, F.lit(""))
+    return F.struct(plain(F.coalesce(title, F.lit(""))).alias("title"), entry_surnames(authors).alias("surnames"), F.trim(when).substr(1, 4).alias("year"))
+
+
+def bibliographic(query: Column, text: Column) -> Column:
+    """One free text of what a query knows: the text itself where there is one."""
+    known = F.filter(F.array(F.array_join(query["surnames"], " "), query["title"], query["year"]), lambda x: x != "")
+    return F.when(F.coalesce(text, F.lit("")) != "", text).otherwise(F.array_join(known, " "))
+
+
 def without_labels(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(text, r"\\label\s*\{[^}]*\}[ \t]*\n?", ""), r"^\n+|\n+$", "")
 

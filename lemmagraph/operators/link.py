@@ -99,6 +99,44 @@ def report(linked: dict[str, DataFrame]) -> DataFrame:
     return by_origin.unionByName(rest[0]).unionByName(rest[1])
 
 
+def shown_note(note):
+    """A postnote or a locator in the form in which they are compared."""
+    plain = F.regexp_replace(F.regexp_replace(note, r"[~{}]", " "), r"\\S|§", "section")
+    return F.lower(F.regexp_replace(F.trim(F.regexp_replace(plain, r"\s+", " ")), r"[.]$", ""))
+
+
+def pieces(results: DataFrame, edges: DataFrame, text: str = "statement") -> DataFrame:
+    """(src, pos, kind, raw, shown, postnote, citekey, dst): a result's text cut at its citations; the raw pieces joined in
+    order give the text back.
+
+    edges: src, seq, dst, origin, evidence. The n-th citation of a locator or key leads where the n-th edge with that evidence
+    leads (by seq), the last one where there are fewer edges than citations; a citation without an edge has no dst. A
+    locator goes before a bare key. Empty texts have no pieces.
+    """
+    body = F.coalesce(text, F.lit(""))
+    cut = lambda group: F.regexp_extract_all(body, F.lit(CITE), F.lit(group))
+    between = F.transform(F.split(body, CITE, -1), lambda t: F.struct(t.alias("raw"), F.lit("").alias("note"), F.lit("").alias("citekey"), F.lit("text").alias("kind")))
+    cites = F.transform(F.arrays_zip(cut(0).alias("raw"), cut(1).alias("note"), cut(2).alias("citekey")), lambda c: F.struct(c["raw"].alias("raw"), F.trim(F.coalesce(c["note"], F.lit(""))).alias("note"), F.trim(c["citekey"]).alias("citekey"), F.lit("cite").alias("kind")))
+    woven = F.flatten(F.transform(between, lambda t, i: F.filter(F.array(t, F.get(cites, i)), lambda x: x.isNotNull())))
+    each = results.select(F.col("key").alias("src"), F.posexplode(woven).alias("pos", "x")).where("x.raw <> ''")
+    rows = each.select("src", "pos", "x.kind", "x.raw", F.when(F.col("x.kind") == "text", F.col("x.raw")).otherwise(F.coalesce(F.nullif("x.note", F.lit("")), "x.citekey")).alias("shown"), F.col("x.note").alias("postnote"), "x.citekey")
+    told = edges.select("src", "seq", "dst", F.when(F.col("origin") == "locator", F.concat(F.lit("l:"), shown_note(F.col("evidence")))).otherwise(F.concat(F.lit("k:"), F.regexp_extract("evidence", r"^\\cite\{(.+)\}$", 1))).alias("evidence"))
+    told = told.withColumn("n", F.row_number().over(Window.partitionBy("src", "evidence").orderBy("seq", "dst"))).withColumn("last", F.max("n").over(Window.partitionBy("src", "evidence")))
+
+    def aligned(rows: DataFrame, evidence, name: str) -> DataFrame:
+        """rows with the end of the edge that their evidence has at their occurrence."""
+        order = Window.partitionBy("src", "__e").orderBy("pos")
+        numbered = rows.withColumn("__e", F.when(F.col("kind") == "cite", evidence)).withColumn("__n", F.row_number().over(order))
+        ends = told.select("src", F.col("evidence").alias("__e"), F.col("n").alias("__at"), "last", F.col("dst").alias(name))
+        lasts = ends.where("__at = last").select("src", "__e", "last", F.col(name).alias("__l"))
+        exact = numbered.join(ends.select("src", "__e", F.col("__at").alias("__n"), name), ["src", "__e", "__n"], "left")
+        return exact.join(lasts, ["src", "__e"], "left").withColumn(name, F.when(F.col("__n") > F.col("last"), F.col("__l")).otherwise(F.col(name))).drop("__e", "__n", "last", "__l")
+
+    rows = aligned(rows, F.when(F.col("postnote") != "", F.concat(F.lit("l:"), shown_note(F.col("postnote")))), "__by_note")
+    rows = aligned(rows, F.concat(F.lit("k:"), F.col("citekey")), "__by_key")
+    return rows.select("src", F.row_number().over(Window.partitionBy("src").orderBy("pos")).alias("pos"), "kind", "raw", "shown", "postnote", "citekey", F.coalesce("__by_note", "__by_key").alias("dst"))
+
+
 def ranked_by(df: DataFrame, keys: list[str], order: list, limit: int) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("__n") <= limit).drop("__n")
 

@@ -88,10 +88,12 @@ def plan_counts(walked: DataFrame, selected: DataFrame, cap: int) -> DataFrame:
 
 
 def estimate(selected: DataFrame, downloads: DataFrame) -> DataFrame:
-    """(bytes, seconds) the selected works will take: mean sizes of what was fetched, else the planning sizes."""
+    """(bytes, seconds) the selected works that are not fetched yet will take: mean sizes of what was fetched, else the
+    planning sizes. selected: kind, selected, done (false for all if it is missing)."""
     mean = lambda kind: F.coalesce(F.avg(F.when((F.col("kind") == kind) & (F.col("bytes") > 0), F.col("bytes"))), F.lit(float(AVERAGE_BYTES[kind])))
     means = downloads.agg(mean("source").alias("source"), mean("pdf").alias("pdf"))
-    n = selected.where("selected").agg(F.count_if(F.col("kind") == "source").alias("ns"), F.count_if(F.col("kind") == "pdf").alias("np"))
+    waiting = selected.where(F.col("selected") & ~F.coalesce("done", F.lit(False))) if "done" in selected.columns else selected.where("selected")
+    n = waiting.agg(F.count_if(F.col("kind") == "source").alias("ns"), F.count_if(F.col("kind") == "pdf").alias("np"))
     return n.join(means).select((F.col("ns") * F.col("source") + F.col("np") * F.col("pdf")).alias("bytes"), (F.col("ns") * SECONDS["source"] + F.col("np") * SECONDS["pdf"]).alias("seconds"))
 
 

@@ -43,7 +43,7 @@ select concat('o', l_orderkey) as version, case when l_linenumber % 10 = 3 then
   concat(l_returnflag, l_linestatus) as text, (l_orderkey * 10 + l_linenumber) * 1000000 + l_partkey * 10 + l_suppkey % 10 as seq, l_quantity as quantity
 from {lineitem}""",
     "b_tex": """
-select concat('c', conv_id, '#', turn) as key, concat('c', conv_id) as version, concat('theorem-', turn) as local, 'theorem' as taxon, concat(turn, '.', conv_id % 3) as number,
+select concat('c', conv_id, '#', turn) as key, concat('c', conv_id) as version, concat('theorem-', turn) as local, 'theorem' as taxon, concat(case when conv_id % 4 = 0 then turn + 1 else turn end, '.', conv_id % 3) as number,
   turn as seq, conv_id, @ARRAY(concat('thm:', turn)) as aliases, '' as proof,
   concat('By ', chr(92), 'cite[', case cast(conv_id % 6 as int) when 0 then concat('Theorem ', turn, '.', conv_id % 3, ' and Lemma 2') when 1 then concat('Thm.~', turn, '.1') when 2 then concat('see Theorems ', turn, '.0, ', turn + 1, '.2')
       when 3 then 'pp.~3--4' when 4 then concat('Theorem ', turn, '.2(ii)') else '' end, ']', chr(123), 'k', conv_id % 11, chr(125), ' and ', chr(92), 'ref', chr(123), 'thm:', turn - 1, chr(125), ', ', chr(92), 'cite', chr(123), 'k', turn % 3, chr(125), '.') as statement
@@ -95,6 +95,11 @@ select concat('doi:10.1/d', doc_id) as asked, @ARRAY(concat('doi:10.1/d', doc_id
 union all select concat('doi:10.1/x', doc_id), case when doc_id % 9 = 0 then @ARRAY(concat('arxiv:', doc_id)) else @ARRAY(concat('doi:10.1/x', doc_id)) end, concat('Graph Title ', doc_id), @ARRAY(concat('Given Graph', doc_id % 5)), '2002', '' from {documents} where doc_id % 4 = 2""",
     "b_titles": "select concat('graph title ', doc_id, '|graph', doc_id % 5) as asked, @ARRAY(concat('zbl:t', doc_id)) as ids, @ARRAY('05C10') as msc from {documents} where doc_id % 12 < 7",
     "b_preprints": "select concat('arxiv:', doc_id) as asked, lang as category, concat('v', 1 + doc_id % 4) as version from {documents} where doc_id % 11 <> 0",
+    # where citations of a result lead, in order: two for a bare key, one for a locator
+    "b_cite_edges": """
+select concat('c', conv_id, '#', turn) as src, 1 as seq, concat('w', conv_id % 5) as dst, 'unspecified' as origin, concat(chr(92), 'cite', chr(123), 'k', conv_id % 11, chr(125)) as evidence from {conversations}
+union all select concat('c', conv_id, '#', turn), 2, concat('c', conv_id, '#', turn + 1), 'unspecified', concat(chr(92), 'cite', chr(123), 'k', turn % 3, chr(125)) from {conversations} where turn % 2 = 0
+union all select concat('c', conv_id, '#', turn), 3, concat('c', conv_id % 4, '#', turn), 'locator', concat('Theorem ', turn, '.2(II)') from {conversations}""",
     "b_headings": "select source as doc, doc_id as start, cast(n_chars % 4 as int) as level from {documents}",
 }
 

@@ -382,20 +382,42 @@ def closure_subgraph(spark, d):
     return graph.induced(nodes, edges)
 
 
-@query()
+def _spread(rounds: int) -> str:
+    """Least keys handed from works to identifiers and back, so many times: more than the components here are deep."""
+    step = "l{k} as materialized (select a.key, min(m.label) as label from a join (select a.id, min(l.label) as label from a join l{p} l on l.key = a.key group by a.id) m on m.id = a.id group by a.key)"
+    return ", ".join(step.format(k=k, p=k - 1) for k in range(1, rounds + 1))
+
+
+@query(f"with a as materialized (select distinct key, {duck_norm('id')} as id from (select key, unnest(ids) as id from b_works) x), l0 as (select distinct key, key as label from a), {_spread(12)} select key, label as entity from l12", "b_works")
 def same_entity(spark, d):
-    """Every work with every identifier, the hub among them; recursive SQL has no way through it."""
     return graph.entities(view(spark, d, "b_works").select("key", "ids"))
 
 
+MERGED = """select doc_id % 97 as g, doc_id, ids, case when doc_id % 3 = 0 then '' else title end as title, case when doc_id % 5 = 0 then '' else year end as year, authors, msc, case when doc_id % 2 = 0 then '' else category end as arxiv_category,
+ cast(doc_id % 4 as int) as depth, case doc_id % 6 when 0 then 'resolved' when 1 then 'imported' else 'declared' end as provenance, concat('work:', doc_id % 11) as citing from {b_works}"""
+
+
+def _first_of(c: str, when: str) -> str:
+    return f"coalesce(arg_min({c}, doc_id) filter ({when}), '')"
+
+
+def _in_order(c: str) -> str:
+    """Distinct values of a list column by group, in order of rows and places."""
+    return f"(select string_agg(v, ';' order by d, p) from (select v, min(d) as d, arg_min(p, d * 1000 + p) as p from (select doc_id as d, unnest({c}) as v, generate_subscripts({c}, 1) as p from x where x.g = o.g) y where v <> '' group by v) z)"
+
+
 @query(
-    """select depth as g, max(year) filter (doc_id = m) as year, string_agg(distinct source0, ' ' order by source0) as authors, cast(min(depth) as int) as depth from
-(select *, authors[1] as source0, min(doc_id) over (partition by depth) as m from b_works) x group by depth""",
+    f"""with x as ({MERGED.replace('{b_works}', 'b_works')}), n as (select g, doc_id as d, p, id, {duck_norm('id')} as norm from (select g, doc_id, unnest(ids) as id, generate_subscripts(ids, 1) as p from x) y),
+f as (select *, row_number() over (partition by g, norm order by d, p) as k from n), i as (select g, string_agg(id, ';' order by {duck_rank('id')}, d, p) as ids from f where k = 1 group by g)
+select o.g, i.ids, {_first_of('title', "title <> ''")} as title, {_first_of('year', "year <> ''")} as year, coalesce({_in_order('authors')}, '') as authors, coalesce({_in_order('msc')}, '') as msc, {_first_of('arxiv_category', "arxiv_category <> ''")} as arxiv_category,
+ coalesce(min(depth) filter (depth > 0), 0) as depth, string_agg(distinct citing, ';' order by citing) as reached_from, coalesce(arg_min(provenance, doc_id) filter (provenance <> 'declared'), 'declared') as provenance from x o join i on i.g = o.g group by o.g, i.ids""",
     "b_works",
 )
 def merged_records(spark, d):
-    w = view(spark, d, "b_works").withColumns({"g": F.col("depth"), "arxiv_category": F.col("category"), "reached_from": F.array("key"), "provenance": F.lit("declared"), "authors": F.slice("authors", 1, 1)})
-    return upsert.merge_records(w, "g", "doc_id").select("g", "year", F.array_join(F.array_sort("authors"), " ").alias("authors"), "depth")
+    w = spark.sql(MERGED, b_works=view(spark, d, "b_works")).withColumn("reached_from", F.array("citing"))
+    out = upsert.merge_records(w, "g", "doc_id")
+    joined = [F.array_join(c, ";").alias(c) for c in ("ids", "authors", "msc")]
+    return out.select("g", *joined, "title", "year", "arxiv_category", "depth", F.array_join(F.array_sort("reached_from"), ";").alias("reached_from"), "provenance")
 
 
 # --- upserts -----------------------------------------------------------------------------------------------------
@@ -548,7 +570,7 @@ def download_status(spark, d):
     return walk.status(view(spark, d, "b_downloads"), 6000)
 
 
-@query("select round(count(*) filter (kind = 'source' and o_orderkey % 2 = 0) * coalesce(avg(bytes) filter (kind = 'source' and bytes > 0 and done), 3e6) + count(*) filter (kind = 'pdf' and o_orderkey % 2 = 0) * coalesce(avg(bytes) filter (kind = 'pdf' and bytes > 0 and done), 1e6), 2) as bytes, count(*) filter (kind = 'source' and o_orderkey % 2 = 0) * 3.0::double + count(*) filter (kind = 'pdf' and o_orderkey % 2 = 0) * 1.0::double as seconds from b_downloads", "b_downloads")
+@query("select round(count(*) filter (kind = 'source' and o_orderkey % 2 = 0 and not done) * coalesce(avg(bytes) filter (kind = 'source' and bytes > 0 and done), 3e6) + count(*) filter (kind = 'pdf' and o_orderkey % 2 = 0 and not done) * coalesce(avg(bytes) filter (kind = 'pdf' and bytes > 0 and done), 1e6), 2) as bytes, count(*) filter (kind = 'source' and o_orderkey % 2 = 0 and not done) * 3.0::double + count(*) filter (kind = 'pdf' and o_orderkey % 2 = 0 and not done) * 1.0::double as seconds from b_downloads", "b_downloads")
 def download_estimate(spark, d):
     x = view(spark, d, "b_downloads")
     return walk.estimate(x.withColumn("selected", F.col("o_orderkey") % 2 == 0), x.where("done")).select(F.round("bytes", 2).alias("bytes"), "seconds")
@@ -760,4 +782,4 @@ def works_holding(spark, d):
     return walk.holding_any(view(spark, d, "b_works"), ["DOI:10.1/X5", "doi:10.48550/arXiv.2401.00007v3"]).select("key")
 
 
-from . import crawling, scanning  # noqa: E402, F401  more queries, registered as they are read
+from . import crawling, reading, scanning  # noqa: E402, F401  more queries, registered as they are read

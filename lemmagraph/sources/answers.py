@@ -138,12 +138,12 @@ def by_title(asked: DataFrame, candidates: DataFrame) -> DataFrame:
 
 
 def found_anywhere(first: DataFrame, second: DataFrame) -> DataFrame:
-    """Candidates of the first service, and of the second where the first has no strong one with a DOI.
+    """Candidates of the first service, and of the second where the best of the first is not strong or is not named by a DOI.
 
-    Both: query_id, id, also, confidence, ...
+    Both: query_id, id, also, confidence, ...; of equally good ones the least id is the best.
     """
     from ..functions.similarity import STRONG
 
-    dois = F.exists(F.concat(F.array("id"), "also"), lambda x: F.startswith(F.lower(x), F.lit("doi:")))
-    settled = first.where((F.col("confidence") >= STRONG) & dois).select("query_id").distinct()
+    best = first.groupBy("query_id").agg(F.min_by(F.struct("id", "confidence"), F.struct(-F.col("confidence"), "id")).alias("b"))
+    settled = best.where((F.col("b.confidence") >= STRONG) & F.startswith("b.id", F.lit("doi:"))).select("query_id")
     return first.unionByName(second.join(settled, "query_id", "left_anti"))

@@ -8,6 +8,7 @@ import io
 import posixpath
 import re
 import tarfile
+import zlib
 import tomllib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -141,16 +142,21 @@ def unpack(data: bytes) -> dict[str, bytes]:
 
 
 def unpack_archives(spark: SparkSession, root: str) -> DataFrame:
-    """(version, path, content) of every archive below root; the version is the archive's folder."""
+    """(version, path, content, error) of every archive below root; the version is the archive's folder. An archive that cannot be
+    read is one row with the error, and the others are read."""
     found = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select("path", "content")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             for path, content in zip(pdf["path"], pdf["content"]):
-                files = unpack(bytes(content))
-                yield pd.DataFrame({"version": [path.rsplit("/", 2)[-2]] * len(files), "path": list(files), "content": list(files.values())})
-
-    return found.mapInPandas(run, "version string, path string, content binary")
+                version = path.rsplit("/", 2)[-2]
+                try:
+                    rows = [(version, name, data, None) for name, data in unpack(bytes(content)).items()]
+                except (OSError, EOFError, ValueError, zlib.error, tarfile.TarError) as exc:
+                    rows = [(version, None, None, f"{type(exc).__name__}: {exc}")]
+                yield pd.DataFrame(rows, columns=["version", "path", "content", "error"])
+
+    return found.mapInPandas(run, "version string, path string, content binary, error string")
 
 
 def read_sources(spark: SparkSession, root: str) -> DataFrame:

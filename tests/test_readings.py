@@ -5,7 +5,7 @@ import pytest
 from lemmagraph.functions.similarity import Pool, likelihood, pool
 from lemmagraph.functions.text import fold_text
 from lemmagraph.sources import latex
-from lemmagraph.sources.bibtex import items
+from lemmagraph.sources.bibtex import item_query, items
 
 
 @pytest.mark.parametrize(
@@ -49,3 +49,49 @@ def test_pool_takes_the_earliest_work():
     out = pool([c("doi:1", 0.9, year="2001"), c("arxiv:2", 0.8, year="2001", source="b"), c("doi:3", 0.95, year="1999"), c("mr:4", 0.7, "Other", also=["DOI:3"])])
     assert [(w["ids"], w["confidence"], w["source"]) for w in out] == [(["doi:3", "mr:4"], 0.95, "a"), (["doi:1", "arxiv:2"], 0.9, "a, b")]
     assert Pool().ranked() == []
+
+
+def test_printed_entries_lose_their_markup_and_keep_their_identifiers():
+    doi = "10.1002/(SICI)1097(19980815)17:15<1661::AID-SIM968>3.0.CO;2-2"
+    (one,) = items(rf"\bibitem{{a}} E. Schr{{\"o}}dinger, \emph{{Waves}}, pp. 487--518, {doi}. \end{{thebibliography}} rest")
+    assert one["doi"] == doi and one["text"].startswith("E. Schrodinger, Waves, pp. 487-518") and not one["text"].endswith(".")
+
+
+@pytest.mark.parametrize(
+    ("raw", "year"),
+    [("A. B, T, 2020, arXiv:1912.06162", "2020"), ("A. B, T, https://arxiv.org/abs/1912.06162, 2021.", "2021"), ("A. B, T (1999), 10.1000/2005.1", "1999"), ("A. B, T, arXiv:1912.06162", "")],
+)
+def test_an_identifier_is_no_year(raw, year):
+    assert item_query(raw)[2] == year
+
+
+def test_a_bad_archive_is_a_row(spark, tmp_path):
+    import gzip
+
+    from lemmagraph.sources import files
+
+    for name, data in {"good": gzip.compress(b"text"), "cut": gzip.compress(b"text" * 99)[:-9], "plain": b"as it is"}.items():
+        (tmp_path / name).mkdir()
+        (tmp_path / name / "e-print").write_bytes(data)
+    got = {r.version: r for r in files.unpack_archives(spark, str(tmp_path)).collect()}
+    assert bytes(got["good"].content) == b"text" and bytes(got["plain"].content) == b"as it is" and got["good"].error is None
+    assert got["cut"].path is None and "EOFError" in got["cut"].error
+
+
+def test_the_best_candidate_settles_a_query(spark):
+    from lemmagraph.sources import answers
+
+    schema = "query_id bigint, id string, also array<string>, confidence double"
+    first = spark.createDataFrame([(1, "zbl:1", ["doi:10.1/a"], 0.99), (1, "doi:10.1/b", [], 0.95), (2, "doi:10.1/c", [], 0.95), (2, "zbl:3", [], 0.91)], schema)
+    second = spark.createDataFrame([(1, "doi:10.1/x", [], 0.5), (2, "doi:10.1/y", [], 0.5)], schema)
+    assert {r.id for r in answers.found_anywhere(first, second).collect()} == {"zbl:1", "doi:10.1/b", "doi:10.1/x", "doi:10.1/c", "zbl:3"}
+
+
+def test_pieces_of_a_text_give_it_back(spark):
+    from lemmagraph.operators import link
+
+    text = r"By \cite[Thm.~2]{a}, \cite{b} and \cite{b}; see \cite{b}\cite{c}."
+    edges = [("r", 1, "w1", "unspecified", r"\cite{b}"), ("r", 2, "w2", "unspecified", r"\cite{b}"), ("r", 3, "v#2", "locator", "thm. 2"), ("s", 1, "w9", "unspecified", r"\cite{c}")]
+    rows = link.pieces(spark.createDataFrame([("r", text), ("e", ""), ("n", None)], "key string, statement string"), spark.createDataFrame(edges, "src string, seq int, dst string, origin string, evidence string")).orderBy("src", "pos").collect()
+    assert "".join(r.raw for r in rows) == text and [r.pos for r in rows] == list(range(1, len(rows) + 1))
+    assert [(r.shown, r.dst) for r in rows if r.kind == "cite"] == [("Thm.~2", "v#2"), ("b", "w1"), ("b", "w2"), ("b", "w2"), ("c", None)]

@@ -3,11 +3,14 @@
 A forgiving parser builds the element tree (implied ends of paragraphs, items and cells; raw text of scripts and
 styles; comments; a page cut off anywhere). Subtrees that are boilerplate by element, role or visibility are left out,
 and those marked by a word of their class or id, unless what they hold speaks against it: the page's only article, half
-of the characters of a page without another, or a paragraph of prose inside an article. The header of an article with its heading stays. If nothing
+of the characters of a page without another, or a paragraph of prose inside an article. An unclear mark (`page-menu`,
+`has-sidebar`) counts where links are over a quarter of the characters or no block is prose. The header of an article with its heading stays. If nothing
 is left, only whole words of a class count. Every remaining paragraph passes points, one plus one a comma plus one per hundred
 characters up to three, to its parent and half of them to its grandparent; an element's score is its points
 discounted by the share of its characters that stand in links. The best element, lifted to the article that holds it,
-and those of its siblings that score a fifth of it or are running prose make up the text; nothing inside them is dropped.
+and those of its siblings that score a fifth of it, are running prose, hold a heading with text that is not links, or
+stand between two such ones make up the text, with the headings before them; nothing inside them is dropped. Where that has
+no first heading of the page, the nearest one before it, level by level upwards, is put in front.
 
 Blocks: character references decoded, white space runs made one space, trimmed, joined by one line feed in page
 order. Line breaks inside a block are white space.
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 #: Elements whose content is never text of a page.
-RAW = frozenset(["script", "style", "noscript", "template", "iframe", "svg", "math", "canvas", "object", "audio", "video", "xmp", "noembed", "noframes"])
+RAW = frozenset(["script", "style", "noscript", "template", "iframe", "svg", "annotation", "annotation-xml", "canvas", "object", "audio", "video", "xmp", "noembed", "noframes"])
 #: Elements that frame a page or take input.
 FRAME = frozenset(["nav", "header", "footer", "aside", "form", "button", "select", "textarea", "fieldset", "label", "input", "dialog", "menu", "head", "title"])
 VOID = frozenset(["area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"])
@@ -46,7 +49,9 @@ MARKS = frozenset(
     popup promo promos promotion related replies reply respond share sharing sidebar skip social sponsor sponsored
     subscribe toolbar topbar widget widgets""".split()
 )
-#: A name that holds one of these speaks of the marked thing and is not it (`has-sidebar`, `content-with-header`).
+#: A mark joined with one of these is the mark, too (`commentlist`, `sidebarbox`).
+JOINED = re.compile(rf"({'|'.join(sorted(MARKS, key=len, reverse=True))})(?:list|box|area|section|form|bar|links?|block|thread|item|holder|container)")
+#: A name that holds one of these may speak of the marked thing and not be it (`has-sidebar`, `content-with-header`).
 ABOUT = frozenset("has no not with without is hide article content main page post entry story text body layout wrap wrapper enabled disabled".split())
 NAMES = re.compile(r"[\s]+")
 WORDS = re.compile(r"[_\W\d]+|(?<=[a-z])(?=[A-Z])")
@@ -54,15 +59,16 @@ ROLES = frozenset(["navigation", "banner", "contentinfo", "complementary", "sear
 TAG = re.compile(r"<(?:!--.*?(?:-->|\Z)|[!?][^>]*(?:>|\Z)|(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|\Z)|'[^']*(?:'|\Z))*)(?:>|\Z))", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?")
 SIBLING_SHARE = 0.2
-LEAST_SCORE = 10
 #: Prose has so many characters and at most this share of them in links.
 PROSE_CHARS, PROSE_LINKS = 40, 0.25
+#: What stands around a page's title has no more characters.
+TITLE_CHARS = 400
 #: What an element's tag and attributes say of it.
-TEXT, WEAK, MARKED, GONE = range(4)
+TEXT, HINT, WEAK, MARKED, GONE = range(5)
 
 
 def _verdict(tag: str, raw_attributes: str) -> int:
-    """TEXT, WEAK (a word of a class or id marks it), MARKED (a whole class or id does, or its role), or GONE (not shown)."""
+    """TEXT, HINT (a word of a class or id may mark it), WEAK (one marks it), MARKED (a whole class or id does, or its role), or GONE (not shown)."""
     if tag in FRAME:
         return GONE
     if not raw_attributes or tag in ("html", "body"):
@@ -73,9 +79,9 @@ def _verdict(tag: str, raw_attributes: str) -> int:
         value = unescape(m[2] or m[3] or m[4] or "")
         if name in ("class", "id"):
             for one in NAMES.split(value.strip()):
-                words = {w.lower() for w in WORDS.split(one) if w}
-                if words & MARKS and not words & ABOUT:
-                    found = max(found, MARKED if words <= MARKS else WEAK)
+                words = {m[1] if (m := JOINED.fullmatch(w.lower())) else w.lower() for w in WORDS.split(one) if w}
+                if words & MARKS:
+                    found = max(found, HINT if words & ABOUT else MARKED if words <= MARKS else WEAK)
         elif name == "role" and value.strip().lower() in ROLES:
             found = max(found, MARKED)
         elif name == "hidden" or name == "aria-hidden" and value.strip().lower() == "true":
@@ -219,6 +225,11 @@ def _left_out(page: _Page, least: int) -> list[bool]:
     beside = [0] * n  # articles that no marked element holds
     for i in range(1, n):
         beside[i] = max(beside[parent[i]], int(least <= verdict[i]))
+    proses = [False] * n  # a block of prose inside
+    for element, text, in_links in page.blocks:
+        proses[element] |= len(text) >= PROSE_CHARS and in_links <= PROSE_LINKS * len(text)
+    for i in range(n - 1, 0, -1):
+        proses[parent[i]] |= proses[i]
     free = any(article[i] and tag[i] in ("article", "main") and not beside[i] for i in range(1, n))
     out = [False] * n
     for i in range(1, n):
@@ -230,6 +241,8 @@ def _left_out(page: _Page, least: int) -> list[bool]:
             gone = False
         elif gone and tag[i] == "form" and article[i]:
             gone = False
+        elif verdict[i] == HINT:
+            gone = least <= WEAK and not (article[i] or 2 * shown[i] > shown[0]) and (linked[i] > PROSE_LINKS * chars[i] or not proses[i])
         elif not gone and least <= verdict[i] < GONE:
             half = 2 * shown[i] > shown[0]
             holds = article[i] and half or (article[i] or half) and not free
@@ -270,22 +283,45 @@ def _best(page: _Page, out: list[bool], blocks: list[tuple[int, str, int]]) -> s
             best = lifted
             break
         lifted = parent[lifted]
+    headed = [False] * n  # a heading inside
+    first = [False] * n  # a heading of the first rank inside
+    for element, _, _ in blocks:
+        headed[element] |= tag[element] in HEADING
+        first[element] |= tag[element] == "h1"
+    for i in range(n - 1, 0, -1):
+        headed[parent[i]] |= headed[i]
+        first[parent[i]] |= first[i]
+    children: dict[int, list[int]] = {}
+    for i in range(1, n):
+        if chars[i]:
+            children.setdefault(parent[i], []).append(i)
+    last = {element: text for element, text, _ in blocks}
+
+    def prose(i: int) -> bool:
+        return tag[i] in PARAGRAPH and (chars[i] > 80 and linked[i] < 0.25 * chars[i] or chars[i] <= 80 and not linked[i] and last.get(i, "")[-1:] in tuple(".!?"))
+
     kept = {best}
+    plain = lambda i: linked[i] <= PROSE_LINKS * chars[i]
     if best:
-        around = parent[best]
-        least = max(LEAST_SCORE, SIBLING_SHARE * score[best])
-        own = {i: [0, 0, ""] for i in range(n) if parent[i] == around and tag[i] in PARAGRAPH}
-        for element, text, in_links in blocks:
-            if element in own:
-                own[element][0] += len(text)
-                own[element][1] += in_links
-                own[element][2] = text
-        for i in range(n):
-            if parent[i] == around and i != best:
-                size, links, last = own.get(i, (0, 0, ""))
-                prose = size > 80 and links < 0.25 * size or 0 < size <= 80 and not links and last[-1:] in tuple(".!?")
-                if score[i] >= least or prose:
-                    kept.add(i)
+        row = children[parent[best]]
+        chosen = [i == best or score[i] >= SIBLING_SHARE * score[best] and score[i] > 0 or prose(i) or tag[i] not in HEADING and headed[i] and plain(i) for i in row]
+        ends = [k for k, yes in enumerate(chosen) if yes]
+        for k, i in enumerate(row):
+            if chosen[k] or ends[0] < k < ends[-1] and plain(i):
+                kept.add(i)
+        for k in range(ends[0] - 1, -1, -1):  # headings right before
+            if tag[row[k]] not in HEADING:
+                break
+            kept.add(row[k])
+        # the page's title, if it is not among them: the nearest before, on the way up
+        at = best
+        if not any(first[i] for i in kept):
+            while at > 0:
+                before = [i for i in children[parent[at]] if i < at and first[i] and plain(i) and chars[i] <= TITLE_CHARS]
+                if before:
+                    kept.add(before[-1])
+                    break
+                at = parent[at]
     inside = [False] * n
     for i in range(n):  # parents come before their children
         inside[i] = i in kept or (parent[i] >= 0 and inside[parent[i]])

@@ -234,7 +234,8 @@ def test_tree_scores_by_hand():
             points[nodes[up][1]] += share / 2
         best = min(range(len(nodes)), key=lambda i: (-points[i], i))
         inside = lambda i, top: i is not None and (i == top or inside(nodes[i][1], top))
-        kept = {best} | ({i for i in range(len(nodes)) if i != best and nodes[i][1] == nodes[best][1] and points[i] >= max(htmltext.LEAST_SCORE, htmltext.SIBLING_SHARE * points[best])} if best else set())
+        kept = {best} | ({i for i in range(len(nodes)) if i != best and nodes[i][1] == nodes[best][1] and points[i] >= htmltext.SIBLING_SHARE * points[best]} if best else set())
+        kept |= {i for i in range(min(kept), max(kept)) if best and nodes[i][1] == nodes[best][1]}  # and those between
         want = "\n".join(text for at, text in blocks if any(inside(at, k) for k in kept))
         got = htmltext.main_text(html)
         assert got == want, html

@@ -67,6 +67,18 @@ def scratch_path(spark: SparkSession, what: str) -> str:
     return f"{shared_dir(spark).rstrip('/')}/{what}-{uuid.uuid4().hex}"
 
 
+def set_aside(df: DataFrame, names: list[str]) -> tuple[DataFrame, dict[str, str]]:
+    """df without columns of these names: what was called so has another name, and the mapping gives it back."""
+    away: dict[str, str] = {}
+    for name in names:
+        if name in df.columns:
+            new = name
+            while new in df.columns or new in names or new in away.values():
+                new += "_"
+            away[name] = new
+    return df.withColumnsRenamed(away), {new: name for name, new in away.items()}
+
+
 def crc_of_id(column: str = "doc_id") -> Column:
     return F.crc32(F.col(column).cast("string"))
 

@@ -25,7 +25,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WORD, cut
+from .common import WORD, cut, set_aside
 
 WEIGHTS = (3, 1, 2)
 BUDGET = 1.5
@@ -202,7 +202,10 @@ def nearest(sizes: Sequence[int], wanted: int) -> list[int]:
 
 def mix(docs: DataFrame, membership: Column | None = None, weights: Sequence[int] = WEIGHTS, budget: float = BUDGET, most: int = MOST, seed: int = SEED, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The columns of docs with size, repeats, taken = size * repeats, and of the document's first source
-    source_size and target."""
+    source_size and target; columns of docs with these names give way."""
+    docs, back = set_aside(docs, ["__pattern", "__key", "__members", "__whole", "__cut", "__besides"])
+    away = {name: new for new, name in back.items()}
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     own = ["size", "repeats", "taken", "source_size", "target"]
     kept = [c for c in docs.columns if c not in own]
     members = F.array("source") if membership is None else membership
@@ -229,13 +232,12 @@ def mix(docs: DataFrame, membership: Column | None = None, weights: Sequence[int
     plan_df = docs.sparkSession.createDataFrame(plan, "__pattern string, __whole bigint, __cut bigint, __besides array<bigint>, source_size bigint, target double")
     joined = keyed.join(_beside(plan_df, len(plan)), "__pattern")
     again = (F.col("__key") < F.col("__cut")) | F.array_contains("__besides", F.col("__key"))
-    return joined.withColumn("repeats", F.least(F.col("__whole") + again.cast("int"), F.lit(most))).select(*kept, "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats")
+    return joined.withColumn("repeats", F.least(F.col("__whole") + again.cast("int"), F.lit(most))).select(*kept, "size", "source_size", "target", (F.col("size") * F.col("repeats")).alias("taken"), "repeats").withColumnsRenamed(back)
 
 
 def apply_mix(docs: DataFrame, **how) -> DataFrame:
     """The mixed documents themselves, with the columns of docs: a document taken twice comes twice."""
     aside = {c: f"__own_{c}" for c in ("size", "repeats", "taken", "source_size", "target") if c in docs.columns}
     mixed = mix(docs.withColumnsRenamed(aside), **how)
-    copies = F.explode(F.sequence(F.lit(1), F.col("repeats").cast("int")))
-    columns = [F.col(aside.get(c, c)).alias(c) for c in docs.columns]
-    return mixed.where("repeats > 0").select(*columns, copies.alias("__copy")).drop("__copy")
+    twice = F.array_repeat(F.struct(*[F.col(f"`{aside.get(c, c)}`").alias(c) for c in docs.columns]), F.col("repeats").cast("int"))
+    return mixed.where("repeats > 0").select(F.explode(twice).alias("row")).select("row.*")

@@ -25,7 +25,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, set_aside
 
 SHARDS = 16
 #: Probes an interval: many in the first round, when all positions share one interval.
@@ -134,7 +134,11 @@ def find_splitters(keys: DataFrame, positions: list[tuple[float, float, float]],
 
 
 def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The columns of docs with size, text_crc32, law, shard, slot and grown_shard (null under this law)."""
+    """The columns of docs with size, text_crc32, law, shard, slot and grown_shard (null under this law); columns of docs with
+    these names give way. Ids are whole numbers."""
+    docs, back = set_aside(docs, ["__size", "__crc", "__h", "__i", "__bucket", "__n"])
+    away = {name: new for new, name in back.items()}
+    id_col, text_col = away.get(id_col, id_col), away.get(text_col, text_col)
     size = (F.coalesce(F.octet_length(text_col), F.lit(0)) + 1).cast("bigint")
     own = ["size", "text_crc32", "law", "shard", "slot", "grown_shard"]
     keyed = docs.select(*[c for c in docs.columns if c not in own]).withColumn("__size", size).withColumn("__crc", F.crc32(F.coalesce(F.col(text_col), F.lit("")).cast("binary"))).withColumn("__h", _hash(F.col(text_col))).withColumn("__i", F.coalesce(F.col(id_col).cast("bigint"), F.lit(LEAST_ID)))
@@ -161,4 +165,4 @@ def shard(docs: DataFrame, shards: int = SHARDS, buckets: int = BUCKETS, id_col:
         *[c for c in docs.columns if c not in own],
         F.col("__size").alias("size"), F.col("__crc").alias("text_crc32"), F.lit("bytes").alias("law"),
         F.floor(F.col("__bucket") / buckets).cast("int").alias("shard"), (start + F.col("__n") - 1).alias("slot"), F.lit(None).cast("int").alias("grown_shard"),
-    )
+    ).withColumnsRenamed(back)

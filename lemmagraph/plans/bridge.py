@@ -66,7 +66,7 @@ select o_orderkey, case o_orderstatus when 'F' then 'source' when 'O' then 'pdf'
   case when o_orderkey % 7 = 1 then 'refused' else '' end as error, case when o_orderkey % 5 = 0 then 0 else cast(floor(o_totalprice) as bigint) end as bytes, o_custkey
 from {orders}""",
     "b_segments": """
-select source as doc, concat('f', doc_id) as file, cast(coalesce(sum(n_chars) over (partition by source order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, n_chars as length, doc_id
+select doc_id - doc_id % 20 as doc, concat('f', doc_id) as file, cast(coalesce(sum(n_chars) over (partition by doc_id - doc_id % 20 order by doc_id rows between unbounded preceding and 1 preceding), 0) as bigint) as start, n_chars as length, doc_id
 from {documents}""",
     # what sources say when asked for an identifier; some names lead back to works of the first level
     "b_answers": """
@@ -100,7 +100,7 @@ union all select concat('doi:10.1/x', doc_id), case when doc_id % 9 = 0 then @AR
 select concat('c', conv_id, '#', turn) as src, 1 as seq, concat('w', conv_id % 5) as dst, 'unspecified' as origin, concat(chr(92), 'cite', chr(123), 'k', conv_id % 11, chr(125)) as evidence from {conversations}
 union all select concat('c', conv_id, '#', turn), 2, concat('c', conv_id, '#', turn + 1), 'unspecified', concat(chr(92), 'cite', chr(123), 'k', turn % 3, chr(125)) from {conversations} where turn % 2 = 0
 union all select concat('c', conv_id, '#', turn), 3, concat('c', conv_id % 4, '#', turn), 'locator', concat('Theorem ', turn, '.2(II)') from {conversations}""",
-    "b_headings": "select source as doc, doc_id as start, cast(n_chars % 4 as int) as level from {documents}",
+    "b_headings": "select doc_id - doc_id % 20 as doc, doc_id as start, cast(n_chars % 4 as int) as level from {documents}",
 }
 
 

@@ -588,15 +588,15 @@ def most_common_reasons(spark, d):
 
 
 # --- positions ---------------------------------------------------------------------------------------------------
-@query("select s.doc, o.offset as \"offset\", s.file, o.offset - s.start as \"at\" from b_segments s join (select source as doc, cast(doc_id * 37 as bigint) as offset from documents) o on o.doc = s.doc and o.offset >= s.start and o.offset < s.start + s.length", "b_segments")
+@query("select s.doc, o.offset as \"offset\", s.file, o.offset - s.start as \"at\" from b_segments s join (select doc_id - doc_id % 20 as doc, cast(doc_id % 20 * 1900 as bigint) as offset from documents) o on o.doc = s.doc and o.offset >= s.start and o.offset < s.start + s.length", "b_segments")
 def located_offsets(spark, d):
-    offsets = base(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") * 37).alias("offset"))
+    offsets = base(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 20).alias("doc"), (F.col("doc_id") % 20 * 1900).alias("offset"))
     return intervals.locate(offsets, view(spark, d, "b_segments"), "doc")
 
 
-@query("select s.doc, r.a, r.b, s.file, greatest(r.a, s.start) - s.start as low, least(r.b, s.start + s.length) - s.start as high from b_segments s join (select source as doc, doc_id * 50 as a, doc_id * 50 + 3000 as b from documents) r on r.doc = s.doc where greatest(r.a, s.start) < least(r.b, s.start + s.length)", "b_segments")
+@query("select s.doc, r.a, r.b, s.file, greatest(r.a, s.start) - s.start as low, least(r.b, s.start + s.length) - s.start as high from b_segments s join (select doc_id - doc_id % 20 as doc, doc_id % 20 * 1500 as a, doc_id % 20 * 1500 + 3000 as b from documents) r on r.doc = s.doc where greatest(r.a, s.start) < least(r.b, s.start + s.length)", "b_segments")
 def mapped_ranges(spark, d):
-    ranges = base(spark, d, "documents").select(F.col("source").alias("doc"), (F.col("doc_id") * 50).alias("a"), (F.col("doc_id") * 50 + 3000).alias("b"))
+    ranges = base(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 20).alias("doc"), (F.col("doc_id") % 20 * 1500).alias("a"), (F.col("doc_id") % 20 * 1500 + 3000).alias("b"))
     return intervals.map_ranges(ranges, view(spark, d, "b_segments"), "doc")
 
 
@@ -606,22 +606,22 @@ def heading_intervals(spark, d):
 
 
 @query(
-    """with x as (select source as doc, doc_id as p, case cast(n_chars % 5 as int) when 0 then 'section' when 1 then 'theorem' when 2 then 'lemma' else 'remark' end as kind from documents), s as (select *, cast(sum(case when kind = 'section' then 1 else 0 end) over (partition by doc order by p) as bigint) as section from x)
+    """with x as (select doc_id - doc_id % 20 as doc, doc_id as p, case cast(n_chars % 5 as int) when 0 then 'section' when 1 then 'theorem' when 2 then 'lemma' else 'remark' end as kind from documents), s as (select *, cast(sum(case when kind = 'section' then 1 else 0 end) over (partition by doc order by p) as bigint) as section from x)
 select doc, p as "at", kind, case when kind = 'section' then cast(section as varchar) else section || '.' || row_number() over (partition by doc, section, kind order by p) end as number from s"""
 )
 def statement_numbers(spark, d):
     n = F.col("n_chars") % 5
-    items = base(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("at"), F.when(n == 0, "section").when(n == 1, "theorem").when(n == 2, "lemma").otherwise("remark").alias("kind"))
+    items = base(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 20).alias("doc"), F.col("doc_id").alias("at"), F.when(n == 0, "section").when(n == 1, "theorem").when(n == 2, "lemma").otherwise("remark").alias("kind"))
     return upsert.section_windows(items, "doc", "at").select("doc", "at", "kind", "number")
 
 
 @query(
-    """with x as (select source as doc, doc_id as p, case cast(n_chars % 3 as int) when 0 then 'statement' when 1 then 'proof' else 'other' end as kind, n_chars % 7 <> 0 as blank from documents), r as (select *, sum(case when kind <> 'proof' or not blank then 1 else 0 end) over (partition by doc order by p) as run from x)
+    """with x as (select doc_id - doc_id % 20 as doc, doc_id as p, case cast(n_chars % 3 as int) when 0 then 'statement' when 1 then 'proof' else 'other' end as kind, n_chars % 7 <> 0 as blank from documents), r as (select *, sum(case when kind <> 'proof' or not blank then 1 else 0 end) over (partition by doc order by p) as run from x)
 select p.doc, p.p as "at", case when l.kind = 'statement' then l.p end as statement from r p join (select doc, run, arg_min(kind, p) as kind, min(p) as p from r group by all) l on l.doc = p.doc and l.run = p.run where p.kind = 'proof'"""
 )
 def attached_proofs(spark, d):
     n = F.col("n_chars") % 3
-    items = base(spark, d, "documents").select(F.col("source").alias("doc"), F.col("doc_id").alias("at"), F.when(n == 0, "statement").when(n == 1, "proof").otherwise("other").alias("kind"), (F.col("n_chars") % 7 != 0).alias("blank"))
+    items = base(spark, d, "documents").select((F.col("doc_id") - F.col("doc_id") % 20).alias("doc"), F.col("doc_id").alias("at"), F.when(n == 0, "statement").when(n == 1, "proof").otherwise("other").alias("kind"), (F.col("n_chars") % 7 != 0).alias("blank"))
     return intervals.attach_adjacent(items, "doc")
 
 

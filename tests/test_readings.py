@@ -95,3 +95,33 @@ def test_pieces_of_a_text_give_it_back(spark):
     rows = link.pieces(spark.createDataFrame([("r", text), ("e", ""), ("n", None)], "key string, statement string"), spark.createDataFrame(edges, "src string, seq int, dst string, origin string, evidence string")).orderBy("src", "pos").collect()
     assert "".join(r.raw for r in rows) == text and [r.pos for r in rows] == list(range(1, len(rows) + 1))
     assert [(r.shown, r.dst) for r in rows if r.kind == "cite"] == [("Thm.~2", "v#2"), ("b", "w1"), ("b", "w2"), ("b", "w2"), ("c", None)]
+
+
+def test_documents_are_read_by_typed_positions(spark, tmp_path):
+    import json
+
+    from lemmagraph.sources import records
+
+    work = {"record": 1, "key": "k", "ids": ["a", 5, "", None], "title": 7, "depth": "2", "authors": "x", "provenance": "", "versions": [{"id": "v1", "has_source": 1}, {"id": 3}, "no", {"id": "v2", "has_pdf": "yes"}], "references": [{"citekey": "c"}, {"work": "w"}, {"text": "t", "citekey": None}]}
+    results = {"version": "v1", "results": [{"local": "thm-1", "aliases": ["x", 1]}, {"title": "no local"}], "edges": [{"src": "a", "to": "b", "confidence": True}, {"src": "a", "to": "c", "confidence": 1}, {"src": "a", "to": "d", "confidence": 0.25}, {"src": "a"}], "same_as": [{"left": "l", "right": "r"}]}
+    for path, doc in {"x/work.json": work, "x/v1/results.json": results, "x/same_as.json": [{"left": "p", "right": "q", "confidence": "high"}], "y/work.json": [1], "z/work.json": {"record": True, "key": "z"}}.items():
+        (tmp_path / path).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / path).write_text(json.dumps(doc))
+    got = {r.path.split("/", 1)[1][-60:].split(tmp_path.name + "/")[-1]: r for r in records.scan(spark, f"file://{tmp_path}").collect()}
+    (w,) = got["x/work.json"].works
+    assert (w.ids, w.title, w.depth, w.authors, w.provenance) == (["a"], "", 0, [], "declared")
+    assert [(v.id, v.work, v.has_source, v.has_pdf) for v in got["x/work.json"].versions] == [("v1", "k", True, False), ("v2", "k", False, True)]
+    assert [(r.version, r.citekey, r.text) for r in got["x/work.json"].refs] == [("v1", "c", ""), ("v1", "", "t")]
+    r = got["x/v1/results.json"]
+    assert [(x.key, x.aliases) for x in r.results] == [("v1#thm-1", ["x"])] and [(e.dst, e.confidence) for e in r.edges] == [("b", 1.0), ("c", 1.0), ("d", 0.25)]
+    assert [(p.lhs, p.confidence) for p in [*r.same_as, *got["x/same_as.json"].same_as]] == [("l", 1.0), ("p", 1.0)]
+    assert {k: v.reason for k, v in got.items() if v.reason} == {"y/work.json": "not a JSON object", "z/work.json": "record version"}
+
+
+def test_identifiers_that_entries_state():
+    from lemmagraph.sources.bibtex import declared
+
+    assert declared({"doi": "10.48550/arXiv.2401.1", "eprint": "2402.2", "mrnumber": " 7 "}) == ["arxiv:2401.1", "mr:7"]
+    assert declared({"eprint": "arXiv:2402.2", "version": "v3", "zbl": "1", "zblnumber": "2"}) == ["arxiv:2402.2v3", "zbl:1"]
+    assert declared({"eprint": "x", "eprinttype": "jstor", "url": "https://doi.org/10.1/a?b"}) == ["doi:10.1/a"]
+    assert declared({"doi": "no", "url": "https://arxiv.org/abs/2401.1v2"}) == ["arxiv:2401.1v2"] and declared({"url": ""}) == []

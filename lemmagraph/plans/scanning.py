@@ -87,3 +87,19 @@ def search_stored(spark, d):
     path = f"{shared_dir(spark).rstrip('/')}/search-{uuid.uuid4().hex}"
     postings.build(view(spark, d, "b_works"), path)
     return postings.search(spark, path, ASKED).select("key", F.round("score", 6).alias("score"))
+
+
+ATTEMPTS = "select concat('s', o_custkey % 50) as service, o_orderkey as seq, o_orderdate as at_, o_orderkey % 7 not in (1, 2, 4) as ok from {orders}"
+#: One attempt a step, with the standing of its service.
+ATTEMPTED = f"""with recursive x as materialized (select *, row_number() over (partition by service order by at_, seq) as i from ({ATTEMPTS.replace('{orders}', 'orders')}) q),
+s(service, i, seq, made, in_row, used) as (select distinct service, cast(0 as bigint), cast(null as bigint), false, 0, 0 from x
+ union all select x.service, x.i, x.seq, s.in_row < 3 and s.used < 12, case when s.in_row < 3 and s.used < 12 then case when x.ok then 0 else s.in_row + 1 end else s.in_row end, case when s.in_row < 3 and s.used < 12 and x.ok then s.used + 1 else s.used end from s join x on x.service = s.service and x.i = s.i + 1)
+select service, seq, made, cast(in_row as int) as in_row, cast(12 - used as int) as "left" from s where seq is not null"""
+
+
+@query(ATTEMPTED)
+def attempt_decisions(spark, d):
+    from ..streaming import attempts
+
+    rows = spark.sql(ATTEMPTS, orders=base(spark, d, "orders")).withColumnRenamed("at_", "at")
+    return attempts.batch(rows, 3, 12).select("service", "seq", "made", "in_row", "left")

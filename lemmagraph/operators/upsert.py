@@ -55,19 +55,36 @@ def merge_references(refs: DataFrame, work: str, seq: str) -> DataFrame:
 
 def merge_records(records: DataFrame, group: str, seq: str) -> DataFrame:
     """Records of one group as one: first texts that are not empty, least depth that is set, unions in order, a
-    provenance other than declared preferred."""
-    ordered = lambda c: F.transform(F.array_sort(F.collect_list(F.struct(F.col(seq).alias("s"), F.col(c).alias("v")))), lambda x: x["v"])
+    provenance other than declared preferred.
+
+    Unions are aggregated before they are lists: a value of a group is one row, that of its first place, so that the work grows
+    with the values. seq is unique in a group. Identifiers are one by their normal form.
+    """
+    unions = ("ids", "authors", "msc", "reached_from")
     first = lambda c: F.coalesce(F.min_by(F.when(F.col(c) != "", F.col(c)), F.when(F.col(c) != "", F.col(seq))), F.lit("")).alias(c)
-    union = lambda c: ids.unique(F.flatten(ordered(c))).alias(c)
     found = F.col("provenance") != "declared"
-    return records.groupBy(group).agg(
-        ids.ranked(F.flatten(ordered("ids"))).alias("ids"),
-        first("title"), first("year"), union("authors"), union("msc"), first("arxiv_category"),
+    single = records.groupBy(group).agg(
+        first("title"), first("year"), first("arxiv_category"),
         F.coalesce(F.min(F.when(F.col("depth") > 0, F.col("depth"))), F.lit(0)).alias("depth"),
-        union("reached_from"),
         F.coalesce(F.min_by(F.when(found, F.col("provenance")), F.when(found, F.col(seq))), F.lit("declared")).alias("provenance"),
     )
 
+    none = F.array().cast("array<struct<of:string,at:int,value:string>>")
+    placed = lambda c: F.coalesce(F.transform(c, lambda x, i: F.struct(F.lit(c).alias("of"), i.alias("at"), x.alias("value"))), none)
+    of, value, is_id = F.col("x.of"), F.col("x.value"), F.col("x.of") == "ids"
+    each = records.select(group, seq, F.explode(F.concat(*map(placed, unions))).alias("x")).where(value.isNotNull() & (is_id | (value != "")))
+    keyed = each.select(group, of.alias("__of"), F.when(is_id, ids.norm(value)).otherwise(value).alias("__key"), F.struct(F.col(seq).alias("seq"), F.col("x.at").alias("at"), value.alias("value")).alias("__at"))
+    once = keyed.groupBy(group, "__of", "__key").agg(F.min("__at").alias("__at"))
+    # identifiers by rank first, all else by place only
+    rank = F.when(F.col("__of") == "ids", ids.rank(F.col("__at.value"))).otherwise(0)
+    once = once.select(F.col(group).alias("__group"), "__of", F.struct(rank.alias("rank"), "__at").alias("__at"))
+    listed = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("__of") == c, F.col("__at")))), lambda x: x["__at"]["value"]).alias(c)
+    lists = once.groupBy("__group").agg(*map(listed, unions))
+
+    both = single.join(lists, F.col(group).eqNullSafe(F.col("__group")), "left")
+    held = {c: F.coalesce(c, F.array().cast("array<string>")).alias(c) for c in unions}
+    return both.select(group, held["ids"], "title", "year", held["authors"], held["msc"], "arxiv_category", "depth", held["reached_from"], "provenance")
+
 
 def section_windows(df: DataFrame, document: str, at: str) -> DataFrame:
     """Section and statement numbers of the plain case (no appendix, no recorded numbers): counts over windows.

@@ -52,7 +52,8 @@ def _line_events(spark, d):
 
 @query(NUMBERED)
 def nested_numbers(spark, d):
-    return scans.numbered(_line_events(spark, d)).where("number is not null").select("doc", "at", "number")
+    # other lines have no number and change none
+    return scans.numbered(_line_events(spark, d).where("kind <> ''")).where("number is not null").select("doc", "at", "number")
 
 
 MARKS = "select conv_id as doc, turn as at_, case when length(text) % 5 < 3 then 'begin' else 'end' end as kind, concat(role, length(text) % 2) as name from {conversations}"

@@ -84,6 +84,14 @@ def test_three_levels_an_appendix_and_recorded_numbers(spark):
     assert got == ["1", "1.1", "1.1.1", "1.1.7", "1.1.8", "1.1.1", "1.1.9", "1.2", "1.2.1", None, "A", "A.0.1", "1"]
 
 
+def test_letters_beyond_one_byte(spark):
+    """Spark's char begins anew at 256: the 192nd section of an appendix was called NUL, the 257th A."""
+    events = [(0, "appendix", None, "", None, 0), *((i, "heading", 1, "", None, 0) for i in range(1, 300)), (300, "item", None, "55232.1", "thm", 1), (301, "heading", 1, "", None, 0)]
+    rows = spark.createDataFrame([(1, *e) for e in events], "doc int, at int, kind string, level int, recorded string, counter string, within int")
+    got = [r.number for r in scans.numbered(rows).orderBy("at").collect()]
+    assert got == [None, *(chr(64 + i) for i in range(1, 300)), "55232.1", "55233"]
+
+
 # brackets
 def stack_of(marks):
     out, stack = {}, []

@@ -4,7 +4,8 @@ The model grows with the corpus and never sits in one place: its levels are cut
 documents never meet the whole of it. Documents are read once into blocks of BLOCK_TOKENS tokens; a block asks only
 for the distinct words and the distinct windows it holds, with how often its own training documents have them. A
 word or pair that fills a third of the corpus is therefore one entry a block, and a context is cut by its successors
-into one part for each CROWD occurrences, whatever the cluster.
+into one part for each CROWD occurrences, whatever the cluster. There are as many shards of contexts as SHARD_TOKENS goes into the
+tokens, whatever the partitions: what a task holds of them does not grow with the corpus.
 
 1. tokenise: blocks, and for each shard of words the distinct words of the block;
 2. words: exact training counts of a shard of words, ids by shard and rank, handed back to the blocks;
@@ -61,6 +62,8 @@ STEP = 4096
 DISCOUNTS = (0.9, 1.1, 1.3)
 #: Occurrences of a context that one shard takes together.
 CROWD = 1 << 20
+#: Tokens of the whole table for each shard of contexts: it is asked for no more windows than that, about.
+SHARD_TOKENS = 1 << 21
 END = ""
 #: Kinds of rows between blocks and shards.
 WINDOWS, BASE, IDS, CODES, SUMS = range(5)
@@ -110,7 +113,7 @@ def parts_of(c: np.ndarray) -> np.ndarray:
 
 
 def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Column) -> DataFrame:
-    """Rows (block, shard, ids, held, a, b): shard -1 holds the tokens (a) and lengths (b) of the block's documents,
+    """Rows (block, shard, n, ids, held, a, b): shard -1 holds the tokens (n of them, a) and lengths (b) of the block's documents,
     the others its distinct words (a), their training counts and places (b)."""
     narrow = docs.select(id_col, held.alias("held"), F.col(text_col).cast("string"))
     id_type = narrow.schema[id_col].dataType.simpleString()
@@ -153,8 +156,8 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
                 if len(own):
                     rows.append((s, None, None, pack(" ".join([words[i] for i in own]).encode()), squeeze(np.concatenate([times[own], np.diff(own, prepend=0)]))))
             return pa.RecordBatch.from_arrays(
-                [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.list_(kind)), pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
-                names=["block", "shard", "ids", "held", "a", "b"],
+                [pa.array([block] * len(rows), pa.int64()), pa.array([r[0] for r in rows], pa.int32()), pa.array([len(stream)] + [None] * (len(rows) - 1), pa.int64()), pa.array([r[1] for r in rows], pa.list_(kind)), pa.array([r[2] for r in rows], pa.list_(pa.bool_())), pa.array([r[3] for r in rows], pa.binary()), pa.array([r[4] for r in rows], pa.binary())],
+                names=["block", "shard", "n", "ids", "held", "a", "b"],
             )
 
         for batch in batches:
@@ -179,7 +182,7 @@ def tokenise(docs: DataFrame, shards: int, id_col: str, text_col: str, held: Col
         if ids:
             yield flush()
 
-    return narrow.mapInArrow(run, f"block bigint, shard int, ids array<{id_type}>, held array<boolean>, a binary, b binary")
+    return narrow.mapInArrow(run, f"block bigint, shard int, n bigint, ids array<{id_type}>, held array<boolean>, a binary, b binary")
 
 
 def count_words(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -258,16 +261,21 @@ def _windows(stream: np.ndarray, starts: np.ndarray, sizes: np.ndarray, order: i
     return number, lower, place
 
 
-def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, n: int, v: int, shards: int) -> pd.DataFrame:
+def _home(block: int, shards: int) -> int:
+    """The shard that what a block keeps passes through; numbers of blocks are far apart, so their remainders are few."""
+    return (block * int(MIX) >> 33 & 0x7FFFFFFF) % shards
+
+
+def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, n: int, v: int, of_words: int, shards: int) -> pd.DataFrame:
     """Rows (block, shard, kind, a, b): the pairs asked of each shard, and in rows of any shard what the block keeps:
-    base results, ids of its words."""
+    base results, ids of its words. of_words: how many shards of words there are."""
     block = int(tokens["block"].iat[0])
     found = [(shard, *unsqueeze(a).reshape(3, -1)) for shard, a in zip(words["shard"], words["a"])]
     size = sum(len(x[1]) for x in found)
     ids, c = np.zeros(size, np.uint64), np.zeros(size, np.int64)
     for shard, rank, times, place in found:
         place = np.cumsum(place.astype(np.int64))
-        ids[place], c[place] = rank.astype(np.uint64) * np.uint64(shards) + np.uint64(shard + 1), times
+        ids[place], c[place] = rank.astype(np.uint64) * np.uint64(of_words) + np.uint64(shard + 1), times
     ids[0] = 0  # the end token
     stream, starts, sizes, train, gid = _stream(tokens, ids)
     c = c[np.argsort(ids)]
@@ -278,7 +286,8 @@ def ask_pairs(tokens: pd.DataFrame, words: pd.DataFrame, n: int, v: int, shards:
     times, outs = _split_counts(number, train, len(place))
     word = stream[place]
     context = np.where(place > 0, stream[place - 1], 0)
-    rows = [(block, block % shards, BASE, base.tobytes(), known.astype("<i8").tobytes()), (block, block % shards, IDS, squeeze(ids), b"")]
+    home = _home(block, shards)
+    rows = [(block, home, BASE, base.tobytes(), known.astype("<i8").tobytes()), (block, home, IDS, squeeze(ids), b"")]
     rows += _asked(block, shards, np.arange(len(place)), (gid[context],), c[context], gid[word], times, outs, _code(p1)[word])
     return pd.DataFrame(rows, columns=ROW)
 
@@ -386,9 +395,9 @@ def ask_windows(tokens: pd.DataFrame, answers: pd.DataFrame, order: int, shards:
     rows = [*answers.loc[answers["kind"].isin([BASE, IDS]), ROW].itertuples(index=False, name=None)]
     if last:  # nobody above asks for them: all that is wanted of what is known now is its sum over each document
         base[at] = 0
-        rows.append((block, block % shards, SUMS, np.add.reduceat(base[number], starts, dtype=np.int64).astype("<i8").tobytes(), b""))
+        rows.append((block, _home(block, shards), SUMS, np.add.reduceat(base[number], starts, dtype=np.int64).astype("<i8").tobytes(), b""))
     else:
-        rows.append((block, block % shards, CODES, squeeze(base), b""))
+        rows.append((block, _home(block, shards), CODES, squeeze(base), b""))
     times, outs, c = times[at], outs[at], c[x]
     del stream, number, lower, first, context, asked, own, base, train, met, name, below, x
     return pd.DataFrame(rows + _asked(block, shards, at, names, c, word, times, outs, asked_code), columns=ROW)
@@ -507,12 +516,14 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     if order < 2:
         raise ValueError("order is 2 or more")
     held = held_out() if held is None else held
-    shards = shards or max(16, 2 * docs.select(text_col).rdd.getNumPartitions())
+    of_words = shards or max(16, 2 * docs.select(text_col).rdd.getNumPartitions())
     spark = docs.sparkSession
     base = scratch_path(spark, "language-model")
-    rows = tokenise(docs, shards, id_col, text_col, held).withColumn("words", F.col("shard") >= 0)
+    rows = tokenise(docs, of_words, id_col, text_col, held).withColumn("words", F.col("shard") >= 0)
     stored(rows, f"{base}/blocks", "words")
-    tokens = spark.read.schema(rows.schema).parquet(f"{base}/blocks").where("not words").select("block", "ids", "held", "a", "b")
+    tokens = spark.read.schema(rows.schema).parquet(f"{base}/blocks").where("not words").select("block", "n", "ids", "held", "a", "b")
+    shards = shards or max(of_words, -(-(tokens.agg(F.sum("n")).first()[0] or 0) // SHARD_TOKENS))
+    tokens = tokens.drop("n")
     words = spark.read.schema(rows.schema).parquet(f"{base}/blocks").where("words").select("block", "shard", "a", "b")
     words = stored(words.groupBy("shard").applyInPandas(count_words, "block bigint, shard int, a binary, words bigint, known bigint, tokens bigint"), f"{base}/words")
     remove(spark, f"{base}/blocks/words=true")
@@ -527,7 +538,7 @@ def score_documents(docs: DataFrame, held: Column | None = None, shards: int | N
     def above(answers: DataFrame, level: int) -> DataFrame:
         return tokens.groupBy("block").cogroup(answers.groupBy("block")).applyInPandas(lambda t, x: _settled(ask_windows(t, x, level, shards, level == order)), schema)
 
-    answers = answered(tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: _settled(ask_pairs(t, w, n, v, shards)), schema), 2)
+    answers = answered(tokens.groupBy("block").cogroup(of_blocks.groupBy("block")).applyInPandas(lambda t, w: _settled(ask_pairs(t, w, n, v, of_words, shards)), schema), 2)
     for level in range(3, order + 1):
         answers = stored(answers, f"{base}/answers-{level}")
         remove(spark, f"{base}/words" if level == 3 else f"{base}/answers-{level - 1}")

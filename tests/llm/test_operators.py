@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import pickle
 import random
 import time
 import tracemalloc
@@ -573,6 +574,28 @@ def test_crowded_contexts_are_split(documents, monkeypatch):
         before = got
 
 
+def test_shards_of_contexts_follow_the_tokens(documents, monkeypatch):
+    """There were two a partition, whatever a partition held; and what blocks keep went through one of them."""
+    found = {}
+
+    def kept(df, path, by=None, stored=lm.stored):
+        out = stored(df, path, by)
+        found[path.rsplit("/", 1)[-1]] = out.collect()
+        return out
+
+    want = {r.doc_id: r.score for r in lm.score_documents(documents.coalesce(1), order=3).collect()}
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    monkeypatch.setattr(lm, "stored", kept)
+    assert {r.doc_id: r.score for r in lm.score_documents(documents.coalesce(1), order=3).collect()} == want
+    sizes = Counter()
+    for r in found["answers-3"]:
+        if r.kind == lm.WINDOWS:
+            sizes[r.shard] += len(lm.unsqueeze(pickle.loads(r.a)[0]))
+    tokens = sum(r.n or 0 for r in found["blocks"])
+    assert len(sizes) > 0.9 * tokens / 500 > 32 and max(sizes.values()) < 4 * 500
+    assert len({lm._home(p << 24, 64) for p in range(64)}) > 32
+
+
 def test_a_text_twice_in_the_corpus_scores_apart(spark, documents):
     once = [r.text for r in documents.where("lang = 'en' and length(text) > 500").dropDuplicates(["text"]).limit(120).collect()]
     score = lambda texts: {r.doc_id: r.score / r.n_tokens for r in lm.score_documents(spark.createDataFrame([*enumerate(texts)], "doc_id bigint, text string"), held=F.lit(False), order=3).collect()}
